@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylane.catalog import Catalog
-from quarrylane.llm import simhash
+from quarrylane.llm import quality, simhash
 from quarrylane.session import table
 
 CATALOG = Catalog()
@@ -16,6 +16,49 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+  FROM documents),
+g AS (SELECT rid, u.i AS i, array_to_string(ws[u.i:u.i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
+d AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g),
+r AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM d WHERE c > 1),
+s AS (SELECT rid, CAST(sum(least(5, coalesce(nx - i, 5))) AS BIGINT) AS n FROM r GROUP BY rid),
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(s.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN s USING (rid)),
+b AS (
+  SELECT *, CAST(
+      (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
+FROM b
+"""
+
+
+@CATALOG.query("op4_quality_rules", OP4_SQL)
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~quality.passes(quality.BASE)).alias("base_failed"),
+        quality.passes(quality.CURRENT).alias("kept"),
+        "failed",
+    )
+
+
 def queries():
     return dict(CATALOG.queries)
 
