@@ -2,15 +2,78 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
-from quarrylane.llm import quality, simhash
+from quarrylane.llm import bpe, chat, embedding_dedup, langid, licenses, mixing, quality, simhash, tokencount
 from quarrylane.session import table
 
 CATALOG = Catalog()
 
 
+#: Target shares of the mix; the other sources share the rest.
+MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1}
+
+OP1_SQL = """
+WITH c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT s, n, CASE s WHEN 'src0' THEN 0.2::DOUBLE WHEN 'src1' THEN 0.1::DOUBLE WHEN 'src2' THEN 0.1::DOUBLE END AS target FROM c),
+z AS (SELECT *, CAST(CASE WHEN target IS NULL THEN round(sqrt(n), 9) ELSE 0 END AS DECIMAL(38, 9)) AS size FROM w),
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS all_n, CAST(sum(size) AS DOUBLE) AS all_size FROM z),
+r AS (SELECT s, coalesce(target, (1 - (0.2::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE)) * size::DOUBLE / all_size) * all_n / n AS rate FROM z, t),
+k AS (SELECT s, rate, u.k AS k, exp(-rate + u.k * ln(rate) - lgamma(u.k + 1)) AS p FROM r, unnest(range(0, 80)) AS u(k)),
+f AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM k),
+d AS (SELECT *, CAST('0x' || substr(md5('copies20240|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|1'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM f WHERE f.s = coalesce(d.source, '') AND f.cdf <= d.u) AS n FROM d)
+SELECT doc_id, text, lang, source, n_chars, c.i AS copy_no, md5('order20240|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || c.i) AS mix_key
+FROM m, unnest(range(0, n)) AS c(i)
+"""
+
+
+@CATALOG.query("op1_mixing", OP1_SQL)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+@CATALOG.query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@CATALOG.query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def byte_bpe() -> bpe.Vocabulary:
+    return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@CATALOG.query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@CATALOG.query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@CATALOG.query("op8_chat_perspectives")
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@CATALOG.query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokencount.Unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), model)
+
+
 @CATALOG.query("op10_simhash_dedup")
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
