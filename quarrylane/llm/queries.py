@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
-from quarrylane.llm import bpe, chat, embedding_dedup, langid, licenses, mixing, quality, simhash, tokencount
+from quarrylane.llm import bpe, chat, embedding_dedup, langid, licenses, lm, mixing, quality, simhash, tokencount
 from quarrylane.session import table
 
 CATALOG = Catalog()
@@ -106,6 +106,11 @@ FROM b
 """
 
 
+@CATALOG.query("op3_lm_scores")
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @CATALOG.query("op4_quality_rules", OP4_SQL)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -123,8 +128,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return dict(CATALOG.queries)
+    import corpus_pipeline
+
+    return dict(CATALOG.queries) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(CATALOG.sql)
+    import corpus_pipeline
+
+    return dict(CATALOG.sql) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
