@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylane.catalog import Query
 
-MODULES = ("search",)
+MODULES = ("search", "etl")
 
 
 def _catalogs():
