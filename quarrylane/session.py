@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +29,23 @@ def get_spark(app: str = "quarrylane", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: under ``spark.checkpoint.dir``, or one of our own where that is unset, as in local tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="quarrylane-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/quarrylane"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for those that can't import it."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrylane_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "quarrylane"), "zip", os.path.dirname(root), "quarrylane")
+    context.addPyFile(archive)
+    context._quarrylane_shipped = True
