@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylane.catalog import Query
 
-MODULES = ("search", "etl", "dialogue", "analytics", "progress")
+MODULES = ("search", "etl", "dialogue", "analytics", "progress", "sources")
 
 
 def _catalogs():
