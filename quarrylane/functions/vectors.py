@@ -16,7 +16,8 @@ def norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, never below 0; null for null or zero vectors."""
-    return F.greatest(F.lit(0.0), 1 - F.try_divide(dot(a, b), norm(a) * norm(b)))
+    distance = 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(distance < 0, 0.0).otherwise(distance)
 
 
 def literal(values: list[float]) -> Column:

@@ -50,7 +50,9 @@ def strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": "true"}
     rows = spark.read.options(**options).schema(wide).csv(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_corrupt").alias("record"))
+    # Spark refuses to read the corrupt column alone, so the errors look at a field too.
+    field = F.coalesce(F.col(f"`{schema.names[0]}`").cast("string"), F.lit("")) >= ""
+    return rows.where("_corrupt is null").drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & field).select(F.col("_corrupt").alias("record"))
 
 
 MANIFEST = "file_id string, source string, file_hash string, filename string, modified_at string"

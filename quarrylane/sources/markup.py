@@ -8,9 +8,10 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 # Parts of a page that hold no content, and tags that end a unit.
 DROPPED = r"(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->|<head>.*?</head>"
@@ -53,23 +54,32 @@ def transcript_rows(content: bytes) -> Iterator[dict]:
             yield {"title": title, "section_no": n, "section": section.get("name", ""), "block": block, "speaker": people.get(speaker.get("id"), speaker.get("id") or ""), "kind": speaker.get("type", ""), "text": text}
 
 
-TRANSCRIPT = "path string, title string, section_no int, section string, block int, speaker string, kind string, text string, error string"
+TRANSCRIPT = pa.schema(
+    [("path", pa.string()), ("title", pa.string()), ("section_no", pa.int32()), ("section", pa.string()), ("block", pa.int32()), ("speaker", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("error", pa.string())]
+)
+
+
+def _parsed(files: DataFrame, parse, schema: pa.Schema) -> DataFrame:
+    """Rows that ``parse(path, content)`` makes of each file, one file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_pylist(list(parse(path.as_py(), content.as_py())), schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, from_arrow_schema(schema))
 
 
 def transcripts(files: DataFrame) -> DataFrame:
     """Speaker blocks of binary XML files; a file that doesn't parse gives one row with its error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in TRANSCRIPT.split(", ")]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows = [{"path": path, **r, "error": None} for r in transcript_rows(content)]
-                except ElementTree.ParseError as e:
-                    rows = [{"path": path, "error": str(e)}]
-                yield pd.DataFrame(rows, columns=names)
+    def parse(path: str, content: bytes) -> list[dict]:
+        try:
+            return [{"path": path, **r} for r in transcript_rows(content)]
+        except ElementTree.ParseError as e:
+            return [{"path": path, "error": str(e)}]
 
-    return files.select("path", "content").mapInPandas(run, TRANSCRIPT)
+    return _parsed(files, parse, TRANSCRIPT)
 
 
 # Fixed value: the number formats of a workbook that are percentages by number.
@@ -114,19 +124,14 @@ def workbook_cells(content: bytes, max_sheets: int | None = None) -> Iterator[di
                 }
 
 
-CELLS = "path string, sheet string, row int, col int, value string, numeric boolean, percent boolean, formula string"
+CELLS = pa.schema(
+    [("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.string()), ("numeric", pa.bool_()), ("percent", pa.bool_()), ("formula", pa.string())]
+)
 
 
 def workbooks(files: DataFrame, max_sheets: int | None = None) -> DataFrame:
-    """Cells of binary XLSX files, one file at a time."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CELLS.split(", ")]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame([{"path": path, **c} for c in workbook_cells(content, max_sheets)], columns=names)
-
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    """Cells of binary XLSX files."""
+    return _parsed(files, lambda path, content: ({"path": path, **c} for c in workbook_cells(content, max_sheets)), CELLS)
 
 
 def cell_text(value: Column, numeric: Column, percent: Column) -> Column:
