@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylane.session import scratch
+
 
 def sessionise(turns: DataFrame, by: list[str], order: list[str], question: Column, name: str = "session") -> DataFrame:
     """A new session opens at each question but the first turn; sessions count from 1."""
@@ -58,13 +62,32 @@ def first_wins(rows: DataFrame, key: list[Column], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def ids_by_first(rows: DataFrame, key: list[str], order: str, prefix: str = "E") -> DataFrame:
-    """``key``, ``id``: distinct keys numbered from 1 in the order of their first occurrence.
+def numbered_globally(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Dense numbers from 1 over all rows in order, without bringing them into one task.
 
-    The distinct keys are numbered by one global order, as the ids are dense.
+    Rows are range-partitioned, sorted and written with their place in their
+    partition; a number is that place plus the sizes of the partitions before,
+    of which there are few. ``order`` should tell rows apart.
     """
+    spark = rows.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(tuple(r) for r in placed.groupBy(part).count().collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        before += n
+    if not sizes:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("__m")
+    return placed.withColumn(name, F.element_at(F.create_map(*offsets), part) + place + 1).drop("__m")
+
+
+def ids_by_first(rows: DataFrame, key: list[str], order: str, prefix: str = "E") -> DataFrame:
+    """``key``, ``id``: distinct keys numbered from 1 in the order of their first occurrence, ties by key."""
     first = rows.groupBy(*key).agg(F.min(order).alias("first_pos"))
-    return first.withColumn("id", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy("first_pos")).cast("string")))
+    return numbered_globally(first, ["first_pos", *key], "__n").withColumn("id", F.concat(F.lit(prefix), F.col("__n").cast("string"))).drop("__n")
 
 
 def best_version(rows: DataFrame, by: list[str], label: str, priority: dict[str, int], *then: str) -> DataFrame:

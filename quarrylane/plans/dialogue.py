@@ -121,7 +121,7 @@ def status_by_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("source_catalog_refs", "SELECT source, lang, 'S' || row_number() OVER (ORDER BY source, lang) AS ref FROM (SELECT DISTINCT source, lang FROM documents)")
 def source_catalog_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    return rows.withColumn("ref", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("source", "lang")).cast("string")))
+    return ordering.numbered_globally(rows, ["source", "lang"], "n").select("source", "lang", F.concat(F.lit("S"), F.col("n").cast("string")).alias("ref"))
 
 
 @CATALOG.query(

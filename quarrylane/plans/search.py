@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
 from quarrylane.functions import fulltext, text, vectors
-from quarrylane.operators import retrieval
+from quarrylane.operators import ordering, retrieval
 from quarrylane.plans.views import CHUNKS_SQL, chunks
 from quarrylane.session import table
 
@@ -239,11 +239,12 @@ def hyde_soften(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     "natural_sort",
-    f"""WITH {CHUNKS_SQL} SELECT doc_id, file_id, 'page_' || page || '.1' AS chunk_id, CAST(row_number() OVER (ORDER BY file_id, page, doc_id) AS INTEGER) AS place FROM chunks WHERE source_type = 'es'""",
+    f"""WITH {CHUNKS_SQL} SELECT doc_id, file_id, 'page_' || page || '.1' AS chunk_id, row_number() OVER (ORDER BY file_id, page, doc_id) AS place FROM chunks WHERE source_type = 'es'""",
 )
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).where("source_type = 'es'").select("doc_id", "file_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".1")).alias("chunk_id"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("file_id", text.natural_key(F.col("chunk_id")), "doc_id")))
+    keyed = rows.withColumn("k", text.natural_key(F.col("chunk_id")))
+    return ordering.numbered_globally(keyed, ["file_id", "k", "doc_id"], "place").drop("k")
 
 
 @CATALOG.query("prefix_lookup", f"""WITH {CHUNKS_SQL} SELECT doc_id, 'page_' || page || '.1' AS chunk_id FROM chunks WHERE starts_with('page_' || page || '.1', 'page_7.')""")
