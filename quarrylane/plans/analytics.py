@@ -219,3 +219,48 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in names])).alias("x"))
     numeric = F.count_if(F.col("x.v").try_cast("double").isNotNull())
     return rows.groupBy(F.col("x.c").alias("column_name")).agg(numeric.alias("n_numeric"), F.count("*").alias("n")).withColumn("is_numeric", F.col("n_numeric") >= F.least(F.lit(2), F.col("n")))
+
+
+_POINTS = """pt AS (SELECT o_orderkey AS point_id, [o_orderkey, o_orderkey + 1] AS ev, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice * 1.002::DOUBLE ELSE o_totalprice * 0.5::DOUBLE END AS value,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice * 0.5::DOUBLE END AS s, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS e FROM orders),
+evd AS (SELECT o_orderkey AS id, o_totalprice AS number FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_totalprice * 0.5::DOUBLE FROM orders WHERE o_orderkey % 2 = 0),
+num AS (SELECT point_id, ev, 'value' AS name, value AS v FROM pt UNION ALL SELECT point_id, ev, 'start', s FROM pt WHERE s IS NOT NULL UNION ALL SELECT point_id, ev, 'end', e FROM pt WHERE e IS NOT NULL),
+hit AS (SELECT DISTINCT point_id, name FROM (SELECT point_id, name, v, unnest(ev) AS id FROM num) n JOIN evd USING (id) WHERE abs(v - number) <= greatest(0.01::DOUBLE, 0.001::DOUBLE * abs(v))),
+agg AS (SELECT n.point_id, bool_and(h.name IS NOT NULL) AS al, bool_and(h.name IS NOT NULL OR n.name = 'value') AS oth FROM num n LEFT JOIN hit h ON n.point_id = h.point_id AND n.name = h.name GROUP BY n.point_id)"""
+
+
+@CATALOG.query(
+    "planner_points",
+    f"WITH {_POINTS} SELECT point_id FROM agg JOIN pt USING (point_id) WHERE al OR (oth AND coalesce(abs((e - s) - value) <= greatest(0.01::DOUBLE, 0.001::DOUBLE * abs(e - s)), false))",
+)
+def planner_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a planned chart that their evidence bears out."""
+    from quarrylane.operators import charts
+
+    o, k, price = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_totalprice")
+    points = o.select(
+        k.alias("point_id"),
+        F.array(k, k + 1).alias("evidence_ids"),
+        F.when(k % 3 == 0, price).when(k % 3 == 1, price * F.lit(1.002)).otherwise(price * F.lit(0.5)).alias("value"),
+        F.when(k % 3 == 2, price * F.lit(0.5)).alias("start"),
+        F.when(k % 3 == 2, price).alias("end"),
+    )
+    numbers = o.where(k % 7 != 0).select(k.alias("evidence_id"), price.alias("number")).union(o.where(k % 2 == 0).select(k, price * F.lit(0.5)))
+    return charts.valid_points(points, numbers)
+
+
+@CATALOG.query(
+    "slot_artifacts",
+    """WITH s AS (SELECT n_nationkey AS slot_id, CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS chart_type, [0, 1, n_nationkey % 5] AS ids FROM nation),
+    c AS (SELECT n_nationkey AS slot_id, r_regionkey AS candidate_id, CASE WHEN r_regionkey % 2 = 0 THEN 'A' ELSE 'B' END AS chart, (r_regionkey * 7 + n_nationkey) % 5 AS score, [r_regionkey] AS used FROM nation, region)
+    SELECT slot_id, candidate_id, chart FROM s JOIN c USING (slot_id) WHERE list_has_all(ids, used) QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY chart <> chart_type, score DESC, candidate_id) = 1""",
+)
+def slot_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylane.operators import charts
+
+    n = F.col("n_nationkey")
+    slots = table(spark, sf_dir, "nation").select(n.alias("slot_id"), F.when(n % 2 == 0, "A").otherwise("B").alias("chart_type"), F.array(F.lit(0), F.lit(1), n % 5).alias("evidence_ids"))
+    each = table(spark, sf_dir, "nation").select(n.alias("slot_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("candidate_id"))
+    c = F.col("candidate_id")
+    made = each.select("slot_id", "candidate_id", F.when(c % 2 == 0, "A").otherwise("B").alias("chart"), ((c * 7 + F.col("slot_id")) % 5).alias("score"), F.array(c).alias("used_ids"))
+    return charts.slot_artifacts(slots, made)
