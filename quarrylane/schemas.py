@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "timestamp": T.TimestampType(),
+    "decimal(12,6)": T.DecimalType(12, 6),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema from ``name type [not null]`` entries; needs no session."""
+    parts = [c.split(" ", 2) for c in columns.split(", ")]
+    return T.StructType([T.StructField(p[0], _TYPES[p[1]], len(p) < 3) for p in parts])
 
 
 # Table layouts.
