@@ -31,7 +31,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents by the target weights of their sources, shuffled; copies are repeated rows."""
-    return mixing.mixed(docs, MIX_WEIGHTS).select(*[f"`{c}`" for c in docs.columns])
+    return mixing.mixed(docs, MIX_WEIGHTS, copy_col="__ql_copy", key_col="__ql_mix").select(*[f"`{c}`" for c in docs.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

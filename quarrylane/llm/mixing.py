@@ -84,14 +84,18 @@ def mixed(
     epochs: float = 1.0,
     seed: int = DEFAULT_SEED,
     broadcast_sources: int = BROADCAST_SOURCES,
+    copy_col: str = "copy_no",
+    key_col: str = "mix_key",
 ) -> DataFrame:
-    """The columns of ``docs``, then ``copy_no`` (long, from 0) and ``mix_key`` (string): one row per copy, dealt to partitions and ordered there by ``mix_key``.
+    """The columns of ``docs``, then ``copy_col`` (long, from 0) and ``key_col`` (string): one row per copy, dealt to partitions and ordered there by the key.
 
-    Ordering everything by ``mix_key`` gives one fixed global shuffle. A null
+    Ordering everything by the key gives one fixed global shuffle. A null
     id is hashed as the empty string; rows that repeat an id get the same
     number of copies and the same keys. An empty table gives an empty mix.
-    Names in ``docs`` other than the two added ones may be anything.
+    ``docs`` may have any other columns; of those named as the two added ones the added ones must be renamed.
     """
+    if clash := {copy_col, key_col} & set(docs.columns):
+        raise ValueError(f"name the added columns otherwise: {sorted(clash)} are columns of the documents")
     by_source = rates(docs, weights, source_col, epochs)
     small = by_source.select(F.col("source").alias("__ql_source"), F.col("rate").alias("__ql_rate"), cumulative(F.col("rate") / parts(F.col("rate"))).alias("__ql_cdf"))
     names = [F.col(f"`{c}`") for c in docs.columns]
@@ -105,6 +109,6 @@ def mixed(
         salt = F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")
         joined = tagged.withColumn("__ql_own", salt).join(salted, (F.col("__ql_key") == F.col("__ql_source")) & (F.col("__ql_own") == F.col("__ql_salt")))
     n = copies(F.col("__ql_rate"), F.col("__ql_cdf"), seed, ident)
-    copied = joined.withColumn("__ql_n", n).where("__ql_n > 0").select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ql_n") - 1)).alias("copy_no"))
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(ident.cast("string"), F.lit("")), F.col("copy_no").cast("string")))
-    return copied.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    copied = joined.withColumn("__ql_n", n).where("__ql_n > 0").select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ql_n") - 1)).alias(copy_col))
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(ident.cast("string"), F.lit("")), F.col(copy_col).cast("string")))
+    return copied.withColumn(key_col, key).repartition(key_col).sortWithinPartitions(key_col)

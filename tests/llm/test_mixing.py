@@ -50,3 +50,13 @@ def test_order_is_fixed_and_awkward_rows(spark):
     again = [tuple(r) for r in mixing.mixed(table.repartition(3), epochs=5.0).orderBy("mix_key", "text").collect()]
     assert first == again and len(first) > 10
     assert mixing.mixed(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
+
+
+def test_clashing_names(spark):
+    import pytest
+
+    table = awkward(spark).withColumnRenamed("fp", "copy_no").withColumnRenamed("id", "mix_key")
+    with pytest.raises(ValueError):
+        mixing.mixed(table)
+    got = mixing.mixed(table, copy_col="c", key_col="k", epochs=3.0)
+    assert got.columns == [*table.columns, "c", "k"] and got.count() > 3
