@@ -134,3 +134,10 @@ def normalised_year(c: Column) -> Column:
 def redacted(c: Column) -> Column:
     """Secrets masked in log text."""
     return F.regexp_replace(c, r"(?i)\b(token|password|secret|api[_-]?key)\b(\s*[=:]\s*)\S+", "$1$2***")
+
+
+def call_period(title: Column) -> Column:
+    """(quarter, year) of a title such as ``Q2 2024 Earnings Call``; nulls where it is no such title."""
+    rule = r"(?i)\bQ([1-4])\s+(20\d{2})\s+Earnings\s+Call\b"
+    part = lambda i: F.regexp_extract(title, rule, i).try_cast("int")
+    return F.struct(part(1).alias("quarter"), part(2).alias("year"))

@@ -84,3 +84,10 @@ def _facet(uid: Column, kind: str):
         return F.struct(ident.alias("embedding_id"), F.lit(kind).alias("embedding_type"), term.alias("term"))
 
     return row
+
+
+def workbook_qa(cells: DataFrame, by: str) -> DataFrame:
+    """Formulas per workbook, those without a cached value, and the severity of that: medium if any, else none."""
+    formula = F.col("formula").isNotNull()
+    counts = cells.groupBy(by).agg(F.count_if(formula).alias("formulas"), F.count_if(formula & F.col("value").isNull()).alias("uncached"))
+    return counts.withColumn("severity", F.when(F.col("uncached") > 0, "medium").otherwise("none"))

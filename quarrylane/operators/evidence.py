@@ -50,3 +50,17 @@ def coverage(chunks: DataFrame, by: list[str], section: str, most: int = 8) -> D
 
 def status(has_findings: Column, has_gaps: Column) -> Column:
     return F.when(has_findings & has_gaps, "partial_success").when(has_findings, "success").otherwise("no_available_data")
+
+
+def valid_findings(findings: DataFrame, pages: DataFrame, on: list[str]) -> DataFrame:
+    """Findings with a text; a page that its file doesn't have becomes null, metric values become numbers.
+
+    ``findings``: ``finding``, ``page``, ``metric_value`` and the keys ``on``; ``pages``: keys and ``page``.
+    """
+    from quarrylane.functions import text
+
+    real = findings.where(F.coalesce(F.trim("finding"), F.lit("")) != "")
+    known = pages.select(*on, F.col("page").alias("__p")).distinct()
+    same = [F.col(f"f.{k}") == F.col(f"k.{k}") for k in on] + [F.col("f.page") == F.col("k.__p")]
+    joined = real.alias("f").join(known.alias("k"), same, "left")
+    return joined.select(*[F.col(f"f.{c}") for c in findings.columns if c not in ("finding", "page", "metric_value")], text.collapsed(F.col("f.finding")).alias("finding"), F.col("k.__p").alias("page"), text.parse_number(F.col("f.metric_value")).alias("metric_value"))

@@ -289,3 +289,30 @@ def unit_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("document_order", f"WITH {CHUNKS_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY bank ORDER BY file_id, page) AS INTEGER) AS place FROM chunks")
 def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("doc_id", F.row_number().over(Window.partitionBy("bank").orderBy("file_id", "page")).alias("place"))
+
+
+@CATALOG.query("call_period", r"SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(t, '(?i)\bQ([1-4])\s+(20\d{2})\s+Earnings\s+Call\b', 1), '') AS INTEGER) AS quarter, TRY_CAST(nullif(regexp_extract(t, '(?i)\bQ([1-4])\s+(20\d{2})\s+Earnings\s+Call\b', 2), '') AS INTEGER) AS year FROM (SELECT o_orderkey, 'Bank Q' || o_orderkey % 6 || ' 20' || 10 + o_orderkey % 20 || ' earnings call' AS t FROM orders)")
+def call_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    title = F.concat(F.lit("Bank Q"), (k % 6).cast("string"), F.lit(" 20"), (10 + k % 20).cast("string"), F.lit(" earnings call"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.call_period(title).alias("p")).select("o_orderkey", "p.quarter", "p.year")
+
+
+@CATALOG.query("workbook_qa", "SELECT s_suppkey % 5 AS book, count(*) FILTER (s_suppkey % 2 = 0) AS formulas, count(*) FILTER (s_suppkey % 2 = 0 AND s_suppkey % 7 = 0) AS uncached, CASE WHEN count(*) FILTER (s_suppkey % 2 = 0 AND s_suppkey % 7 = 0) > 0 THEN 'medium' ELSE 'none' END AS severity FROM supplier GROUP BY 1")
+def workbook_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    cells = table(spark, sf_dir, "supplier").select((k % 5).alias("book"), F.when(k % 2 == 0, "A1+1").alias("formula"), F.when(k % 7 != 0, F.col("s_name")).alias("value"))
+    return chunking.workbook_qa(cells, "book")
+
+
+@CATALOG.query(
+    "valid_findings",
+    f"""WITH {CHUNKS_SQL} SELECT c.doc_id, trim(regexp_replace(substr(c.text, 1, 30), '\\s+', ' ', 'g')) AS finding, k.page AS page, CAST(c.n_chars AS DOUBLE) AS metric_value
+      FROM chunks c LEFT JOIN (SELECT DISTINCT file_id, page FROM chunks) k ON c.file_id = k.file_id AND c.page + 3 = k.page WHERE trim(substr(c.text, 1, 30)) <> ''""",
+)
+def valid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylane.operators import evidence
+
+    c = chunks(spark, sf_dir)
+    found = c.select("doc_id", "file_id", F.substring("text", 1, 30).alias("finding"), (F.col("page") + 3).alias("page"), F.concat(F.lit("$"), F.col("n_chars").cast("string")).alias("metric_value"))
+    return evidence.valid_findings(found, c, ["file_id"]).select("doc_id", "finding", "page", "metric_value")

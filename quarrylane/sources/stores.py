@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,19 @@ def yaml_rows(text: str, required: tuple[str, ...] = ("model", "layer", "name"))
     return [x for x in items if isinstance(x, dict) and all(x.get(k) for k in required)]
 
 
+def archived(folder: str) -> str | None:
+    """Zip a driver folder beside itself under a name not yet taken, and empty it; None if there is nothing in it."""
+    if not os.path.isdir(folder) or not os.listdir(folder):
+        return None
+    stem, n = f"{folder.rstrip('/')}_{time.strftime('%Y%m%dT%H%M%S')}", 0
+    while os.path.exists(f"{stem}_{n}.zip"):
+        n += 1
+    made = shutil.make_archive(f"{stem}_{n}", "zip", folder)
+    shutil.rmtree(folder)
+    os.makedirs(folder)
+    return made
+
+
 class RunLock:
     """An exclusive lock file on the driver; one older than a day is taken over, and a failed run leaves its own behind."""
 

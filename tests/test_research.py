@@ -79,6 +79,11 @@ def test_stores(spark, tmp_path):
     assert stores.described(spark, "no_such_table") is None
     assert stores.yaml_rows("- {model: a, layer: b, name: c}\n- {model: a}\n") == [{"model": "a", "layer": "b", "name": "c"}]
     assert len(stores.yaml_rows("x: {model: a, layer: b, name: c}\ny: 3\n")) == 1
+    folder = tmp_path / "progress"
+    assert stores.archived(str(folder)) is None
+    folder.mkdir()
+    (folder / "a.json").write_text("{}")
+    assert os.path.exists(stores.archived(str(folder))) and not os.listdir(folder)
     path = str(tmp_path / "lock")
     with stores.RunLock(path):
         with pytest.raises(FileExistsError), stores.RunLock(path):
