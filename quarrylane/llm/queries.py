@@ -41,7 +41,22 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
-@CATALOG.query("op5_embedding_dedup")
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x IS NULL OR NOT isfinite(x)]) = 0
+           AND len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x <> 0]) > 0, false) AS ok
+  FROM embeddings),
+l AS (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.rid <> b.rid AND a.ok AND b.ok AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT rid, rid FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b = v.rid GROUP BY r.a),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+@CATALOG.query("op5_embedding_dedup", OP5_SQL)
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -63,9 +78,29 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-@CATALOG.query("op8_chat_perspectives")
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos,
+         replace(translate(coalesce(role, 'unknown'), chr(13) || chr(10), '  '), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+  UNION ALL SELECT conv_id, NULL FROM t GROUP BY conv_id HAVING bool_and(speaker = 'system')),
+r AS (SELECT t.conv_id, perspective, pos // 64 AS segment, pos, coalesce(speaker = perspective, false) AS mine, text,
+    '<|im_start|>' || CASE WHEN coalesce(speaker = perspective, false) THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+c AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM r),
+a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM c)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(piece, '' ORDER BY pos) AS text,
+       coalesce(string_agg((begin_at + length(head)) || '-' || (begin_at + length(piece) - 1), ',' ORDER BY pos) FILTER (mine), '') AS mask
+FROM a GROUP BY conv_id, perspective, segment
+"""
+
+
+@CATALOG.query("op8_chat_perspectives", OP8_SQL)
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.perspectives(table(spark, sf_dir, "conversations"))
+    """The operator's rows, with the mask as text."""
+    span = lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))
+    return chat.perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(F.transform("mask", span), ","))
 
 
 @CATALOG.query("op9_token_counts")
