@@ -134,7 +134,7 @@ def rules() -> tuple[Rule, ...]:
             elif form == "address" and f.address:
                 made.append((f.label, form, priority, ("http", "www."), rf"(?:https?://|www\.)(?:www\.)?{f.address}[\w./-]*"))
             elif form == "grant":
-                made.append((f.label, form, priority, ("under", " by"), rf"{GRANT}(?:{f.name})"))
+                made.append((f.label, form, priority, ("under", "by"), rf"{GRANT}(?:{f.name})"))
             elif form == "title":
                 made.append((f.label, form, priority, tuple(f.keyword.split("|")), rf"(?m)^[ \t#*/;-]*(?:the\s+)?(?:{f.name})[ \t]*(?:\(.{{0,20}}\))?[ \t]*$"))
             elif form == "name":
@@ -179,7 +179,7 @@ class Scanner:
             self.gate.add_word(k, tuple(members))
         self.gate.make_automaton()
         # A first gate, as many keywords are common words: no rule matches a text without one of these.
-        self.anchors = re.compile(r"licen[cs]|spdx|creative|\bcc|public\s+domain|rights\s+reserved|wtf|bsd|gnu\.org|mozilla\.org|opensource\.org|boost\.org|sil\.org").search
+        self.anchors = re.compile(r"licen[cs]|spdx|creative|\bcc|public\s+domain|rights\s+reserved|wtf|bsd|gnu\.org|mozilla\.org|eclipse\.org|opensource\.org|boost\.org|sil\.org").search
 
     def open_rules(self, text: str) -> list[int]:
         return sorted({i for _, members in self.gate.iter(text) for i in members})

@@ -72,3 +72,15 @@ def test_awkward_rows(spark):
     assert licenses.scan(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
     repeated = licenses.summary(licenses.scan(docs(spark, ["MIT, license MIT license license"]))).first()
     assert (repeated.n_words, repeated.n_base, repeated.first_word, repeated.last_word) == (5, 2, 0, 2)
+
+
+def test_every_address_and_line_break_passes_the_gates():
+    """No gate closes before a text that a rule matches."""
+    scanner = licenses.Scanner()
+    texts = [f"see https://{re.sub(r'\\(.)', r'\1', f.address.replace('[-/]?', '/').replace('(?:\\.0)?', '.0'))}" for f in licenses.families() if f.address]
+    texts += ["distributed\nby the mit license", "licensed by\tthe apache license"]
+    for t in texts:
+        full = [licenses.Detection(m.start(), m.end(), r.label, r.priority, i) for i, (r, p) in enumerate(scanner.rules) for m in p.finditer(t) if m.end() > m.start()]
+        assert full and scanner.scan(t) == licenses.suppressed(full), t
+    epl = scanner.scan("see https://www.eclipse.org/legal/epl-2.0/")
+    assert {d.label for d in epl} <= {"epl", "epl-2.0"} and max(d.priority for d in epl) == 90
