@@ -143,7 +143,7 @@ FROM b
 
 @CATALOG.query("op3_lm_scores")
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return lm.score_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 @CATALOG.query("op4_quality_rules", OP4_SQL)
