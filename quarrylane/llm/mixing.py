@@ -3,21 +3,24 @@
 Each source gets a mean repetition rate that brings it to its share of the
 mix. A document's number of copies inverts the Poisson distribution of that
 mean at a uniform value seeded by a hash of its id, so it is the same wherever
-and however often it is computed. Copies are then shuffled globally by another
-hash. All of it is DataFrame functions.
+and however often it is computed. Rows whose id is null or repeated are told
+apart by their text, and equal ones of these by a number. Copies are then
+shuffled globally by another hash. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.llm.staging import staged
 
 #: Up to so many sources their rates are broadcast; beyond, they are joined by a shuffle with salted keys.
 BROADCAST_SOURCES = 10_000
+#: Up to so many repeated ids are broadcast.
+BROADCAST_IDS = 100_000
 SALTS = 32
 #: A higher mean is drawn as a sum of Poisson parts of at most this mean, so that exp(-mean) stays a normal number.
 MAX_MEAN = 512.0
@@ -76,11 +79,42 @@ def parts(rate: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(rate / MAX_MEAN).cast("int"))
 
 
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with a column ``__ql_ident`` (string) that no two rows share: the id where it is a row's own, else id, text hash and a number.
+
+    Rows that are equal in id and text are numbered from 0, so which of them has
+    which number makes no difference. Numbers come from those within a
+    partition and a running sum over partitions; no group meets in one task.
+    """
+    ident = F.col(f"`{id_col}`").cast("string")
+    repeated = staged(docs.groupBy(ident.alias("__ql_id")).agg(F.count("*").alias("n")).where("__ql_id is null or n > 1").select("__ql_id"), "repeated_ids")
+    n = repeated.count()
+    if not n:
+        return docs.withColumn("__ql_ident", ident)
+    named = repeated.where("__ql_id is not null").withColumn("__ql_odd", F.lit(True))
+    if n <= broadcast_ids:
+        named = F.broadcast(named)
+    marked = docs.where(ident.isNotNull()).join(named, ident == F.col("__ql_id"), "left").drop("__ql_id")
+    own = marked.where("__ql_odd is null").drop("__ql_odd").withColumn("__ql_ident", ident)
+    text = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) if text_col in docs.columns else F.lit("")
+    odd = marked.where("__ql_odd").drop("__ql_odd").unionByName(docs.where(ident.isNull()))
+    odd = staged(odd.withColumn("__ql_ident", F.concat_ws("|", F.coalesce(ident, F.lit("")), text)).withColumn("__ql_part", F.spark_partition_id()), "repeated_rows")
+    counts = odd.groupBy("__ql_ident", "__ql_part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("__ql_ident").orderBy("__ql_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__ql_ident", "__ql_part", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("__ql_before"))
+    here = F.row_number().over(Window.partitionBy("__ql_ident", "__ql_part").orderBy(F.lit(1))) - 1
+    numbered = odd.withColumn("__ql_here", here).join(offsets, ["__ql_ident", "__ql_part"])
+    number = (F.col("__ql_before") + F.col("__ql_here")).cast("string")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return own.unionByName(numbered.select(*names, F.concat_ws("|", "__ql_ident", number).alias("__ql_ident")))
+
+
 def mixed(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     epochs: float = 1.0,
     seed: int = DEFAULT_SEED,
     broadcast_sources: int = BROADCAST_SOURCES,
@@ -89,9 +123,10 @@ def mixed(
 ) -> DataFrame:
     """The columns of ``docs``, then ``copy_col`` (long, from 0) and ``key_col`` (string): one row per copy, dealt to partitions and ordered there by the key.
 
-    Ordering everything by the key gives one fixed global shuffle. A null
-    id is hashed as the empty string; rows that repeat an id get the same
-    number of copies and the same keys. An empty table gives an empty mix.
+    Ordering everything by the key gives one fixed global shuffle. Rows whose
+    id is null or repeated get copies and keys of their own (see
+    ``told_apart``), so no key is hot. An empty table gives an empty mix; a
+    null text counts as empty.
     ``docs`` may have any other columns; of those named as the two added ones the added ones must be renamed.
     """
     if clash := {copy_col, key_col} & set(docs.columns):
@@ -99,8 +134,8 @@ def mixed(
     by_source = rates(docs, weights, source_col, epochs)
     small = by_source.select(F.col("source").alias("__ql_source"), F.col("rate").alias("__ql_rate"), cumulative(F.col("rate") / parts(F.col("rate"))).alias("__ql_cdf"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    ident = F.col(f"`{id_col}`")
-    tagged = docs.withColumn("__ql_key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    ident = F.col("__ql_ident")
+    tagged = told_apart(docs, id_col, text_col).withColumn("__ql_key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     if by_source.limit(broadcast_sources + 1).count() <= broadcast_sources:
         joined = tagged.join(F.broadcast(small), F.col("__ql_key") == F.col("__ql_source"))
     else:
@@ -109,6 +144,6 @@ def mixed(
         salt = F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")
         joined = tagged.withColumn("__ql_own", salt).join(salted, (F.col("__ql_key") == F.col("__ql_source")) & (F.col("__ql_own") == F.col("__ql_salt")))
     n = copies(F.col("__ql_rate"), F.col("__ql_cdf"), seed, ident)
-    copied = joined.withColumn("__ql_n", n).where("__ql_n > 0").select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ql_n") - 1)).alias(copy_col))
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(ident.cast("string"), F.lit("")), F.col(copy_col).cast("string")))
-    return copied.withColumn(key_col, key).repartition(key_col).sortWithinPartitions(key_col)
+    copied = joined.withColumn("__ql_n", n).where("__ql_n > 0").select(*names, ident, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ql_n") - 1)).alias(copy_col))
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col(copy_col).cast("string")))
+    return copied.withColumn(key_col, key).drop("__ql_ident").repartition(key_col).sortWithinPartitions(key_col)

@@ -60,3 +60,20 @@ def test_clashing_names(spark):
         mixing.mixed(table)
     got = mixing.mixed(table, copy_col="c", key_col="k", epochs=3.0)
     assert got.columns == [*table.columns, "c", "k"] and got.count() > 3
+
+
+def test_null_and_repeated_ids_are_drawn_apart(spark):
+    """Rows that share an id, or have none, get copies and keys of their own; equal rows too, however they are dealt out."""
+    rows = [(None, f"text {i}", "en", "src0", 1) for i in range(200)] + [(5, f"other {i}", "en", "src0", 1) for i in range(200)] + [(None, "the same", "en", "src1", 1)] * 200
+    table = spark.createDataFrame(rows, DOC_SCHEMA)
+    for ids in (1, 100):
+        apart = mixing.told_apart(table.repartition(7), broadcast_ids=ids)
+        assert apart.select("__ql_ident").distinct().count() == len(rows) and apart.drop("__ql_ident").exceptAll(table).count() == 0
+    got = mixing.mixed(table, epochs=3.0).collect()
+    assert len({r.mix_key for r in got}) == len(got)
+    for kind in ("text", "other"):
+        counts = Counter(r.text for r in got if r.text.startswith(kind))
+        assert len(set(counts.values())) > 2 and len(counts) > 150
+    assert 450 < sum(r.text == "the same" for r in got) < 750
+    again = mixing.mixed(table.repartition(3), epochs=3.0).collect()
+    assert sorted((r.text, r.mix_key) for r in got) == sorted((r.text, r.mix_key) for r in again)
