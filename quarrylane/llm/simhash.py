@@ -22,7 +22,7 @@ from operator import getitem
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm.staging import components, discard, staged
@@ -36,38 +36,48 @@ SMALL_GROUP = 16
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint of a text, unsigned; 0 for null and for a text without words."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle_words, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
-    ends = ends[k - 1 :].tolist()
-    n = len(starts)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1]
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), _CHUNK):
+        first, last = starts[at : at + _CHUNK].tolist(), ends[k - 1 + at : k - 1 + at + _CHUNK].tolist()
+        spans = map(getitem, repeat(joined), map(slice, first, last))
+        out[at : at + _CHUNK] = np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(SEED)), dtype=np.uint64, count=len(first))
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _CHUNK):
-        spans = map(getitem, repeat(joined), map(slice, starts[at : at + _CHUNK], ends[at : at + _CHUNK]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(SEED)), dtype=np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64)
         for low in range(0, len(bits), 255):
             counts += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit fingerprint of a text, unsigned; 0 for null and for a text without words."""
+    return majority(shingle_hashes(text, shingle_words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long) for every row of ``docs``."""
+    """``id``, ``h`` (a hash of the text) and ``fp`` (the fingerprint as a signed long) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, "id long, h long, fp long")
 
 
 def segment_bounds(max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -184,6 +194,16 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = B
     return out
 
 
+def _rooted(prints: DataFrame, max_bits: int, block_rows: int) -> DataFrame:
+    """``fp``, ``root`` (the component's fingerprint) and ``first`` (its first row: smallest id, then text hash; a null id comes last) of every fingerprint."""
+    own = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("own_first")
+    distinct = staged(prints.groupBy("fp").agg(own), "distinct")
+    roots = components(links(distinct.select("fp"), max_bits, block_rows))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "own_first", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("own_first").alias("first"))
+    return rooted.join(firsts, "root").select("fp", "root", "first")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -202,25 +222,26 @@ def near_duplicates(
     empty table gives an empty result.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    edges = links(distinct.select("fp"), max_bits, block_rows)
-    roots = components(edges)
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("fp", "component_id")
+    of_print = _rooted(prints, max_bits, block_rows).select("fp", F.col("first.id").alias("component_id"))
     return prints.join(of_print, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns.
+def keep_rows(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``first.id`` and ``first.h``, with all columns; of rows equal in both, one."""
+    kept = firsts.select(F.col("first.id").alias("__ql_id"), F.col("first.h").alias("__ql_h"))
+    keyed = docs.withColumns({"__ql_row_id": F.col(id_col).cast("long"), "__ql_row_h": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("__ql_row_id").eqNullSafe(F.col("__ql_id")) & (F.col("__ql_row_h") == F.col("__ql_h"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__ql_row_id", "__ql_row_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
-    The document with the group's smallest id stays. Rows that share an id
-    count as one document: of these the one with the smallest text hash stays.
-    Rows with a null id count as one document that comes after all others.
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns.
+
+    Rows are told apart by their fingerprints, not by their ids: each group
+    keeps its row with the smallest id, of equal ids the one with the smallest
+    text hash; a null id comes after all others.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ql_id")).distinct()
-    texts = docs.withColumn("__ql_order", F.xxhash64(text_col))
-    joined = texts.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__ql_id")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy("__ql_order")
-    return joined.withColumn("__ql_rank", F.row_number().over(order)).where("__ql_rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = staged(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    return keep_rows(docs, _rooted(prints, max_bits, block_rows).select("first").distinct(), id_col, text_col)

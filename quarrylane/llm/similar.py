@@ -1,10 +1,13 @@
-"""Near-dedup at a Jaccard similarity of word shingles.
+"""SimHash near-dedup (operator 10) carried on to a Jaccard similarity of word shingles.
 
 Two texts are linked when their sets of five-word shingles have a Jaccard
-similarity of at least 0.8. Candidates share one of ``BANDS`` hashes of
-``BAND_ROWS`` minhashes each: a pair at exactly 0.8 shares none with a chance of
-(1 - 0.8 ** 5) ** 32, 3 in a million, and a closer pair with less. Every link is
-verified on the shingle sets.
+similarity of at least 0.8. The first candidates are what operator 10's
+deletion variants link: fingerprints over five-word shingles that differ in at
+most ``MAX_BITS`` bits. A pair at 0.8 differs in ten of 64 bits, which no index
+of segments with one wildcard reaches, so the other candidates share one of
+``BANDS`` hashes of ``BAND_ROWS`` minhashes each: a pair at exactly 0.8 shares
+none with a chance of (1 - 0.8 ** 5) ** 32, 3 in a million, and a closer pair
+with less. Every link is verified on the shingle sets.
 
 Equal sets count once. Of a bucket's members each is first compared with one
 that follows it, which joins groups of near copies at little cost. Buckets that
@@ -15,8 +18,6 @@ over ``BLOCK_ROWS`` members by pairs of blocks in separate tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
-from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylane.llm.simhash import MAX_BITS, keep_rows, links, majority, shingle_hashes
 from quarrylane.llm.staging import components, discard, staged
 
 SEED = 42
@@ -42,15 +44,7 @@ _TERMS = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    k = min(SHINGLE_WORDS, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
-    spans = map(getitem, repeat(joined), map(slice, starts, ends[k - 1 :].tolist()))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(SEED)), dtype=np.uint64, count=len(starts)))
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -78,19 +72,32 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``h``, ``sid`` (names the shingle set) and ``keys`` (its bands) for every row of ``docs``."""
+    """``id``, ``h``, ``sid`` (names the shingle set), ``fp`` (the text's fingerprint) and ``keys`` (the set's bands) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            sids, keys = [], []
+            sids, prints, keys = [], [], []
             for t in batch.column(2):
-                shingles = shingle_set(t.as_py())
+                hashes = shingle_hashes(t.as_py(), SHINGLE_WORDS)
+                shingles = np.unique(hashes)
                 sids.append(_set_id(shingles))
+                prints.append(_long(majority(hashes)))
                 keys.append(band_keys(shingles))
-            columns = [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "sid", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "sid", "fp", "keys"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, h long, sid long, keys array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, h long, sid long, fp long, keys array<long>")
+
+
+def simhash_candidates(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``a``, ``b`` of shingle sets whose texts' fingerprints are equal or linked by deletion variants, one pair for each such link."""
+    sets = rows.where(F.size("keys") > 0).groupBy("fp", "sid").agg(F.lit(1)).select("fp", "sid")
+    firsts = sets.groupBy("fp").agg(F.min("sid").alias("first"))
+    equal = sets.join(firsts, "fp").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    found = links(firsts.select("fp"), max_bits)
+    side = lambda name: firsts.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}"))
+    linked = found.join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return equal.union(linked).where("a <> b").distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -153,14 +160,16 @@ def groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     by_key = Window.partitionBy("key").orderBy("sid")
     exploded = distinct.select("sid", F.explode("keys").alias("key")).select("key", "sid", F.lag("sid").over(by_key).alias("before"), F.lead("sid").over(by_key).alias("after"))
     members = staged(exploded.where("before is not null or after is not null").drop("before"), "members")
-    needed = rows.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(first).select("first.id", "first.h").withColumnsRenamed({"id": "__id", "h": "__h"})
+    close = staged(simhash_candidates(rows), "close")
+    wanted = members.select("sid").union(close.select("a")).union(close.select("b")).distinct()
+    needed = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(first).select("first.id", "first.h").withColumnsRenamed({"id": "__id", "h": "__h"})
     texts = _keyed(docs, id_col, text_col).join(needed, F.col("id").eqNullSafe(F.col("__id")) & F.col("h").eqNullSafe(F.col("__h")), "left_semi")
     sets = staged(_sets(texts).dropDuplicates(["sid"]), "sets")
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("sid").alias(name), F.col("shingles").alias(f"set_{name}"))
 
-    pairs = members.where("after is not null").groupBy(F.col("sid").alias("a")).agg(F.min("after").alias("b"))
+    pairs = members.where("after is not null").groupBy(F.col("sid").alias("a")).agg(F.min("after").alias("b")).union(close)
     near = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b"), "near")
     roots = components(near)
     rooted = members.join(roots, members.sid == roots.node, "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
@@ -171,7 +180,7 @@ def groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     spread = members.join(mixed, "key").withColumn("own", own).select("key", "sid", F.explode(block_pairs).alias("pair"))
     more = spread.join(sets, "sid").groupBy("key", "pair").applyInArrow(_link_bucket, "a long, b long")
     links = staged(near.union(more).distinct(), "links")
-    for table in (members, sets, near):
+    for table in (members, close, sets, near):
         discard(table)
     return components(links).select(F.col("node").alias("sid"), "root")
 
@@ -179,15 +188,12 @@ def groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row of each group of near duplicates, with all its columns.
 
-    The row with the smallest id stays, of equal ids the one with the smallest
+    Rows are told apart by their texts, not by their ids. The row with the smallest id stays, of equal ids the one with the smallest
     text hash; a null id comes after all others. Texts without words are one
     group.
     """
     rows = staged(signatures(docs, id_col, text_col), "signatures")
     roots = groups(rows, docs, id_col, text_col, block_rows)
     sets = rows.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first"))
-    firsts = sets.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("__ql_id"), F.col("first.h").alias("__ql_h"))
-    own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    keyed = docs.withColumns({"__ql_row_id": own_id, "__ql_row_h": own_hash})
-    kept = keyed.join(firsts, F.col("__ql_row_id").eqNullSafe(F.col("__ql_id")) & (F.col("__ql_row_h") == F.col("__ql_h")), "left_semi")
-    return kept.dropDuplicates(["__ql_row_id", "__ql_row_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = sets.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("first").alias("first")).select("first")
+    return keep_rows(docs, firsts, id_col, text_col)

@@ -1,14 +1,17 @@
 import hashlib
+import math
 from collections import Counter
 
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from quarrylane.llm import bpe, langid, mixing, quality
+from quarrylane.llm import bpe, langid
+from quarrylane.llm.queries import MIX_WEIGHTS
 from tests.llm.fixtures import DOC_SCHEMA, awkward
 from tests.llm.test_quality import plain as plain_quality
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_mixing import plain_copies
+from tests.llm.test_similar import plain_kept
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,14 +39,19 @@ def test_stages_match_brute_force(spark):
 
     third = corpus_pipeline.dedup_stage(spark, second, DATA)
     assert third.columns == names
-    groups = plain_components([(i, plain_fingerprint(text[i])) for i in sorted(clear)])
+    ordered = sorted(clear)
     unique = {r.doc_id for r in third.collect()}
-    assert unique == set(groups.values())
+    assert unique == {ordered[i] for i in plain_kept([text[i] for i in ordered])}
 
     fourth = corpus_pipeline.mixing_stage(spark, third, DATA)
     assert fourth.columns == names
     copies = Counter(r.doc_id for r in fourth.collect())
-    assert set(copies) <= unique and 0.7 < sum(copies.values()) / len(unique) < 1.3
+    source = {r.doc_id: r.source for r in docs.collect() if r.doc_id in unique}
+    size = Counter(source.values())
+    rest = 1 - sum(MIX_WEIGHTS.values())
+    roots = sum(round(math.sqrt(n), 9) for s, n in size.items() if s not in MIX_WEIGHTS)
+    rate = {s: (MIX_WEIGHTS[s] if s in MIX_WEIGHTS else rest * round(math.sqrt(n), 9) / roots) * len(unique) / n for s, n in size.items()}
+    assert copies == Counter({i: n for i in unique if (n := plain_copies(i, rate[source[i]]))})
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     rows = corpus_pipeline.encoding_stage(spark, fourth, DATA).collect()

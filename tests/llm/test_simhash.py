@@ -86,6 +86,15 @@ def test_awkward_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "7", "None"]
 
 
+def test_keep_first_tells_rows_apart_by_text(spark):
+    """Unrelated texts without an id, or under one id, stay; copies go."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 60)) for _ in range(22)]
+    rows = [(None if i < 20 else 5, t, "en", "src0", 1) for i, t in enumerate(texts)]
+    kept = simhash.keep_first(spark.createDataFrame([*rows, *rows], DOC_SCHEMA)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quarrylane.llm import minhash, simhash
+from quarrylane.llm import similar, simhash
 from tests.llm.fixtures import DOC_SCHEMA, awkward, docs
 
 
@@ -50,19 +50,19 @@ def test_stage_drops_pairs_that_simhash_keeps(spark):
 
 def test_blocks_change_nothing(spark):
     texts = some_texts()
-    kept = minhash.keep_first(docs(spark, texts), block_rows=3).collect()
+    kept = similar.keep_first(docs(spark, texts), block_rows=3).collect()
     assert sorted(r.doc_id for r in kept) == plain_kept(texts)
 
 
 def test_rows_with_null_or_repeated_ids_stay(spark):
     names = ["north", "south", "east", "west"]
     rows = [(i, f"a document about the {n} and nothing else at all", "en", "src0", 1) for i, n in zip((None, None, 3, 3), names)]
-    assert minhash.keep_first(spark.createDataFrame([*rows, *rows], DOC_SCHEMA)).count() == 4
+    assert similar.keep_first(spark.createDataFrame([*rows, *rows], DOC_SCHEMA)).count() == 4
 
 
 def test_awkward_and_empty(spark):
     table = awkward(spark)
-    kept = minhash.keep_first(table)
+    kept = similar.keep_first(table)
     assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "7", "None"]
-    assert minhash.keep_first(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
+    assert similar.keep_first(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
