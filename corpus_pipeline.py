@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylane.llm import bpe, langid, minhash, mixing, quality
+from quarrylane.llm import bpe, langid, mixing, quality, similar
 from quarrylane.llm.queries import MIX_WEIGHTS, byte_bpe
 from quarrylane.llm.staging import staged
 from quarrylane.session import table
@@ -25,8 +25,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 on five-word shingles: the one with the smallest id."""
-    return minhash.keep_first(docs)
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Operator 10's deletion variants give the first candidates; see ``similar``
+    for what they can't reach. Links are verified at a similarity of 0.8 on
+    five-word shingles.
+    """
+    return similar.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
