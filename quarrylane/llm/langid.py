@@ -5,8 +5,8 @@ the word under each of them; a Viterbi pass over the words, with a penalty for
 each switch, labels spans. A text's language is the one with most letters.
 
 The model is a table of hashed trigram counts per language, summed over all
-training rows by Spark, so its size is set by ``BUCKETS`` and ``MAX_LANGUAGES``
-whatever the corpus.
+training rows by Spark, so its size is set by ``BUCKETS`` and the number of
+languages whatever the corpus. No language is left out.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from quarrylane.llm.staging import discard, staged
 
 BUCKETS = 1 << 16
-#: The model holds at most so many languages, those with most training letters.
-MAX_LANGUAGES = 256
+#: A language takes 256 KB in the model, which every executor gets. A column with more values than this holds no languages and is refused.
+MAX_LANGUAGES = 1024
+#: Languages that a task counts before it hands on what it has.
+COUNTED_LANGUAGES = 256
 SWITCH_PENALTY = 15.0
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -62,16 +64,20 @@ SCRIPT_RANGES = {
 }
 #: Script ids: 0 is no letter, 1 a letter of a script not listed, then as listed.
 N_SCRIPTS = 2 + len(SCRIPT_RANGES)
+#: Added to the script id of a combining mark.
+MARK = 0x80
 
 
 @cache
 def _classes() -> np.ndarray:
-    """Script id of every code point; combining marks count as letters, so they stay in their word."""
-    out = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    """Script id of every letter and combining mark. A mark stays in its word, but is no letter."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
+    out = np.fromiter((k in "LM" for k in kinds), dtype=np.uint8, count=0x110000)
     for n, ranges in enumerate(SCRIPT_RANGES.values()):
         for low, high in ranges:
             block = out[low : high + 1]
             block[block > 0] = n + 2
+    out[np.fromiter((k == "M" for k in kinds), dtype=bool, count=0x110000)] |= MARK
     return out
 
 
@@ -83,7 +89,10 @@ def _lowered(text: str) -> str:
 
 @dataclass
 class Words:
-    """Letter runs of a list of text pieces; ``first`` indexes the arrays that have a value per letter."""
+    """Runs of letters and marks with a letter in them, of a list of text pieces; ``first`` indexes the array that has a value per code point.
+
+    ``letters`` counts a word's letters, ``size`` its code points.
+    """
 
     bucket: np.ndarray
     first: np.ndarray
@@ -91,6 +100,7 @@ class Words:
     piece: np.ndarray
     start: np.ndarray
     size: np.ndarray
+    letters: np.ndarray
 
 
 def words_of(pieces: list[str]) -> Words:
@@ -98,6 +108,12 @@ def words_of(pieces: list[str]) -> Words:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = _classes()[points]
     at = np.flatnonzero(kind)
+    marks = kind[at] >= MARK
+    if marks.any():
+        word = np.cumsum(kind[at - 1] == 0) - 1
+        lettered = np.bincount(word, weights=~marks) > 0
+        kind[at[~lettered[word]]] = 0
+        at, marks = at[lettered[word]], marks[lettered[word]]
     points = np.where(kind > 0, points, 0).astype(np.uint32)
     h = points[at - 1] * np.uint32(0x9E3779B1) + points[at] * np.uint32(0x85EBCA77) + points[at + 1] * np.uint32(0xC2B2AE3D)
     bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
@@ -105,7 +121,8 @@ def words_of(pieces: list[str]) -> Words:
     begins = np.cumsum([1, *(len(p) + 1 for p in pieces)])
     where = at[first]
     piece = np.searchsorted(begins, where, side="right") - 1
-    return Words(bucket, first, kind[where], piece, where - begins[piece], np.diff(np.append(first, len(at))))
+    letters = np.add.reduceat(~marks, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    return Words(bucket, first, kind[where] & (MARK - 1), piece, where - begins[piece], np.diff(np.append(first, len(at))), letters)
 
 
 @dataclass
@@ -113,6 +130,7 @@ class Model:
     languages: list[str]
     table: np.ndarray  # [BUCKETS, languages], log probabilities
     candidates: np.ndarray  # [N_SCRIPTS, languages]
+    commonest: int  # the language with most training letters, for words without evidence
     penalty: float = SWITCH_PENALTY
 
     def scores(self, w: Words) -> np.ndarray:
@@ -198,7 +216,11 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def label_words(model: Model, texts: list[str]):
-    """For each text: (labels, starts, sizes) of its words, in code points of the text."""
+    """For each text: (labels, starts, sizes, letters, evidence) of its words, starts and sizes in code points of the text.
+
+    ``evidence`` is false for a word in a script of no language, which scores
+    the same under all.
+    """
     for lo, hi in _blocks(texts):
         pieces, owner, offset = [], [], []
         for i in range(lo, hi):
@@ -208,7 +230,7 @@ def label_words(model: Model, texts: list[str]):
                 owner.append(i - lo)
                 offset.append(at)
                 at += len(p)
-        found, starts, sizes, text = [], [], [], []
+        found, starts, sizes, letters, evidence, text = [], [], [], [], [], []
         group: list[int] = []
 
         def score(group):
@@ -216,6 +238,8 @@ def label_words(model: Model, texts: list[str]):
             found.append(model.scores(w))
             starts.append(w.start + np.array([offset[g] for g in group])[w.piece])
             sizes.append(w.size)
+            letters.append(w.letters)
+            evidence.append(model.candidates[w.script].any(axis=1))
             text.append(np.array([owner[g] for g in group])[w.piece])
 
         size = 0
@@ -227,7 +251,7 @@ def label_words(model: Model, texts: list[str]):
             size += len(p)
         if group:
             score(group)
-        scores, start, n, text = (np.concatenate(x) for x in (found, starts, sizes, text))
+        scores, start, n, n_letters, known, text = (np.concatenate(x) for x in (found, starts, sizes, letters, evidence, text))
         at = np.searchsorted(text, np.arange(hi - lo + 1))
         full = np.flatnonzero(np.diff(at))
         labels = np.zeros(len(scores), dtype=np.int16)
@@ -242,7 +266,7 @@ def label_words(model: Model, texts: list[str]):
                 labels[rows] = viterbi(scores[rows], firsts, model.penalty)
         for i in range(hi - lo):
             s = slice(at[i], at[i + 1])
-            yield labels[s], start[s], n[s]
+            yield labels[s], start[s], n[s], n_letters[s], known[s]
 
 
 def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_mod: int, held: int) -> DataFrame:
@@ -291,7 +315,7 @@ def train(
                 by_lang.setdefault(lang.as_py(), []).append(t.as_py())
             for lang, texts in by_lang.items():
                 if lang not in counts:
-                    if len(counts) >= 2 * MAX_LANGUAGES:  # bounds the memory; what was counted so far is summed by Spark
+                    if len(counts) >= COUNTED_LANGUAGES:  # bounds the memory; what was counted so far is summed by Spark
                         yield from rows()
                         counts.clear()
                         scripts.clear()
@@ -315,13 +339,14 @@ def train(
     )
     sums = staged(sums, "trigram_counts")
     # Slots from 0 are trigram buckets, negative ones scripts; script id 0 never occurs in a word.
-    top = sums.where("slot >= 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in top.collect())
+    languages = sorted(r.lang for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
     counts = np.zeros((BUCKETS, len(languages)))
     scripts = np.zeros((N_SCRIPTS, len(languages)))
     place = {lang: i for i, lang in enumerate(languages)}
     if languages:
-        found = sums.where(F.col("lang").isin(languages)).toArrow()  # at most MAX_LANGUAGES * (BUCKETS + N_SCRIPTS) rows
+        found = sums.toArrow()  # at most MAX_LANGUAGES * (BUCKETS + N_SCRIPTS) rows
         slot, n = found["slot"].to_numpy(), found["n"].to_numpy()
         column = np.array([place[lang] for lang in found["lang"].to_pylist()])
         tri = slot >= 0
@@ -329,17 +354,18 @@ def train(
         scripts[-slot[~tri], column[~tri]] = n[~tri]
     discard(sums)
     table = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
-    return Model(languages, table, scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)), penalty)
+    letters = scripts.sum(axis=0)
+    return Model(languages, table, scripts >= np.maximum(1, SCRIPT_SHARE * letters), int(letters.argmax()) if languages else 0, penalty)
 
 
 def _add(counts: np.ndarray, scripts: np.ndarray, pieces: list[str]) -> None:
     w = words_of(pieces)
     counts += np.bincount(w.bucket, minlength=BUCKETS)
-    scripts += np.bincount(w.script, weights=w.size, minlength=N_SCRIPTS).astype(np.int64)
+    scripts += np.bincount(w.script, weights=w.letters, minlength=N_SCRIPTS).astype(np.int64)
 
 
 def _mapped(docs: DataFrame, model: Model, text_col: str, keep: list, rows, schema: str) -> DataFrame:
-    """``rows(labels, starts, sizes, model)`` of every text, beside the kept columns of its row."""
+    """``rows(batch, model, labelled words of each text)``, beside the kept columns of the row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,31 +376,40 @@ def _mapped(docs: DataFrame, model: Model, text_col: str, keep: list, rows, sche
                 labelled = label_words(m, texts)
             else:
                 none = np.empty(0, np.int64)
-                labelled = ((none, none, none) for _ in texts)
+                labelled = ((none,) * 5 for _ in texts)
             yield rows(batch, m, labelled)
 
     return docs.select(F.col(text_col).cast("string").alias("__ql_t"), *keep).mapInArrow(run, schema)
 
 
+def share(model: Model, labels: np.ndarray, letters: np.ndarray, evidence: np.ndarray) -> tuple[int, float]:
+    """The language that labels most letters of words with evidence, the first by name in a tie, and its share of all letters.
+
+    Without evidence it is the commonest training language, and the share is 0.
+    """
+    known = np.bincount(labels, weights=letters * evidence, minlength=len(model.languages))
+    k = int(known.argmax()) if known.any() else model.commonest
+    return k, float(known[k] / letters.sum())
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` for every row of ``docs``.
 
     ``lang_pred`` is the language that labels most letters (the first by name
-    in a tie), ``score`` its share of all letters. A null text, one without
-    letters, or a model without languages gives ``und`` and 0.
+    in a tie), ``score`` its share of all letters. Words in a script that no
+    language was learnt in are no evidence; a text of such words alone gets the
+    commonest training language and 0. A null text, one without letters, or a
+    model without languages gives ``und`` and 0. Null and repeated ids stay
+    rows of their own, other columns are not looked at, and an empty table
+    gives an empty result.
     """
 
     def rows(batch, m, labelled):
         preds, scores = [], []
-        for labels, _, sizes in labelled:
-            if not len(labels):
-                preds.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            letters = np.bincount(labels, weights=sizes, minlength=len(m.languages))
-            k = int(letters.argmax())
-            preds.append(m.languages[k])
-            scores.append(float(letters[k] / letters.sum()))
+        for labels, _, _, letters, evidence in labelled:
+            k, score = share(m, labels, letters, evidence) if len(labels) else (-1, 0.0)
+            preds.append(m.languages[k] if len(labels) else UNDETERMINED)
+            scores.append(score)
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     ident = F.col(id_col).cast("long").alias("__ql_id")
@@ -386,7 +421,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def rows(batch, m, labelled):
         out = []
-        for labels, starts, sizes in labelled:
+        for labels, starts, sizes, *_ in labelled:
             cuts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.empty(0, int)
             ends = np.append(cuts[1:], len(labels)) - 1
             out.append([{"start": int(starts[a]), "end": int(starts[b] + sizes[b]), "lang": m.languages[labels[a]]} for a, b in zip(cuts, ends[: len(cuts)], strict=True)])
@@ -398,16 +433,16 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def filtered(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a determined language that holds at least ``min_score`` of the letters, with all columns; no shuffle."""
+    """The rows of ``docs`` in a determined language that holds at least ``min_score`` of the letters, with all columns, whatever their names; no shuffle.
+
+    Rows that ``predict`` gives ``und`` or a lower score go.
+    """
     names = docs.columns
     fields = docs.select(*[F.col(f"`{c}`").alias(f"__ql_{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"__ql_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def rows(batch, m, labelled):
-        keep = []
-        for labels, _, sizes in labelled:
-            letters = np.bincount(labels, weights=sizes, minlength=1) if len(labels) else np.zeros(1)
-            keep.append(bool(letters.sum()) and bool(letters.max() >= min_score * letters.sum()))
+        keep = [bool(len(labels)) and share(m, labels, letters, evidence)[1] >= min_score for labels, _, _, letters, evidence in labelled]
         return batch.select(range(1, batch.num_columns)).filter(pa.array(keep, pa.bool_()))
 
     source = f"__ql_{names.index(text_col)}"
