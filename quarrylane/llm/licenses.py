@@ -2,11 +2,14 @@
 
 A rule is a regular expression with a label, a priority and literal keywords.
 An Aho-Corasick automaton over all keywords reads a text once and opens the
-gate of the rules whose keyword occurs; only those expressions run. A detection
-inside a longer or equal one of at least its priority is suppressed.
-
-Rules are written per family of licenses as forms of a name; each form of
-speech below (tag, address, grant, title, bare name) makes one rule of it.
+gate of the rules whose keywords occur; only those expressions run. A detection
+inside another is suppressed if that one's priority is higher or, at the same
+priority, it is longer or its rule comes first. A longer detection of lower
+priority does not suppress what it holds, and both stay.
+
+Two kinds of rules: signatures of license texts, file notices and short names,
+written one by one (``license_texts``); and names of licenses in five forms of
+speech (tag, address, grant, title, bare name).
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.llm.license_texts import BODIES, NOTICES, SHORT
+
 # The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -110,40 +116,61 @@ def families() -> tuple[Family, ...]:
 
 @dataclass(frozen=True)
 class Rule:
+    """``needs``: groups of keywords; any match holds a keyword of each. A group ``at`` of the pattern is what is detected, else all of the match."""
+
     order: int
     label: str
     form: str
     priority: int
-    keywords: tuple[str, ...]
+    needs: tuple[tuple[str, ...], ...]
     pattern: str
 
 
-# Forms of speech, highest priority first.
-FORMS = (("tag", 100), ("address", 90), ("grant", 80), ("title", 60), ("name", 40))
+# Forms of speech and kinds of signatures with their priorities, highest first.
+PRIORITIES = {"tag": 100, "body": 95, "address": 90, "notice": 85, "grant": 80, "title": 60, "short": 50, "name": 40}
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|governed)\s+(?:under|by)\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:gnu\s+)?"
+#: A tag may follow others in an expression of the same line.
+TAG = r"spdx-license-identifier[ \t]*:[ \t]*(?:\(*[\w.+:-]+\)*[ \t]+(?:or|and|with)[ \t]+)*\(*(?P<at>{tag})(?![\w-])"
+#: Between the words of a signature.
+WIDE, NARROW = r"[\s,;:.()\"'“”‘’`*#/_|>-]+", r"[\s-]+"
 
 
-@cache
-def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority; those of one form keep the families' order, versions after the bare name."""
-    made = []
-    for form, priority in FORMS:
-        for f in families():
-            if form == "tag" and f.tag:
-                made.append((f.label, form, priority, ("spdx-license-identifier",), rf"spdx-license-identifier\s*:\s*{f.tag}(?![\w-])"))
-            elif form == "address" and f.address:
-                made.append((f.label, form, priority, ("http", "www."), rf"(?:https?://|www\.)(?:www\.)?{f.address}[\w./-]*"))
-            elif form == "grant":
-                made.append((f.label, form, priority, ("under", "by"), rf"{GRANT}(?:{f.name})"))
-            elif form == "title":
-                made.append((f.label, form, priority, tuple(f.keyword.split("|")), rf"(?m)^[ \t#*/;-]*(?:the\s+)?(?:{f.name})[ \t]*(?:\(.{{0,20}}\))?[ \t]*$"))
-            elif form == "name":
-                made.append((f.label, form, priority, tuple(f.keyword.split("|")), rf"(?:{f.name})"))
-    return tuple(Rule(i, *m) for i, m in enumerate(dict.fromkeys(made)))
+def _signature(phrase: str, gap: str) -> str:
+    """The phrase with ``gap`` for each space that is not in a character class."""
+    return re.sub(r"\[[^\]]*\]|\\.| ", lambda m: gap if m[0] == " " else m[0], phrase)
 
 
-@dataclass(frozen=True)
-class Detection:
+def _written(texts: str, gap: str) -> list[tuple[str, tuple, str]]:
+    """(label, needs, pattern) of each line."""
+    out = []
+    for line in texts.strip().splitlines():
+        label, keyword, phrase = line.split(" | ", 2)
+        out.append((label, ((max(keyword.split(), key=len),),), _signature(phrase, gap)))
+    return out
+
+
+@cache
+def rules() -> tuple[Rule, ...]:
+    """All rules in order of priority; those of one form keep their order, versions after the bare name."""
+    made: dict[str, list] = {form: [] for form in PRIORITIES}
+    for form, texts, gap in (("body", BODIES, WIDE), ("notice", NOTICES, WIDE), ("short", SHORT, NARROW)):
+        made[form] = _written(texts, gap)
+    for f in families():
+        own = (tuple(f.keyword.split("|")),)
+        if re.search(r"licen\[cs\]e(?!\w)", f.name) and not re.search(r"\)\?$|\|", f.name):
+            own += (("licen",),)
+        if f.tag:
+            made["tag"].append((f.label, (("spdx-license-identifier",),), TAG.replace("{tag}", f.tag)))
+        if f.address:
+            made["address"].append((f.label, (("http", "www."), (f.address.split("\\.")[0].split(".")[0],)), rf"(?:https?://|www\.)(?:www\.)?{f.address}[\w./-]*"))
+        made["grant"].append((f.label, (*own, ("under", "by")), rf"{GRANT}(?:{f.name})"))
+        made["title"].append((f.label, own, rf"(?m)^[ \t#*/;-]*(?:the\s+)?(?:{f.name})[ \t]*(?:\(.{{0,20}}\))?[ \t]*$"))
+        made["name"].append((f.label, own, rf"(?:{f.name})"))
+    flat = [(label, form, PRIORITIES[form], needs, pattern) for form in PRIORITIES for label, needs, pattern in made[form]]
+    return tuple(Rule(i, *m) for i, m in enumerate(dict.fromkeys(flat)))
+
+
+class Detection(NamedTuple):
     start: int
     end: int
     label: str
@@ -152,17 +179,25 @@ class Detection:
 
 
 def suppressed(found: list[Detection]) -> list[Detection]:
-    """The detections that lie in no kept one of at least their priority or of greater length, in text order.
+    """The detections that no other one suppresses, in text order.
 
-    They are taken longest first, then by priority and rule, so that "apache
-    license, version 2.0" keeps out "apache license", and of equal intervals
-    the first rule's stays.
+    Priorities are taken from the highest; of each, one sweep by start, longest
+    first, keeps what ends after all kept before it, also of higher priorities.
     """
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (d.start - d.end, -d.priority, d.rule)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end))
+    for priority in sorted({d.priority for d in found}, reverse=True):
+        level = sorted((d for d in found if d.priority == priority), key=lambda d: (d.start, -d.end, d.rule))
+        above, at, furthest = kept, 0, -1
+        mine = []
+        for d in level:
+            while at < len(above) and above[at].start <= d.start:
+                furthest = max(furthest, above[at].end)
+                at += 1
+            if d.end > furthest:
+                mine.append(d)
+                furthest = d.end
+        kept = sorted(kept + mine, key=lambda d: (d.start, d.end))
+    return kept
 
 
 class Scanner:
@@ -170,29 +205,34 @@ class Scanner:
 
     def __init__(self) -> None:
         self.rules = [(r, re.compile(r.pattern)) for r in rules()]
+        self.whole = ["at" not in p.groupindex for _, p in self.rules]
         self.gate = ahocorasick.Automaton()
-        by_keyword: dict[str, list[int]] = {}
+        self.by_keyword: dict[str, list[int]] = {}
         for i, (r, _) in enumerate(self.rules):
-            for k in r.keywords:
-                by_keyword.setdefault(k, []).append(i)
-        for k, members in by_keyword.items():
-            self.gate.add_word(k, tuple(members))
+            for k in r.needs[0]:
+                self.by_keyword.setdefault(k, []).append(i)
+        for k in {k for r, _ in self.rules for group in r.needs for k in group}:
+            self.gate.add_word(k, k)
         self.gate.make_automaton()
-        # A first gate, as many keywords are common words: no rule matches a text without one of these.
-        self.anchors = re.compile(r"licen[cs]|spdx|creative|\bcc|public\s+domain|rights\s+reserved|wtf|bsd|gnu\.org|mozilla\.org|eclipse\.org|opensource\.org|boost\.org|sil\.org").search
 
     def open_rules(self, text: str) -> list[int]:
-        return sorted({i for _, members in self.gate.iter(text) for i in members})
+        """Rules of which the text holds a keyword of each group."""
+        there = {k for _, k in self.gate.iter(text)}
+        opened = {i for k in there & self.by_keyword.keys() for i in self.by_keyword[k]}
+        return sorted(i for i in opened if all(not there.isdisjoint(group) for group in self.rules[i][0].needs))
+
+    def detections(self, text: str, i: int) -> list[Detection]:
+        """What one rule finds."""
+        rule, pattern = self.rules[i]
+        group = 0 if self.whole[i] else "at"
+        return [Detection(m.start(group), m.end(group), rule.label, rule.priority, i) for m in pattern.finditer(text) if m.end(group) > m.start(group)]
 
     def scan(self, text: str) -> list[Detection]:
         """Kept detections in a text whose A-Z are lower case; offsets in code points."""
-        if not self.anchors(text):
-            return []
-        found = []
+        found: list[Detection] = []
         for i in self.open_rules(text):
-            rule, pattern = self.rules[i]
-            found += [Detection(m.start(), m.end(), rule.label, rule.priority, i) for m in pattern.finditer(text) if m.end() > m.start()]
-        return suppressed(found)
+            found += self.detections(text, i)
+        return suppressed(found) if found else found
 
 
 #: A-Z to lower case, and every byte that no word holds to a space.
@@ -232,6 +272,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``doc_id``, ``n_words``, ``base`` (places of base phrases) and ``detections`` (kept spans in code points) for every row of ``docs``.
 
     A null text counts as empty; null and repeated ids stay rows of their own.
+    An empty table gives an empty result, and other columns are not looked at.
+    Texts are scanned whole, in time linear in their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +301,8 @@ def summary(scanned: DataFrame) -> DataFrame:
     """One row of labels, places and score per scanned document.
 
     ``score`` is the highest priority kept, over 100; a base phrase counts as a
-    bare name. Without any it is 0.
+    bare name. Without any it is 0. Labels found more than once are named once,
+    in order of the alphabet.
     """
     word = F.transform("base", lambda b: b["word"])
     base = F.transform("base", lambda b: b["label"])
