@@ -59,3 +59,47 @@ def test_merge_labels():
     label = np.arange(8)
     E.merge_labels(label, np.array([7, 5, 3]), np.array([5, 3, 6]))
     assert label.tolist() == [0, 1, 2, 3, 4, 3, 3, 3]
+
+
+def clustered(groups=24, each=60, dim=32):
+    """Vectors in groups that lie apart."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(groups, dim))
+    x = centres[rng.integers(0, groups, groups * each)] + 0.12 * rng.normal(size=(groups * each, dim))
+    return x.astype(np.float32).astype(float)
+
+
+def test_tile_bounds_drop_no_pair():
+    x = clustered()
+    curve = E.Curve.fit(x[:500])
+    code, y, rest = curve.place(x)
+    order = np.argsort(code, kind="stable")
+    tiles = [order[at : at + 40] for at in range(0, len(x), 40)]
+    box = [np.array([f(y[t], axis=0) for t in tiles]) for f in (np.min, np.max)]
+    far = np.array([rest[t].max() for t in tiles])
+    near = E.near_boxes(*box, far, *box, far)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    reach = np.array([[(unit[a] @ unit[b].T).max() >= 0.9 for b in tiles] for a in tiles])
+    assert (near >= reach).all() and near.mean() < 0.7
+
+
+def test_far_tiles_are_not_compared(spark, monkeypatch):
+    """On vectors in groups most pairs of tiles are left out, fewer of them the more tiles there are, and nothing is lost."""
+    x = clustered()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(E, "PAGE_TILES", 5)
+    kept = []
+    real = E.tile_pairs
+
+    def counted(placed, tiles, *rest):
+        out = real(placed, tiles, *rest)
+        kept.append(out.count() / (tiles * (tiles + 1) / 2))
+        return out
+
+    monkeypatch.setattr(E, "tile_pairs", counted)
+    want = brute(list(range(len(x))), x.tolist())
+    assert found(E.near_duplicates(table, tile_rows=60)) == want
+    assert found(E.near_duplicates(table, tile_rows=20)) == want
+    monkeypatch.setattr(E, "BROADCAST_PAIRS", 1)
+    assert found(E.near_duplicates(table, tile_rows=60)) == want
+    assert kept[0] < 0.9 and kept[1] < 0.7 * kept[0]
