@@ -8,6 +8,7 @@ stream in update mode.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -103,26 +104,51 @@ class MarkerParser:
         return [("text", rest)] if rest else []
 
 
-def marker_stream(pieces: DataFrame, key: str, order: str, text: str, final: str) -> DataFrame:
-    """Settled parts of each message of a stream: ``key``, ``kind``, ``part``. The state is the text held back.
+def marker_stream(pieces: DataFrame, key: str, order: str, text: str, final: str, first: int = 0, timeout_s: int | None = None) -> DataFrame:
+    """Settled parts of each message of a stream: ``key``, ``kind``, ``part``, whatever order its pieces come in.
 
-    ``final`` marks a message's last piece, which flushes and drops its state.
+    ``order`` counts a message's pieces from ``first``; ``final`` marks the last
+    one. The state is the number of the next piece, the text held back, and the
+    pieces that came ahead of it; of a finished message only that it is
+    finished, so that pieces which come again are left out.
+
+    ``timeout_s``: a message of which nothing came for so long is given up: the
+    pieces ahead are taken in order, what is held back is text, and the state
+    goes. Streams that run on need one to bound their state; a run over what is
+    there (``availableNow``) must not have one, as Spark would wait for it.
     """
+    wait = None if timeout_s is None else timeout_s * 1000
+    step = lambda ident, frames, state: marker_step(ident, frames, state, (key, order, text, final), first, wait)
+    kind = pieces.schema[key].dataType.simpleString()
+    return pieces.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, kind string, part string", "next long, buffer string, ahead string", "append", "NoTimeout" if wait is None else "ProcessingTimeTimeout"
+    )
 
-    def step(ident, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        parser = MarkerParser(state.get[0] if state.exists else "")
-        rows: list[tuple[str, str]] = []
-        done = False
-        for row in pd.concat(list(frames)).sort_values(order).itertuples():
-            rows += parser.feed(getattr(row, text) or "")
-            if getattr(row, final):
-                rows += parser.finish()
-                done = True
-        if done:
-            state.remove()
-        else:
-            state.update((parser.buffer,))
-        yield pd.DataFrame({key: [ident[0]] * len(rows), "kind": [k for k, _ in rows], "part": [p for _, p in rows]})
 
-    kind = pieces.schema[key].dataType.simpleString()
-    return pieces.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, kind string, part string", "buffer string", "append", "NoTimeout")
+def marker_step(ident: tuple, frames: Iterator[pd.DataFrame], state, names: tuple[str, str, str, str], first: int, wait_ms: int | None) -> Iterator[pd.DataFrame]:
+    """One message's new pieces, or its time-out."""
+    key, order, text, final = names
+    nxt, buffer, packed = state.get if state.exists else (first, "", "{}")
+    ahead = {int(i): tuple(x) for i, x in json.loads(packed).items()}
+    parser, rows, done = MarkerParser(buffer), [], nxt < first
+    if state.hasTimedOut:
+        for i in sorted(ahead):
+            rows += parser.feed(ahead[i][0])
+        rows += parser.finish()
+        state.remove()
+    else:
+        for frame in frames:
+            for i, t, last in zip(frame[order], frame[text], frame[final], strict=True):
+                if not done and i >= nxt:
+                    ahead[int(i)] = (t or "", bool(last))
+        while not done and nxt in ahead:
+            t, done = ahead.pop(nxt)
+            rows += parser.feed(t)
+            nxt += 1
+        if done:
+            rows += parser.finish()
+            nxt, ahead = first - 1, {}
+        state.update((nxt, parser.buffer, json.dumps(ahead)))
+        if wait_ms is not None:
+            state.setTimeoutDuration(wait_ms)
+    yield pd.DataFrame({key: [ident[0]] * len(rows), "kind": [k for k, _ in rows], "part": [p for _, p in rows]})

@@ -2,6 +2,7 @@ import json
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quarrylane.streaming import progress
 
@@ -63,3 +64,69 @@ def test_marker_stream(spark, tmp_path):
         markers = got[(got.m == k) & (got.kind == "marker")].part.tolist()
         assert markers == ({1: ["a"], 2: [], 3: ["b"]}[k])
         assert got[(got.m == k)].part.str.len().sum() == len(texts[k]) - (len("[[CHART_SLOT:]]") if markers else 0)
+
+
+def run_stream(spark, tmp_path, batches, **options):
+    """Parts of each message, in the order of their micro-batches."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for n, rows in enumerate(batches):
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+    stream = spark.readStream.schema("m int, i int, t string, last boolean").option("maxFilesPerTrigger", 1).json(str(source))
+    query = progress.marker_stream(stream, "m", "i", "t", "last", **options).writeStream.foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).coalesce(1).write.mode("append").json(str(out)))
+    query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.schema("m int, kind string, part string, n long").json(str(out)).collect()
+    return {m: sorted((r.n, r.kind, r.part) for r in got if r.m == m) for m in {r.m for r in got}}
+
+
+def test_marker_stream_takes_pieces_in_any_order(spark, tmp_path):
+    text = "before [[CHART_SLOT:a]] between [[CHART_SLOT:b]] after"
+    cut = [text[a : a + 4] for a in range(0, len(text), 4)]
+    rows = [{"m": m, "i": i, "t": t, "last": i == len(cut) - 1} for m in range(6) for i, t in enumerate(cut)]
+    random.Random(4).shuffle(rows)
+    batches = [rows[n::7] for n in range(7)]
+    batches.append([r for r in rows if r["i"] in (2, len(cut) - 1)])  # pieces that come again
+    got = run_stream(spark, tmp_path, batches)
+    want = progress.MarkerParser()
+    parts = [x for t in cut for x in want.feed(t)] + want.finish()
+    for m in range(6):
+        assert [p for _, k, p in got[m] if k == "marker"] == ["a", "b"]
+        assert sum(len(p) for _, k, p in got[m] if k == "text") == sum(len(p) for k, p in parts if k == "text")
+
+
+def test_marker_stream_holds_what_is_ahead(spark, tmp_path):
+    """Nothing after a missing piece is settled before it comes."""
+    rows = [{"m": 1, "i": i, "t": t, "last": i == 3} for i, t in enumerate(["ab", "[[CHART_", "SLOT:x", "]]cd"])]
+    got = run_stream(spark, tmp_path, [[rows[3], rows[0]], [rows[2]], [rows[1]]])
+    assert {(k, p) for _, k, p in got[1]} == {("text", "ab"), ("marker", "x"), ("text", "cd")}
+    assert len({n for n, k, p in got[1] if p in ("x", "cd")}) == 1
+
+
+class State:
+    """Stands for a group's state."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.duration = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.duration = ms
+
+
+def test_marker_stream_gives_up_what_does_not_come():
+    state = State()
+    frame = pd.DataFrame({"i": [0, 2], "t": ["x [[CHART_SLOT:a", " y"], "last": [False, True]})
+    first = pd.concat(progress.marker_step((1,), iter([frame]), state, ("m", "i", "t", "last"), 0, 5000))
+    assert first.part.tolist() == ["x "] and state.duration == 5000
+    state = State(state.value, timed_out=True)
+    rest = pd.concat(progress.marker_step((1,), iter([]), state, ("m", "i", "t", "last"), 0, 5000))
+    assert "".join(rest.part) == "[[CHART_SLOT:a y" and not state.exists
