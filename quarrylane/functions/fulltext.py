@@ -1,10 +1,14 @@
-"""Full-text search: postings, phrase match, BM25 and cover-density rank."""
+"""Full-text search: OR queries of words and phrases, match and cover-density rank; postings, phrase places and BM25.
+
+Words are runs of letters and digits in lower case; there is no stemming.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
@@ -24,15 +28,19 @@ def _weighted(weight: float):
     return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
 
 
-def weighted_postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+def weighted_postings(docs: DataFrame, key: str, fields: dict[str, str], terms: list[str] | None = None) -> DataFrame:
     """``key``, ``term``, ``pos``, ``weight``: terms of several fields, positions running on from field to field.
 
-    ``fields`` maps a text column to its weight label, in order.
+    ``fields`` maps a text column to its weight label, in order. With ``terms``
+    only theirs, filtered before anything is exploded.
     """
     parts = []
     for column, label in fields.items():
         parts.append(F.transform(tokens(F.col(column)), _weighted(LABEL_WEIGHTS[label])))
-    return docs.select(key, F.posexplode(F.concat(*parts)).alias("pos", "p")).select(key, "p.term", "pos", "p.weight")
+    placed = F.transform(F.concat(*parts), lambda p, i: F.struct(i.alias("pos"), p["term"].alias("term"), p["weight"].alias("weight")))
+    if terms is not None:
+        placed = F.filter(placed, lambda p: p["term"].isin(*terms))
+    return docs.select(key, F.explode(placed).alias("p")).select(key, "p.term", "p.pos", "p.weight")
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -64,12 +72,26 @@ def phrase_matches(postings: DataFrame, key: str, phrase: str) -> DataFrame:
     return hits.groupBy(key, (F.col("pos") - F.col("q.i")).alias("pos")).agg(F.countDistinct("q.i").alias("n")).where(F.col("n") == len(words)).select(key, "pos")
 
 
-def cover_density(postings: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """``key``, ``score``: for an OR query, each occurrence of a term is a cover of its own, so its weight is added.
+def query_terms(query: str) -> list[list[str]]:
+    """Words of each term of an OR query such as ``"net income" OR revenue``."""
+    return [w for t in re.split(r"\s+OR\s+", query) if (w := re.findall(TOKEN, t.lower()))]
+
+
+def occurrences(words: Column, term: list[str]) -> Column:
+    """Places of an array of words where a term's words stand consecutively."""
+    if len(term) == 1:
+        return F.size(F.filter(words, _equals(term[0])))
+    starts = F.when(F.size(words) >= len(term), F.sequence(F.lit(0), F.size(words) - len(term))).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(starts, lambda i: reduce(lambda x, y: x & y, [F.get(words, i + j) == w for j, w in enumerate(term)])))
+
+
+def cover_rank(words: dict[str, str], query: str) -> Column:
+    """Cover-density rank of an OR query; 0 where nothing matches.
 
-    Covers shrink with the noise between them: an occurrence that follows
-    another by ``d`` positions counts 1/d of its weight after the first.
+    ``words`` maps array columns of words to their weight labels. Under OR each
+    place of a word or phrase is a cover of its own without noise, so it adds
+    its weight; all words of a phrase have the weight of their field.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    hits = postings.where(F.col("term").isin(terms)).withColumn("gap", F.col("pos") - F.lag("pos").over(w))
-    return hits.groupBy(key).agg(F.sum(F.col("weight") / F.coalesce(F.greatest(F.col("gap"), F.lit(1)), F.lit(1))).alias("score"))
+    terms = query_terms(query)
+    parts = [F.lit(LABEL_WEIGHTS[label]) * sum((occurrences(F.col(c), t) for t in terms), F.lit(0)) for c, label in words.items()]
+    return sum(parts, F.lit(0.0))

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Metric names looked for in questions, and words that are no terms.
 METRIC_TERMS = (
-    "net interest margin", "net interest income", "return on equity", "return on assets", "efficiency ratio",
-    "cet1 ratio", "leverage ratio", "liquidity coverage ratio", "provision for credit losses", "credit losses",
-    "loan growth", "deposit growth", "net income", "earnings per share", "revenue", "expenses", "dividend",
-    "risk-weighted assets", "book value", "allowance", "capital", "deposits", "loans", "margin", "fees", "guidance",
+    "adjusted net income", "allowance for credit losses", "assets under administration", "assets under management",
+    "book value per share", "capital ratio", "cet1", "common equity tier 1", "diluted eps", "efficiency ratio", "expenses",
+    "impaired loans", "leverage ratio", "net income", "net interest income", "net interest margin", "non-interest expense",
+    "non-interest income", "provision for credit losses", "return on equity", "revenue", "risk-weighted assets", "roe", "rwa",
+    "total assets", "total revenue",
 )
 STOP_WORDS = (
-    "the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "what", "how", "does", "did", "has", "have",
-    "had", "its", "their", "our", "your", "about", "into", "over", "per", "between", "during", "which", "who", "why", "when",
+    "about", "across", "after", "also", "and", "are", "bank", "banks", "can", "compare", "did", "does", "for", "from", "give",
+    "has", "have", "how", "into", "its", "latest", "me", "of", "on", "please", "q1", "q2", "q3", "q4", "show", "tell", "the",
+    "their", "this", "through", "trend", "was", "were", "what", "with", "year",
 )
+# Numbers of a hypothetical answer, in order, and what stands for them.
+SOFTENED = (
+    (r"\b\d+(?:\.\d+)?\s*-\s*\d+(?:\.\d+)?%", "a reported percentage range"),
+    (r"\b\d+(?:\.\d+)?%", "a reported percentage"),
+    (r"(?i)\b\d+(?:\.\d+)?\s*bps?\b", "a reported basis-point change"),
+    (r"(?i)\b(?:CAD|USD|C\$|\$)\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:million|billion|bn|mm))?\b", "a reported amount"),
+    (r"(?i)\b\d[\d,]*(?:\.\d+)?\s*(?:million|billion|bn|mm)\b", "a reported amount"),
+    (r"\s{2,}", " "),
+)
 
 
 def slug(c: Column) -> Column:
@@ -64,16 +77,9 @@ def all_numbers(c: Column) -> Column:
 
 def softened(c: Column) -> Column:
     """Numbers of a hypothetical answer replaced by their kind, in a fixed order, so that they don't steer a search."""
-    for pattern, kind in (
-        (r"\b\d+(?:\.\d+)?\s*(?:-|to)\s*\d+(?:\.\d+)?\s*%", "a percentage range"),
-        (r"\b\d+(?:\.\d+)?\s*%", "a percentage"),
-        (r"\b\d+(?:\.\d+)?\s*(?:bps|basis points)\b", "some basis points"),
-        (r"\b(?:C|US)?\$\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:million|billion|trillion))?", "an amount"),
-        (r"\b\d[\d,]*(?:\.\d+)?\s*(?:million|billion|trillion)\b", "an amount"),
-        (r" {2,}", " "),
-    ):
+    for pattern, kind in SOFTENED:
         c = F.regexp_replace(c, pattern, kind)
-    return c
+    return F.trim(c)
 
 
 def metric_terms(c: Column, limit: int = 8) -> Column:
@@ -98,11 +104,27 @@ def merged_terms(*lists: Column, limit: int = 8) -> Column:
     return F.slice(F.transform(keep, lambda x: x["t"]), 1, limit)
 
 
+def search_term(c: Column) -> Column:
+    """A term of a full-text query: letters and digits, ``%`` spelled out, one space between words."""
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("%"), F.lit(" percentage ")), "[^A-Za-z0-9]+", " "))
+
+
 def fulltext_query(metrics: Column, keywords: Column, fallback: Column, limit: int = 10) -> Column:
-    """Terms joined by OR, phrases in quotes, ``%`` spelled out; the fallback where there are no terms."""
-    terms = merged_terms(F.transform(F.concat(metrics, keywords), lambda t: F.replace(t, F.lit("%"), F.lit("percentage"))), limit=limit)
-    quoted = F.transform(terms, lambda t: F.when(F.contains(t, F.lit(" ")), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
-    return F.when(F.size(terms) > 0, F.array_join(quoted, " OR ")).otherwise(fallback)
+    """Terms joined by OR, phrases in quotes; the fallback, as one term, where there are none."""
+    quote = lambda t: F.when(F.contains(t, F.lit(" ")), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
+    terms = merged_terms(F.transform(F.concat(metrics, keywords), search_term), limit=limit)
+    return F.when(F.size(terms) > 0, F.array_join(F.transform(terms, quote), " OR ")).otherwise(quote(search_term(fallback)))
+
+
+def fulltext_text(terms: list[str], fallback: str, limit: int = 10) -> str:
+    """The same query from terms on the driver: those of one question."""
+    clean = lambda t: re.sub("[^A-Za-z0-9]+", " ", t.replace("%", " percentage ")).strip()
+    first: dict[str, str] = {}
+    for t in map(clean, terms):
+        first.setdefault(t.lower(), t)
+    first.pop("", None)
+    quote = lambda t: f'"{t}"' if " " in t else t
+    return " OR ".join(map(quote, list(first.values())[:limit])) or quote(clean(fallback))
 
 
 def natural_key(c: Column) -> Column:

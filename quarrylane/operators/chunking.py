@@ -80,7 +80,7 @@ def unpivot(units: DataFrame, unit: str, content: str, facets: dict[str, str]) -
 
 def _facet(uid: Column, kind: str):
     def row(term, i):
-        ident = F.concat(uid, F.lit(f"::{kind}::"), F.lpad(i.cast("string"), 3, "0"), F.lit("::"), F.substring(F.sha2(term, 256), 1, 12))
+        ident = F.concat(uid, F.lit(f"::{kind}::"), F.lpad(i.cast("string"), F.greatest(F.lit(3), F.length(i.cast("string"))), F.lit("0")), F.lit("::"), F.substring(F.sha2(term, 256), 1, 12))
         return F.struct(ident.alias("embedding_id"), F.lit(kind).alias("embedding_type"), term.alias("term"))
 
     return row

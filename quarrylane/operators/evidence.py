@@ -26,13 +26,20 @@ def references(findings: DataFrame, refs: DataFrame, on: str) -> DataFrame:
     """Each finding with one reference of its ``on``: of equal page first, then one whose location holds the finding's
     or is held by it, else the first; null where there is none.
     """
-    r = refs.select(F.col(on).alias("__on"), F.col("ref_id"), F.col("page").alias("__page"), F.lower("location").alias("__loc"))
-    loc = F.lower("location")
-    near = F.contains(loc, F.col("__loc")) | F.contains(F.col("__loc"), loc)
-    rank = F.when(F.col("page") == F.col("__page"), 0).when(F.coalesce(near, F.lit(False)), 1).otherwise(2)
-    best = F.min(F.struct(rank.alias("rank"), "ref_id"))
-    joined = findings.join(r, F.col(on) == F.col("__on"), "left").groupBy("finding_id").agg(best.alias("b"))
-    return joined.select("finding_id", "b.ref_id", F.when(F.col("b.ref_id").isNotNull(), F.col("b.rank")).alias("match_rank"))
+    r = refs.select(F.col(on).alias("__on"), "ref_id", F.col("page").alias("__page"), F.lower("location").alias("__loc"))
+    # One row per (file, page), per pair of distinct locations, and per file: no finding meets all references of its file.
+    by_page = r.where("__page is not null").groupBy("__on", "__page").agg(F.min("ref_id").alias("page_ref"))
+    by_file = r.groupBy("__on").agg(F.min("ref_id").alias("file_ref"))
+    theirs = r.groupBy("__on", "__loc").agg(F.min("ref_id").alias("loc_ref"))
+    ours = findings.select(F.col(on).alias("__f"), F.lower("location").alias("__floc")).distinct()
+    near = F.contains("__floc", F.col("__loc")) | F.contains("__loc", F.col("__floc"))
+    by_loc = ours.join(theirs, (F.col("__f") == F.col("__on")) & near).groupBy("__f", "__floc").agg(F.min("loc_ref").alias("loc_ref"))
+    out = findings.select("finding_id", F.col(on).alias("__k"), F.col("page").alias("__p"), F.lower("location").alias("__l"))
+    out = out.join(by_page, (F.col("__k") == F.col("__on")) & (F.col("__p") == F.col("__page")), "left").drop("__on", "__page")
+    out = out.join(by_loc, (F.col("__k") == F.col("__f")) & (F.col("__l") == F.col("__floc")), "left").drop("__f", "__floc")
+    out = out.join(by_file, F.col("__k") == F.col("__on"), "left")
+    rank = F.when(F.col("page_ref").isNotNull(), 0).when(F.col("loc_ref").isNotNull(), 1).when(F.col("file_ref").isNotNull(), 2)
+    return out.select("finding_id", F.coalesce("page_ref", "loc_ref", "file_ref").alias("ref_id"), rank.alias("match_rank"))
 
 
 def catalog_matches(chunks: DataFrame, catalog: DataFrame) -> DataFrame:

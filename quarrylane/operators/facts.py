@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Base score of each kind of chart.
+# Base score of each kind of chart, and words of a question that favour some kinds.
 BASE_SCORES = {
-    "multi_series_line": 86, "slopegraph": 86, "waterfall": 84, "peer_rank_bar": 82, "trend_line": 78, "composition": 76, "delta_bar": 74,
-    "scatter_plot": 72, "heatmap": 70, "small_multiple_panel": 68, "trend_bar": 62,
+    "trend_line": 78, "trend_bar": 62, "peer_rank_bar": 82, "multi_series_line": 86, "slopegraph": 86, "delta_bar": 74,
+    "heatmap": 70, "scatter_plot": 72, "small_multiple_panel": 68, "composition_stacked_bar": 76, "composition_100_bar": 76,
+    "waterfall": 84,
 }
+INTENTS = {
+    "trend": (("trend", "over time", "qoq", "yoy", "trajectory"), ("trend_line", "trend_bar", "multi_series_line")),
+    "peer": (("peer", "compare", "comparison", "rank", "ranking"), ("peer_rank_bar", "slopegraph", "heatmap")),
+    "change": (("change", "delta", "increase", "decrease", "movement"), ("delta_bar",)),
+    "mix": (("mix", "share", "composition", "segment"), ("composition_stacked_bar", "composition_100_bar")),
+    "bridge": (("bridge", "walk", "movement", "reconciliation"), ("waterfall",)),
+}
+INTENT_BOOST = 10
 OTHER_SCORE = 50
 #: Absolute and relative tolerance of a grounded number.
 TOLERANCE, SHARE = 0.01, 0.001
@@ -46,12 +55,19 @@ def shapes(banks: Column, periods: Column) -> Column:
     )
 
 
-def scored_shapes(grouped: DataFrame, evidence: Column | None = None, keep: int = 6) -> DataFrame:
-    """Best charts by score over all groups: base, facts up to 12, evidence up to 8, peers, periods, adjustment."""
+def intent_boost(chart: Column, question: str) -> Column:
+    """What a question's words add to the score of a kind of chart."""
+    low = question.lower()
+    favoured = [c for words, charts in INTENTS.values() if any(w in low for w in words) for c in charts]
+    return F.when(chart.isin(*favoured), INTENT_BOOST).otherwise(0) if favoured else F.lit(0)
+
+
+def scored_shapes(grouped: DataFrame, evidence: Column | None = None, keep: int = 6, question: str = "") -> DataFrame:
+    """Best charts by score over all groups: base, facts up to 12, evidence up to 8, peers, periods, the question's intent, adjustment."""
     base = F.map_from_arrays(F.array(*map(F.lit, BASE_SCORES)), F.array(*map(F.lit, BASE_SCORES.values())))
     rows = grouped.withColumn("s", F.explode(shapes(F.col("banks"), F.col("periods")))).select("*", F.col("s.chart").alias("chart"), F.col("s.adjust").alias("adjust")).drop("s")
     score = F.coalesce(F.try_element_at(base, F.col("chart")), F.lit(OTHER_SCORE)) + F.least(F.lit(12), F.col("n")) + F.least(F.lit(8), evidence if evidence is not None else F.col("n"))
-    score = score + F.when(F.col("banks") >= 2, 4).otherwise(0) + F.when(F.col("periods") >= 3, 5).otherwise(0) + F.col("adjust")
+    score = score + F.when(F.col("banks") >= 2, 4).otherwise(0) + F.when(F.col("periods") >= 3, 5).otherwise(0) + intent_boost(F.col("chart"), question) + F.col("adjust")
     ranked = rows.withColumn("score", score.cast("long"))
     return ranked.orderBy(F.desc("score"), "metric_key", "unit", "chart").limit(keep)
 

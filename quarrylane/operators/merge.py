@@ -90,5 +90,6 @@ def availability(chunks: DataFrame, keys: list[str], source: str) -> DataFrame:
 
 
 def availability_lookup(combos: DataFrame, table: DataFrame, on: list[str], source: str, names: str = "database_names") -> DataFrame:
-    """Combos with ``available``: whether the first row of equal key lists the source; false without a row."""
-    return combos.join(table.select(*on, names), on, "left").withColumn("available", F.coalesce(F.array_contains(names, F.col(source)), F.lit(False))).drop(names)
+    """Combos with ``available``: whether a row of equal key lists the source; false without a row. Repeated rows of a key count as one."""
+    listed = table.groupBy(*on).agg(F.array_distinct(F.flatten(F.collect_list(names))).alias(names))
+    return combos.join(listed, on, "left").withColumn("available", F.coalesce(F.array_contains(names, F.col(source)), F.lit(False))).drop(names)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,27 @@ def greedy_batches(sizes: Column, budget: int) -> Column:
 
 
 def batched(rows: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
-    """``by``, ``order``, ``size``, ``batch`` of rows in order, batched greedily by group."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias(size))))
-    grouped = rows.groupBy(by).agg(sorted_.alias("items"))
-    out = F.arrays_zip("items", greedy_batches(F.transform("items", lambda x: x[size]), budget).alias("batch"))
-    return grouped.select(by, F.explode(out).alias("x")).select(by, F.col(f"x.items.{order}").alias(order), F.col(f"x.items.{size}").alias(size), F.col("x.batch").alias("batch"))
+    """``by``, ``order``, ``size``, ``batch`` of rows in order, batched greedily by group.
+
+    One sorted pass that carries a group's last batch and its sum: linear, and
+    no group is gathered. The rule is sequential, so a group stays in one task.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, batch, total = object(), 0, 0
+        for b in batches:
+            out = []
+            for key, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != group:
+                    group, batch, total = key, 0, 0
+                opens = total > 0 and total + (n or 0) > budget
+                batch, total = (batch + 1, n or 0) if opens else (batch, total + (n or 0))
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[by, order, size, "batch"])
+
+    ordered = rows.select(by, order, F.col(size).cast("long").alias(size)).repartition(by).sortWithinPartitions(by, order)
+    return ordered.mapInArrow(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{size}` long, batch int")
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list, size: str, budget: int) -> DataFrame:

@@ -40,30 +40,42 @@ def facets(p: Prepared, provider: Provider | None = None) -> dict[str, list[floa
     return dict(zip(real, call(provider or hashing_embedder(), list(real.values())), strict=True))
 
 
+def searches(prepared: Prepared, provider: Provider | None = None, typed: bool = True) -> list[retrieval.VectorSearch]:
+    """The searches by distance that a question asks for; without ``typed`` vectors they look at all, and not at sections."""
+    found = facets(prepared, provider)
+    subs = [f for f in found if f.startswith("sub_query")]
+    asked = [("content_vector", "content", "rewritten"), ("section_summary", "section_summary", "rewritten"), ("hyde_vector", "content", "hyde")]
+    asked += [("subquery_vector", "content", s) for s in subs] + [("keyword_vector", "keyword", "keywords"), ("metric_vector", "metric", "metrics")]
+    out = []
+    for strategy, kind, facet in asked:
+        if facet in found and (typed or kind != "section_summary"):
+            batch, scale = (subs.index(facet), 1 / len(subs)) if facet in subs else (0, 1.0)
+            out.append(retrieval.VectorSearch(strategy, kind if typed else None, found[facet], batch, scale))
+    return out
+
+
 def hybrid_search(
     chunks: DataFrame, vectors: DataFrame, prepared: Prepared, provider: Provider | None = None, scope: DataFrame | None = None, on: Sequence[str] = ("bank", "fiscal_year", "quarter"), k: int = 20
 ) -> DataFrame:
-    """Fused top ``k``: ``key``, ``score``, ``sources``. ``chunks``: key, text and scope columns; ``vectors``: key, embedding."""
+    """Fused top ``k`` of nine strategies: ``key``, ``score``, ``sources``.
+
+    ``chunks``: ``key``, scope columns, and name, summary, keywords, metrics and
+    chunk_content, or ``text`` in their place. ``vectors``: ``key``,
+    ``embedding``, and, where they are of several kinds, ``embedding_type``; a
+    section's vector has ``content_unit_ids``, the keys it stands for, and each
+    of these is a hit of its own before hits are limited.
+    """
     if scope is not None:
         chunks = retrieval.in_scope(chunks, scope, list(on))
-        vectors = vectors.join(chunks.select("key"), "key", "left_semi")
-    found = facets(prepared, provider)
-    terms = [*prepared.metrics, *prepared.keywords]
-    hits = None
-
-    def add(more: DataFrame, strategy: str, **how) -> None:
-        nonlocal hits
-        rows = retrieval.tagged(more, "key", strategy, **how)
-        hits = rows if hits is None else hits.unionByName(rows)
-
-    subs = [f for f in found if f.startswith("sub_query")]
-    for strategy, facet in (("content", "rewritten"), ("hyde", "hyde"), ("keyword", "keywords"), ("metric", "metrics"), *(("subqueries", s) for s in subs)):
-        if facet in found:
-            how = {"batch": subs.index(facet), "scale": 1 / len(subs)} if facet in subs else {}
-            add(retrieval.nearest(vectors, "key", "embedding", found[facet], k), strategy, invert=True, **how)
-    if terms:
-        add(retrieval.fulltext_top(chunks, "key", "text", [w for t in terms for w in t.split()], k), "fulltext")
-        add(retrieval.containment(chunks, "key", "text", terms), "keyword_array")
+    if "content_unit_ids" in vectors.columns:
+        vectors = vectors.withColumn("key", F.explode(F.coalesce("content_unit_ids", F.array("key"))))
+    vectors = vectors.join(chunks.select("key"), "key", "left_semi")
+    typed = "embedding_type" in vectors.columns
+    hits = retrieval.vector_hits(vectors, searches(prepared, provider, typed), k)
+    empty = {"name": F.lit(""), "summary": F.lit(""), "keywords": F.array().cast("array<string>"), "metrics": F.array().cast("array<string>"), "chunk_content": F.col("text") if "text" in chunks.columns else F.lit("")}
+    data = chunks.select("key", *[F.col(c) if c in chunks.columns else empty[c].alias(c) for c in retrieval.FIELDS])
+    if query := text.fulltext_text([*prepared.metrics, *prepared.keywords], prepared.rewritten):
+        hits = hits.unionByName(retrieval.text_hits(data, query, prepared.keywords, prepared.metrics, k))
     return retrieval.top(retrieval.fuse(hits), k)
 
 

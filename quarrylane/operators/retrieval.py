@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +12,13 @@ from quarrylane.functions import fulltext, vectors
 
 # Strategies in order of tie-break, with their weights.
 WEIGHTS = {
-    "content": 0.22,
+    "content_vector": 0.22,
+    "hyde_vector": 0.18,
+    "subquery_vector": 0.14,
+    "keyword_vector": 0.10,
+    "metric_vector": 0.12,
     "section_summary": 0.09,
-    "hyde": 0.18,
-    "subqueries": 0.14,
-    "keyword": 0.10,
-    "metric": 0.12,
-    "fulltext": 0.10,
+    "bm25": 0.10,
     "keyword_array": 0.025,
     "metric_array": 0.025,
 }
@@ -47,6 +50,73 @@ def fulltext_top(rows: DataFrame, key: str, text: str, terms: list[str], k: int
     return fulltext.bm25(rows, key, text, terms).select(key, F.col("score").alias("raw")).orderBy(F.desc("raw"), key).limit(k)
 
 
+@dataclass(frozen=True)
+class VectorSearch:
+    """One search by distance: its strategy, the type of the vectors it looks at (None: all), its query, its batch and scale."""
+
+    strategy: str
+    kind: str | None
+    query: list[float]
+    batch: int = 0
+    scale: float = 1.0
+
+
+def vector_hits(vectors_long: DataFrame, searches: list[VectorSearch], k: int = 20) -> DataFrame:
+    """Hits of several searches in one pass over ``key``, ``embedding_type``, ``embedding``: the nearest ``k`` rows of each, ties by key.
+
+    Each task keeps its best ``k`` of a search before the shuffle (window group limit).
+    """
+    def hit(s: VectorSearch) -> Column:
+        d = vectors.cosine_distance(F.col("embedding"), vectors.literal(s.query))
+        looked_at = d if s.kind is None else F.when(F.col("embedding_type") == s.kind, d)
+        return F.struct(F.lit(s.strategy).alias("strategy"), F.lit(s.batch).alias("batch"), F.lit(float(s.scale)).alias("scale"), looked_at.alias("raw"))
+
+    rows = vectors_long.where("embedding is not null").select("key", F.explode(F.array(*map(hit, searches))).alias("h")).select("key", "h.*").where("raw is not null")
+    rank = F.row_number().over(Window.partitionBy("strategy", "batch").orderBy("raw", "key"))
+    return rows.withColumn("__n", rank).where(F.col("__n") <= k).select("strategy", "batch", "scale", F.lit(True).alias("invert"), "key", "raw")
+
+
+# Weight labels of a chunk's fields in full-text search.
+FIELDS = {"name": "A", "summary": "A", "keywords": "B", "metrics": "B", "chunk_content": "C"}
+
+
+def held_terms(values: Column, terms: Sequence[str], most: int = 10) -> Column:
+    """How many of the terms an array's text holds, without regard to case; repeated and blank terms count once and not at all."""
+    wanted = list(dict.fromkeys(w for t in terms if (w := " ".join(t.split()).lower())))[:most]
+    text = F.lower(F.coalesce(F.array_join(values, "\n"), F.lit("")))
+    return sum((F.contains(text, F.lit(t)).cast("int") for t in wanted), F.lit(0))
+
+
+def text_hits(data: DataFrame, query: str, keywords: Sequence[str], metrics: Sequence[str], k: int = 20, contained: int = 50) -> DataFrame:
+    """Hits of full text and of containment in keywords and metrics, in one pass over ``key`` and the columns of ``FIELDS``."""
+    as_text = {c: F.array_join(c, " ") if c in ("keywords", "metrics") else F.col(c) for c in FIELDS}
+    words = data.select("key", "keywords", "metrics", *[fulltext.tokens(t).alias(f"__{c}") for c, t in as_text.items()])
+    hit = lambda name, raw: F.struct(F.lit(name).alias("strategy"), raw.cast("double").alias("raw"))
+    found = F.array(
+        hit("bm25", fulltext.cover_rank({f"__{c}": label for c, label in FIELDS.items()}, query)),
+        hit("keyword_array", held_terms(F.col("keywords"), keywords)),
+        hit("metric_array", held_terms(F.col("metrics"), metrics)),
+    )
+    rows = words.select("key", F.explode(found).alias("h")).select("key", "h.*").where("raw > 0")
+    rank = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("raw"), "key"))
+    most = F.when(F.col("strategy") == "bm25", k).otherwise(contained)
+    kept = rows.withColumn("__n", rank).where((F.col("__n") <= max(k, contained)) & (F.col("__n") <= most))
+    return kept.select("strategy", F.lit(0).alias("batch"), F.lit(1.0).alias("scale"), F.lit(False).alias("invert"), "key", "raw")
+
+
+# Columns of a candidate.
+CANDIDATE = ("source_type", "fiscal_year", "quarter", "bank", "filename", "file_id", "file_type", "file_path", "page_number", "name", "summary", "chunk_id", "chunk_content", "keywords", "metrics")
+
+
+def candidates(fused: DataFrame, data: DataFrame) -> DataFrame:
+    """Fused keys with the columns of ``CANDIDATE``: page 0, no content and empty lists where the store has null. ``fused`` is a few rows."""
+    no_terms = F.array().cast("array<string>")
+    defaults = {"page_number": F.lit(0), "chunk_content": F.lit(""), "keywords": no_terms, "metrics": no_terms}
+    shown = [F.coalesce(F.col(c), defaults[c]).alias(c) if c in defaults else F.col(c) for c in CANDIDATE]
+    small = F.broadcast(fused) if fused.limit(SCOPE_ROWS + 1).count() <= SCOPE_ROWS else fused
+    return data.join(small, "key").select("key", *shown, "score", "sources")
+
+
 def tagged(hits: DataFrame, key: str, strategy: str, batch: int = 0, scale: float = 1.0, invert: bool = False) -> DataFrame:
     """Hits of one search as rows of the fusion's input; ``invert`` where less is better."""
     return hits.select(

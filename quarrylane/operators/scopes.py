@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.operators import ordering
+
 
 def low(c: Column) -> Column:
     """Trimmed lower-case elements of an array; nulls and blanks left out."""
@@ -56,14 +58,15 @@ def free_ids(rows: DataFrame, taken: DataFrame, order: str, prefix: str = "C") -
     """Rows in order with the smallest ids ``C1``, ``C2``, ... that are not taken.
 
     The k-th free number is at most k plus the numbers taken, so free numbers
-    are found by an anti-join and met by rank. Slots of one answer: a small table.
+    are found by an anti-join and met by rank; both ranks come from range
+    partitions, not from one task.
     """
     number = F.regexp_extract("id", rf"^{prefix}(\d+)$", 1).try_cast("long")
     used = taken.select(number.alias("n")).where("n > 0").distinct()
     top = rows.count() + used.count()
-    rank = lambda by: F.row_number().over(Window.orderBy(by))
-    free = rows.sparkSession.range(1, top + 1).toDF("n").join(used, "n", "left_anti").withColumn("__k", rank("n"))
-    return rows.withColumn("__k", rank(order)).join(free, "__k").withColumn("id", F.concat(F.lit(prefix), F.col("n").cast("string"))).drop("__k", "n")
+    free = rows.sparkSession.range(1, top + 1).toDF("n").join(used, "n", "left_anti")
+    ranked = ordering.numbered_globally(free, ["n"], "__k")
+    return ordering.numbered_globally(rows, [order], "__k").join(ranked, "__k").withColumn("id", F.concat(F.lit(prefix), F.col("n").cast("string"))).drop("__k", "n")
 
 
 def zipped(categories: Column, values: Column) -> Column:

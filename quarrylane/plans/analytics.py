@@ -64,7 +64,7 @@ _BASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ops.BASE_SCORES.items())
 @CATALOG.query(
     "shape_classify_score",
     f"""WITH {FACTS_SQL}, g0 AS (SELECT segment AS metric_key, year, quarter, bank FROM facts),
-    grp AS (SELECT metric_key, CAST(year AS VARCHAR) AS unit, count(*) AS n, count(DISTINCT bank) AS banks, count(DISTINCT quarter) AS periods FROM g0 WHERE year > 1998 GROUP BY metric_key, year HAVING count(*) >= 2),
+    grp AS (SELECT metric_key, CAST(year AS VARCHAR) AS unit, count(*) AS n, count(DISTINCT bank) AS banks, count(DISTINCT quarter) AS periods FROM g0 GROUP BY metric_key, year HAVING count(*) >= 2),
     s AS (SELECT *, unnest(CASE WHEN banks >= 2 AND periods = 1 THEN [{{'c': 'peer_rank_bar', 'a': 0}}] WHEN banks = 1 AND periods = 2 THEN [{{'c': 'trend_line', 'a': 0}}, {{'c': 'trend_bar', 'a': -12}}, {{'c': 'delta_bar', 'a': 0}}]
       WHEN banks = 1 AND periods > 2 THEN [{{'c': 'trend_line', 'a': 0}}, {{'c': 'trend_bar', 'a': -12}}]
       WHEN banks >= 2 AND periods = 2 THEN [{{'c': 'slopegraph', 'a': 0}}, {{'c': 'delta_bar', 'a': -6}}, {{'c': 'heatmap', 'a': CASE WHEN banks * periods >= 12 THEN 12 ELSE -8 END}}]
@@ -73,7 +73,7 @@ _BASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ops.BASE_SCORES.items())
     FROM s ORDER BY score DESC, metric_key, unit, chart LIMIT 40""",
 )
 def shape_classify_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).where("year > 1998")
+    f = facts(spark, sf_dir)
     grouped = f.groupBy(F.col("segment").alias("metric_key"), F.col("year").cast("string").alias("unit")).agg(F.count("*").alias("n"), F.countDistinct("bank").alias("banks"), F.countDistinct("quarter").alias("periods")).where("n >= 2")
     return ops.scored_shapes(grouped, keep=40).select("metric_key", "unit", "chart", "score")
 
@@ -103,41 +103,41 @@ def slopegraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bank", F.round("l", 2).alias("left_value"), F.round("r", 2).alias("right_value"))
 
 
-@CATALOG.query("heatmap", f"WITH {BANK_SQL} SELECT bank, {', '.join(f'round(max(CASE WHEN year = {y} AND quarter = 2 THEN value END), 2) AS y{y}' for y in range(1995, 2001))} FROM bank GROUP BY bank")
+@CATALOG.query("heatmap", f"WITH {BANK_SQL} SELECT bank, period, round(value, 2) AS value, round(value / max(value) OVER (PARTITION BY period), 6) AS shade FROM bank")
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = by_bank(spark, sf_dir).groupBy("bank").agg(*[F.round(F.max(F.when((F.col("year") == y) & (F.col("quarter") == 2), F.col("value"))), 2).alias(f"y{y}") for y in range(1995, 2001)])
-    return cells
+    """A cell for each bank and period, shaded by its share of the period's largest value."""
+    shade = F.col("value") / F.max("value").over(Window.partitionBy("period"))
+    return by_bank(spark, sf_dir).select("bank", "period", F.round("value", 2).alias("value"), F.round(shade, 6).alias("shade"))
 
 
-_PARTS = f"{FACTS_SQL}, part0 AS (SELECT year, bank, segment, value FROM facts WHERE quarter = 1), shares AS (SELECT year, bank, segment, round(100 * value / sum(value) OVER (PARTITION BY year, bank), 4) AS share FROM part0)"
+_PARTS = f"{FACTS_SQL}, shares AS (SELECT year, quarter, bank, segment, round(100 * value / sum(value) OVER (PARTITION BY year, quarter, bank), 4) AS share FROM facts)"
 
 
-@CATALOG.query("composition_100", f"WITH {_PARTS}, t AS (SELECT year, bank, sum(share) AS total FROM shares GROUP BY year, bank) SELECT year, bank, round(total, 2) AS total, bool_and(total BETWEEN 95 AND 105) OVER (PARTITION BY year) AS is_percent FROM t")
+@CATALOG.query("composition_100", f"WITH {_PARTS}, t AS (SELECT year, quarter, bank, sum(share) AS total FROM shares GROUP BY year, quarter, bank) SELECT year, quarter, bank, round(total, 2) AS total, bool_and(total BETWEEN 95 AND 105) OVER (PARTITION BY year, quarter) AS is_percent FROM t")
 def composition_100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = facts(spark, sf_dir).where("quarter = 1")
-    share = F.round(100 * F.col("value") / F.sum("value").over(Window.partitionBy("year", "bank")), 4)
-    return ops.composition(part.select("year", "bank", share.alias("share")), ["year", "bank"], "share").withColumn("total", F.round("total", 2))
+    share = F.round(100 * F.col("value") / F.sum("value").over(Window.partitionBy("year", "quarter", "bank")), 4)
+    return ops.composition(facts(spark, sf_dir).select("year", "quarter", "bank", share.alias("share")), ["year", "quarter", "bank"], "share").withColumn("total", F.round("total", 2))
 
 
-@CATALOG.query("waterfall", f"WITH {FACTS_SQL}, s AS (SELECT segment, sum(CAST(value AS DECIMAL(18,2))) AS v FROM facts WHERE year = 1997 GROUP BY segment), r AS (SELECT *, row_number() OVER (ORDER BY segment) AS n, count(*) OVER () AS m, sum(v) OVER (ORDER BY segment) AS run FROM s) SELECT segment, CAST(v AS DOUBLE) AS value, CAST(run AS DOUBLE) AS running, n = 1 AS is_first, n = m AS is_last FROM r")
+@CATALOG.query("waterfall", f"WITH {FACTS_SQL}, s AS (SELECT year, segment, sum(CAST(value AS DECIMAL(18,2))) AS v FROM facts GROUP BY year, segment), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY segment) AS n, count(*) OVER (PARTITION BY year) AS m, sum(v) OVER (PARTITION BY year ORDER BY segment) AS run FROM s) SELECT year, segment, CAST(v AS DOUBLE) AS value, CAST(run AS DOUBLE) AS running, n = 1 AS is_first, n = m AS is_last FROM r")
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments are few after the aggregation, so one order over all of them is a small sort."""
-    s = facts(spark, sf_dir).where("year = 1997").groupBy("segment").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
-    w = Window.orderBy("segment")
-    n, m = F.row_number().over(w), F.count("*").over(Window.partitionBy())
+    """The steps of each year."""
+    s = facts(spark, sf_dir).groupBy("year", "segment").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    w = Window.partitionBy("year").orderBy("segment")
+    n, m = F.row_number().over(w), F.count("*").over(Window.partitionBy("year"))
     run = F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return s.select("segment", F.col("v").cast("double").alias("value"), run.cast("double").alias("running"), (n == 1).alias("is_first"), (n == m).alias("is_last"))
+    return s.select("year", "segment", F.col("v").cast("double").alias("value"), run.cast("double").alias("running"), (n == 1).alias("is_first"), (n == m).alias("is_last"))
 
 
 @CATALOG.query(
     "scatter_pairs",
-    f"""WITH {FACTS_SQL}, a AS (SELECT bank, year, quarter, segment, value FROM facts WHERE year = 1996)
-    SELECT x.bank, x.quarter, x.segment AS metric_x, y.segment AS metric_y, round(x.value, 2) AS x, round(y.value, 2) AS y
+    f"""WITH {FACTS_SQL}, a AS (SELECT bank, year, quarter, segment, value FROM facts)
+    SELECT x.bank, x.year, x.quarter, x.segment AS metric_x, y.segment AS metric_y, round(x.value, 2) AS x, round(y.value, 2) AS y
     FROM a x JOIN a y USING (bank, year, quarter) WHERE x.segment < y.segment QUALIFY count(*) OVER (PARTITION BY x.segment, y.segment) >= 4""",
 )
 def scatter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.pairs(facts(spark, sf_dir).where("year = 1996"), ["bank", "year", "quarter"], "segment", "value")
-    return rows.select("bank", "quarter", "metric_x", "metric_y", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    rows = ops.pairs(facts(spark, sf_dir), ["bank", "year", "quarter"], "segment", "value")
+    return rows.select("bank", "year", "quarter", "metric_x", "metric_y", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @CATALOG.query("small_multiples", f"WITH {FACTS_SQL}, g AS (SELECT segment, bank, year, count(*) AS n FROM facts GROUP BY segment, bank, year), s AS (SELECT segment, bank, count(*) AS points FROM g GROUP BY segment, bank HAVING count(*) >= 2) SELECT segment, count(*) AS series, CAST(sum(points) AS BIGINT) AS points FROM s GROUP BY segment HAVING count(*) >= 2 AND sum(points) >= 4")

@@ -42,10 +42,10 @@ def speaker_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("conv_id").agg(F.count("*").alias("blocks"), F.max("c").alias("longest"))
 
 
-#: Findings: documents stand for findings; what a finding says is its first words, its place the page.
+#: Findings: documents stand for findings; what a finding says is its text, its place the page.
 FINDINGS_SQL = f"""{CHUNKS_SQL}, findings AS (
   SELECT doc_id AS finding_id, bank AS source_id, file_id AS file_name, page % 5 AS page, NULL AS sheet, source_type AS section,
-         CASE WHEN doc_id % 3 = 0 THEN 'Page ' || page % 5 ELSE '' END AS location, lower(trim(substr(text, 1, 12))) AS finding FROM chunks)"""
+         CASE WHEN doc_id % 3 = 0 THEN 'Page ' || page % 5 ELSE '' END AS location, lower(trim(text)) AS finding FROM chunks)"""
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("sheet"),
         F.col("source_type").alias("section"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Page "), page.cast("string"))).otherwise("").alias("location"),
-        F.lower(F.trim(F.substring("text", 1, 12))).alias("finding"),
+        F.lower(F.trim("text")).alias("finding"),
         page.alias("page"),
     )
 

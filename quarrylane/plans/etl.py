@@ -21,7 +21,7 @@ acc AS (SELECT *, least(n_tokens, 800) AS embedding_tokens, greatest(0, n_tokens
 
 
 def accounted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).select("doc_id", "file_id", "bank", "page", chunking.token_count(F.col("text")).alias("n_tokens"))
+    rows = chunks(spark, sf_dir, n_tokens=chunking.token_count(F.col("text"))).select("doc_id", "file_id", "bank", "page", "n_tokens")
     return chunking.accounted(rows, limit=800, tiers=(200, 600))
 
 
@@ -175,10 +175,25 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@CATALOG.query("one_file_rule", "SELECT source, lang, count(*) AS n_files, array_to_string(list_sort(list(doc_id % 10)), ',') AS kinds FROM documents WHERE doc_id < 120 GROUP BY source, lang HAVING count(*) <> 1")
+@CATALOG.query(
+    "one_file_rule",
+    """SELECT 2000 + l_linenumber AS year, 'Q' || (l_orderkey % 4 + 1) AS quarter, 'b' || l_orderkey AS bank, count(*) AS n,
+      CASE WHEN count(*) > 1 THEN 'more than one file' ELSE 'wrong kind of file' END AS problem
+      FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR count(*) FILTER (l_returnflag = 'A') = 0""",
+)
 def one_file_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id < 120").select("source", "lang", (F.col("doc_id") % 10).alias("kind"))
-    return rows.groupBy("source", "lang").agg(F.count("*").alias("n_files"), F.array_join(F.array_sort(F.collect_list("kind")).cast("array<string>"), ",").alias("kinds")).where("n_files <> 1")
+    """Lines stand for files: a bank for each order, a period for each line number, a kind for each return flag."""
+    from quarrylane.sources import files
+
+    kind = F.when(F.col("l_returnflag") == "A", ".PDF").otherwise(".xlsx")
+    rows = table(spark, sf_dir, "lineitem").select(
+        (2000 + F.col("l_linenumber")).alias("year"),
+        F.concat(F.lit("Q"), (F.col("l_orderkey") % 4 + 1).cast("string")).alias("quarter"),
+        F.concat(F.lit("b"), F.col("l_orderkey").cast("string")).alias("bank"),
+        F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), kind).alias("filename"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return files.one_file_per_bank(rows, "pdf")
 
 
 @CATALOG.query("alias_projection", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), '') AS source_type FROM documents")
@@ -207,9 +222,9 @@ def availability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bank", F.array_join("database_names", ",").alias("database_names"))
 
 
-@CATALOG.query("availability_lookup", f"WITH {_AVAIL}, combos AS (SELECT 'src' || o_orderkey % 30 AS bank, CASE o_orderkey % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'fr' ELSE 'xx' END AS source_type, o_orderkey FROM orders WHERE o_orderkey < 400) SELECT o_orderkey, coalesce(list_contains(names, source_type), false) AS available FROM combos LEFT JOIN avail USING (bank)")
+@CATALOG.query("availability_lookup", f"WITH {_AVAIL}, combos AS (SELECT 'src' || o_orderkey % 30 AS bank, CASE o_orderkey % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'fr' ELSE 'xx' END AS source_type, o_orderkey FROM orders) SELECT o_orderkey, coalesce(list_contains(names, source_type), false) AS available FROM combos LEFT JOIN avail USING (bank)")
 def availability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    combos = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(
+    combos = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.concat(F.lit("src"), (F.col("o_orderkey") % 30).cast("string")).alias("bank"), F.expr("case o_orderkey % 3 when 0 then 'es' when 1 then 'fr' else 'xx' end").alias("source_type")
     )
     return merge.availability_lookup(combos, merge.availability(chunks(spark, sf_dir), ["bank"], "source_type"), ["bank"], "source_type").select("o_orderkey", "available")
@@ -218,13 +233,13 @@ def availability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query(
     "upsert_union",
     """WITH a AS (SELECT source AS bank, list_sort(list_distinct(list(lang))) AS names, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY source),
-    b AS (SELECT source AS bank, list_sort(list_distinct(list(lang))) AS names, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND doc_id % 11 < 5 GROUP BY source)
+    b AS (SELECT source AS bank, list_sort(list_distinct(list(lang))) AS names, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
     SELECT coalesce(b.bank, a.bank) AS bank, CASE WHEN b.bank IS NULL THEN a.n ELSE b.n END AS n, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.names, []), coalesce(b.names, [])))), ',') AS names FROM a FULL OUTER JOIN b ON a.bank = b.bank""",
 )
 def upsert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     roll = lambda rows: rows.groupBy("bank").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source_type")).alias("names"))
-    out = merge.upsert_union(roll(c.where("doc_id % 2 = 0")), roll(c.where("doc_id % 2 = 1 and doc_id % 11 < 5")), ["bank"], "names")
+    out = merge.upsert_union(roll(c.where("doc_id % 2 = 0")), roll(c.where("doc_id % 2 = 1")), ["bank"], "names")
     return out.withColumn("names", F.array_join("names", ","))
 
 
@@ -240,16 +255,16 @@ def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.deleted(rows, F.col("c_name").startswith("Customer#00000001")).select("c_custkey", "c_acctbal")
 
 
-_UNITS = "units AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{7,}')[1:3] AS keywords, text FROM documents WHERE length(text) > 0)"
+_UNITS = "units AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{7,}') AS keywords, text FROM documents WHERE length(text) > 0)"
 
 
 @CATALOG.query(
     "embedding_unpivot",
     f"""WITH {_UNITS} SELECT doc_id || '::content' AS embedding_id, doc_id, 'content' AS embedding_type, text AS term FROM units
-    UNION ALL SELECT doc_id || '::keyword::' || lpad(CAST(u.i - 1 AS VARCHAR), 3, '0') || '::' || substr(sha256(keywords[u.i]), 1, 12), doc_id, 'keyword', keywords[u.i] FROM units, unnest(range(1, len(keywords) + 1)) AS u(i)""",
+    UNION ALL SELECT doc_id || '::keyword::' || lpad(CAST(u.i - 1 AS VARCHAR), greatest(3, length(CAST(u.i - 1 AS VARCHAR)))::INTEGER, '0') || '::' || substr(sha256(keywords[u.i]), 1, 12), doc_id, 'keyword', keywords[u.i] FROM units, unnest(range(1, len(keywords) + 1)) AS u(i)""",
 )
 def embedding_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keywords = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)), 1, 3)
+    keywords = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))
     units = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text", keywords.alias("keywords"))
     return chunking.unpivot(units, "doc_id", "text", {"keyword": "keywords"})
 
@@ -307,12 +322,12 @@ def workbook_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     "valid_findings",
-    f"""WITH {CHUNKS_SQL} SELECT c.doc_id, trim(regexp_replace(substr(c.text, 1, 30), '\\s+', ' ', 'g')) AS finding, k.page AS page, CAST(c.n_chars AS DOUBLE) AS metric_value
-      FROM chunks c LEFT JOIN (SELECT DISTINCT file_id, page FROM chunks) k ON c.file_id = k.file_id AND c.page + 3 = k.page WHERE trim(substr(c.text, 1, 30)) <> ''""",
+    f"""WITH {CHUNKS_SQL} SELECT c.doc_id, trim(regexp_replace(c.text, '\\s+', ' ', 'g')) AS finding, k.page AS page, CAST(c.n_chars AS DOUBLE) AS metric_value
+      FROM chunks c LEFT JOIN (SELECT DISTINCT file_id, page FROM chunks) k ON c.file_id = k.file_id AND c.page + 3 = k.page WHERE trim(c.text) <> ''""",
 )
 def valid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylane.operators import evidence
 
     c = chunks(spark, sf_dir)
-    found = c.select("doc_id", "file_id", F.substring("text", 1, 30).alias("finding"), (F.col("page") + 3).alias("page"), F.concat(F.lit("$"), F.col("n_chars").cast("string")).alias("metric_value"))
+    found = c.select("doc_id", "file_id", F.col("text").alias("finding"), (F.col("page") + 3).alias("page"), F.concat(F.lit("$"), F.col("n_chars").cast("string")).alias("metric_value"))
     return evidence.valid_findings(found, c, ["file_id"]).select("doc_id", "finding", "page", "metric_value")

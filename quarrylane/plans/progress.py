@@ -64,7 +64,7 @@ def stage_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stages"), F.count("*").alias("n"))
 
 
-@CATALOG.query("tool_call_deltas", "SELECT conv_id, role, string_agg(substr(text, 1, 20), '' ORDER BY turn) AS text, count(*) AS pieces FROM conversations GROUP BY conv_id, role")
+@CATALOG.query("tool_call_deltas", "SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS text, count(*) AS pieces FROM conversations GROUP BY conv_id, role")
 def tool_call_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 20).alias("piece"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.col("text").alias("piece"))
     return progress.joined_deltas(rows, ["conv_id", "role"], "turn", "piece")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
-from quarrylane.functions import providers
+from quarrylane.functions import providers, vectors
 from quarrylane.operators import render, research, scopes
+from quarrylane.plans.search import query_vector
 from quarrylane.plans.views import CHUNKS_SQL, chunks
 from quarrylane.session import table
 
@@ -61,16 +62,25 @@ def series_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(pairs, lambda x: F.concat(x["category"], F.lit("="), x["value"])), ";").alias("zipped"))
 
 
-@CATALOG.query("embedding_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Section: ' || source || '. ' ELSE '' END || '[' || lang || '] ' || substr(text, 1, 40) AS text FROM documents WHERE trim(substr(text, 1, 40)) <> ''")
+@CATALOG.query("embedding_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Section: ' || source || '. ' ELSE '' END || '[' || lang || '] ' || text AS text FROM documents WHERE trim(text) <> ''")
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    rows = table(spark, sf_dir, "documents").where(F.trim(head) != "")
-    return rows.select("doc_id", render.embedding_text(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("lang"), head).alias("text"))
+    rows = table(spark, sf_dir, "documents").where(F.trim("text") != "")
+    return rows.select("doc_id", render.embedding_text(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("lang"), F.col("text")).alias("text"))
 
 
-@CATALOG.query("evidence_blocks", f"WITH {CHUNKS_SQL} SELECT bank, string_agg('### page_' || page || chr(10) || CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 185) || chr(10) || '...[truncated]' END, chr(10) || chr(10) ORDER BY doc_id) AS block, count(*) AS n FROM chunks WHERE page <= 2 GROUP BY bank")
+#: The chunks of each bank that are nearest to a query vector: what a retrieval hands on, at most 20.
+_NEAREST = f"""{CHUNKS_SQL}, near AS (SELECT c.*, row_number() OVER (PARTITION BY bank ORDER BY greatest(0, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))), doc_id) AS rank
+  FROM chunks c JOIN embeddings ON vec_id = doc_id)"""
+
+
+@CATALOG.query("evidence_blocks", f"WITH {_NEAREST} SELECT bank, string_agg('### page_' || page || chr(10) || CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 185) || chr(10) || '...[truncated]' END, chr(10) || chr(10) ORDER BY doc_id) AS block, count(*) AS n FROM near WHERE rank <= 20 GROUP BY bank")
 def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).where("page <= 2").withColumn("ident", F.concat(F.lit("page_"), F.col("page").cast("string")))
+    """Blocks of a retrieval's results: the 20 nearest chunks of each bank."""
+    d = vectors.cosine_distance(F.col("embedding"), vectors.literal(query_vector(spark, sf_dir)))
+    rank = F.row_number().over(Window.partitionBy("bank").orderBy("d", "doc_id"))
+    near = chunks(spark, sf_dir, n=F.lit(0)).join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("doc_id")).withColumn("d", d)
+    best = near.withColumn("rank", rank).where("rank <= 20").select("doc_id", "bank", "page")
+    rows = best.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("ident", F.concat(F.lit("page_"), F.col("page").cast("string")))
     return render.evidence_block(rows, ["bank"], "doc_id", "ident", "text", 200)
 
 

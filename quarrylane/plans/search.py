@@ -49,7 +49,7 @@ def knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_scoped_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = spark.createDataFrame([("src0", "en"), ("src1", "en")], "bank string, source_type string")
-    scoped = retrieval.in_scope(chunks(spark, sf_dir), scope, ["bank", "source_type"]).select("doc_id", "file_id", "page")
+    scoped = retrieval.in_scope(chunks(spark, sf_dir, n=F.lit(0)), scope, ["bank", "source_type"]).select("doc_id", "file_id", "page")
     d = vectors.cosine_distance(F.col("embedding"), vectors.literal(query_vector(spark, sf_dir)))
     rows = table(spark, sf_dir, "embeddings").join(scoped, F.col("vec_id") == F.col("doc_id")).select("doc_id", "file_id", "page", d.alias("d"))
     return rows.orderBy("d", "doc_id").limit(20).select("doc_id", "file_id", "page", F.round("d", 6).alias("distance"))
@@ -75,17 +75,55 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fulltext_top(table(spark, sf_dir, "documents"), "doc_id", "text", WORDS).select("doc_id", F.round("raw", 6).alias("score"))
 
 
-@CATALOG.query(
-    "fts_cover_topk",
-    """WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-    p AS (SELECT doc_id, u.i AS i, w[u.i] AS term FROM tok, unnest(range(1, len(w) + 1)) AS u(i)),
-    h AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM p WHERE term IN ('for', 'with'))
-    SELECT doc_id, round(sum(0.2::DOUBLE / coalesce(greatest(gap, 1), 1)), 6) AS score FROM h GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+#: The chunk store on the test tables: one chunk per document; keywords and metrics are its long words.
+DATA_SQL = """data AS (
+  SELECT doc_id AS key, lang AS source_type, 2020 + doc_id % 4 AS fiscal_year, 'Q' || (doc_id % 4 + 1) AS quarter, source AS bank, source || '.pdf' AS filename, source || '_' || lang AS file_id,
+         'pdf' AS file_type, '/in/' || source || '.pdf' AS file_path, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS page_number, source || ' ' || lang AS name, split_part(text, '.', 1) AS summary,
+         'page_' || doc_id || '.1' AS chunk_id, text AS chunk_content, regexp_extract_all(lower(text), '[a-z]{9,}') AS keywords, regexp_extract_all(lower(text), '[a-z]{12,}') AS metrics
+  FROM documents)"""
+
+
+def data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, source, text_ = F.col("doc_id"), F.col("source"), F.col("text")
+    words = lambda n: F.regexp_extract_all(F.lower(text_), F.lit(f"[a-z]{{{n},}}"), F.lit(0))
+    columns = {
+        "key": k, "source_type": F.col("lang"), "fiscal_year": 2020 + k % 4, "quarter": F.concat(F.lit("Q"), (k % 4 + 1).cast("string")), "bank": source,
+        "filename": F.concat(source, F.lit(".pdf")), "file_id": F.concat_ws("_", "source", "lang"), "file_type": F.lit("pdf"), "file_path": F.concat(F.lit("/in/"), source, F.lit(".pdf")),
+        "page_number": F.when(k % 5 > 0, k % 5), "name": F.concat_ws(" ", "source", "lang"), "summary": F.split_part(text_, F.lit("."), F.lit(1)),
+        "chunk_id": F.concat(F.lit("page_"), k.cast("string"), F.lit(".1")), "chunk_content": text_, "keywords": words(9), "metrics": words(12),
+    }
+    return table(spark, sf_dir, "documents").select(*[c.alias(n) for n, c in columns.items()])
+
+
+#: Vectors by kind: four to a unit, the last of them its section's, which stands for three units.
+VECTORS_SQL = """vl AS (SELECT embedding, CASE vec_id % 4 WHEN 0 THEN 'content' WHEN 1 THEN 'keyword' WHEN 2 THEN 'metric' ELSE 'section_summary' END AS kind,
+  unnest(CASE WHEN vec_id % 4 = 3 THEN [vec_id // 4, vec_id // 4 + 1, vec_id // 4 + 2] ELSE [vec_id // 4] END) AS key FROM embeddings),
+vs AS (SELECT * FROM vl WHERE key IN (SELECT doc_id FROM documents))"""
+
+
+def vectors_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, unit = F.col("vec_id") % 4, F.floor(F.col("vec_id") / 4)
+    named = F.when(kind == 0, "content").when(kind == 1, "keyword").when(kind == 2, "metric").otherwise("section_summary")
+    units = F.when(kind == 3, F.array(unit, unit + 1, unit + 2)).otherwise(F.array(unit))
+    rows = table(spark, sf_dir, "embeddings").select("embedding", named.alias("embedding_type"), F.explode(units).alias("key"))
+    return rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")), "key", "left_semi")
+
+
+QUERY = '"of the" OR with OR haing OR thing'
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_FIELD_WORDS = {"name": "name", "summary": "coalesce(summary, '')", "keywords": "array_to_string(keywords, ' ')", "metrics": "array_to_string(metrics, ' ')", "chunk_content": "chunk_content"}
+_COUNTS = " + ".join(
+    f"{fulltext.LABEL_WEIGHTS[retrieval.FIELDS[f]]}::DOUBLE * (len([i FOR i IN range(1, len({f}_w)) IF {f}_w[i] = 'of' AND {f}_w[i + 1] = 'the']) + len([x FOR x IN {f}_w IF x IN ('with', 'haing', 'thing')]))" for f in _FIELD_WORDS
 )
+RANK_SQL = f"""{DATA_SQL}, fw AS (SELECT key, {", ".join(f"{_WORDS.format(c)} AS {f}_w" for f, c in _FIELD_WORDS.items())} FROM data),
+ft AS (SELECT key, {_COUNTS} AS raw FROM fw)"""
+
+
+@CATALOG.query("fts_cover_topk", f"WITH {RANK_SQL} SELECT key, round(raw, 6) AS score FROM ft WHERE raw > 0 ORDER BY raw DESC, key LIMIT 20")
 def fts_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = fulltext.weighted_postings(table(spark, sf_dir, "documents"), "doc_id", {"text": "C"})
-    scored = fulltext.cover_density(postings, "doc_id", ["for", "with"])
-    return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    """Best chunks of an OR query with a phrase, over name, summary, keywords, metrics and content by their weights."""
+    hits = retrieval.text_hits(data(spark, sf_dir), QUERY, [], [])
+    return hits.where("strategy = 'bm25'").select("key", F.round("raw", 6).alias("score"))
 
 
 @CATALOG.query(
@@ -94,47 +132,71 @@ def fts_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS places, min(u.i) - 1 AS first_pos FROM tok, unnest(range(1, len(w))) AS u(i) WHERE w[u.i] = 'of' AND w[u.i + 1] = 'the' GROUP BY doc_id""",
 )
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = fulltext.weighted_postings(table(spark, sf_dir, "documents"), "doc_id", {"text": "C"})
+    postings = fulltext.weighted_postings(table(spark, sf_dir, "documents"), "doc_id", {"text": "C"}, ["of", "the"])
     found = fulltext.phrase_matches(postings, "doc_id", "of the")
     return found.groupBy("doc_id").agg(F.count("*").alias("places"), F.min("pos").cast("long").alias("first_pos"))
 
 
+KEYWORDS, METRICS = ["ontionthe", "Thing ", "andand"], ["tionandthe", "ingthe"]
+_SEARCHES = (("content_vector", 0, 1.0, "content", 0), ("section_summary", 0, 1.0, "section_summary", 0), ("hyde_vector", 0, 1.0, "content", 1), ("subquery_vector", 0, 0.5, "content", 2), ("subquery_vector", 1, 0.5, "content", 3), ("keyword_vector", 0, 1.0, "keyword", 4), ("metric_vector", 0, 1.0, "metric", 5))
+
+
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of five searches over the documents: vectors twice, containment by two sub-queries, full text."""
-    docs, emb = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    t = retrieval.tagged
-    hits = t(retrieval.nearest(emb, "vec_id", "embedding", query_vector(spark, sf_dir, 0)), "vec_id", "content", invert=True)
-    hits = hits.unionByName(t(retrieval.nearest(emb, "vec_id", "embedding", query_vector(spark, sf_dir, 1)), "vec_id", "hyde", invert=True))
-    for i, words in enumerate((TERMS[:2], TERMS[2:])):
-        hits = hits.unionByName(t(retrieval.containment(docs, "doc_id", "text", words), "doc_id", "subqueries", batch=i, scale=0.5))
-    return hits.unionByName(t(retrieval.fulltext_top(docs, "doc_id", "text", WORDS), "doc_id", "fulltext"))
+    """Hits of all nine strategies: one pass over the vectors, one over the chunks."""
+    wanted = sorted({q for *_, q in _SEARCHES})
+    found = {r.vec_id: list(r.embedding) for r in table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(wanted)).collect()}
+    searches = [retrieval.VectorSearch(name, kind, found[q], batch, scale) for name, batch, scale, kind, q in _SEARCHES]
+    return retrieval.vector_hits(vectors_long(spark, sf_dir), searches).unionByName(retrieval.text_hits(data(spark, sf_dir), QUERY, KEYWORDS, METRICS))
 
 
 def _dist(n: int) -> str:
     return f"greatest(0, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {n})))"
 
 
-def _contain(terms: list[str]) -> str:
-    n = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in terms)
-    return f"(SELECT doc_id, CAST({n} AS DOUBLE) AS raw FROM documents WHERE {n} > 0 ORDER BY raw DESC, doc_id LIMIT 50)"
+_ORD = {s: i for i, s in enumerate(retrieval.WEIGHTS)}
+_VALUES = ", ".join(f"('{s}', {_ORD[s]}, {b}, {retrieval.WEIGHTS[s] * scale}::DOUBLE, '{kind}', {q})" for s, b, scale, kind, q in _SEARCHES)
 
 
-FUSED_SQL = f"""{_BM25_SQL},
+def _held(column: str, terms: list[str]) -> str:
+    text_ = f"lower(array_to_string({column}, chr(10)))"
+    return " + ".join(f"CAST(contains({text_}, '{t.strip().lower()}') AS INTEGER)" for t in terms)
+
+
+def _text_hits(name: str, raw: str, source: str, limit: int) -> str:
+    return f"SELECT '{name}', {_ORD[name]}, 0, {retrieval.WEIGHTS[name]}::DOUBLE, false, key, raw FROM (SELECT key, CAST({raw} AS DOUBLE) AS raw FROM {source} WHERE {raw} > 0 ORDER BY raw DESC, key LIMIT {limit})"
+
+
+FUSED_SQL = f"""{RANK_SQL}, {VECTORS_SQL},
+q(s, ord, b, w, kind, qid) AS (VALUES {_VALUES}),
 hits AS (
-  SELECT 'content' AS s, 0 AS ord, 0 AS b, 0.22::DOUBLE AS w, true AS inv, vec_id AS key, raw FROM (SELECT vec_id, {_dist(0)} AS raw FROM embeddings ORDER BY raw, vec_id LIMIT 20)
-  UNION ALL SELECT 'hyde', 2, 0, 0.18::DOUBLE, true, vec_id, raw FROM (SELECT vec_id, {_dist(1)} AS raw FROM embeddings ORDER BY raw, vec_id LIMIT 20)
-  UNION ALL SELECT 'subqueries', 3, 0, 0.14::DOUBLE * 0.5, false, doc_id, raw FROM {_contain(TERMS[:2])}
-  UNION ALL SELECT 'subqueries', 3, 1, 0.14::DOUBLE * 0.5, false, doc_id, raw FROM {_contain(TERMS[2:])}
-  UNION ALL SELECT 'fulltext', 6, 0, 0.10::DOUBLE, false, doc_id, raw FROM (SELECT * FROM bm ORDER BY raw DESC, doc_id LIMIT 20)),
+  SELECT s, ord, b, w, true AS inv, key, raw FROM (
+    SELECT q.s, q.ord, q.b, q.w, vs.key, greatest(0, 1 - list_cosine_similarity(CAST(vs.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS raw
+    FROM q JOIN embeddings e ON e.vec_id = q.qid JOIN vs ON vs.kind = q.kind) QUALIFY row_number() OVER (PARTITION BY s, b ORDER BY raw, key) <= 20
+  UNION ALL {_text_hits("bm25", "raw", "ft", 20)}
+  UNION ALL {_text_hits("keyword_array", _held("keywords", KEYWORDS), "data", 50)}
+  UNION ALL {_text_hits("metric_array", _held("metrics", METRICS), "data", 50)}),
+best AS (SELECT s, ord, b, w, inv, key, CASE WHEN inv THEN min(raw) ELSE max(raw) END AS v, count(*) AS n FROM hits GROUP BY s, ord, b, w, inv, key),
 normed AS (
-  SELECT key, s, ord, w * CASE WHEN m = 0 THEN 1 WHEN inv THEN greatest(0, 1 - raw / m) ELSE raw / m END AS part
-  FROM (SELECT *, max(raw) OVER (PARTITION BY s, b) AS m FROM hits)),
+  SELECT key, s, ord, w * n * CASE WHEN m = 0 THEN 1 WHEN inv THEN greatest(0, 1 - v / m) ELSE v / m END AS part
+  FROM (SELECT *, max(v) OVER (PARTITION BY s, b) AS m FROM best)),
 fused AS (
   SELECT key, sum(part) AS score, count(DISTINCT s) AS n_strategies,
          array_to_string(list_transform(list_sort(list_distinct(list(CAST(ord AS VARCHAR) || s))), lambda x: x[2:]), ',') AS sources
   FROM normed GROUP BY key)"""
 
 
+@CATALOG.query(
+    "candidate_projection",
+    f"""WITH {FUSED_SQL}, best20 AS (SELECT key, score, sources FROM fused ORDER BY round(score, 9) DESC, key LIMIT 20)
+    SELECT key, source_type, fiscal_year, quarter, bank, filename, file_id, file_type, file_path, coalesce(page_number, 0) AS page_number, name, summary, chunk_id, coalesce(chunk_content, '') AS chunk_content,
+      array_to_string(keywords, ',') AS keywords, array_to_string(metrics, ',') AS metrics, round(score, 6) AS score, sources FROM best20 JOIN data USING (key)""",
+)
+def candidate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = retrieval.top(retrieval.fuse(_strategies(spark, sf_dir)), 20)
+    rows = retrieval.candidates(best, data(spark, sf_dir))
+    return rows.withColumns({"keywords": F.array_join("keywords", ","), "metrics": F.array_join("metrics", ","), "score": F.round("score", 6)})
+
+
 @CATALOG.query("hybrid_fusion", f"WITH {FUSED_SQL} SELECT key, round(score, 6) AS score, n_strategies, sources FROM fused")
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(_strategies(spark, sf_dir)).select("key", F.round("score", 6).alias("score"), "n_strategies", "sources")
@@ -153,7 +215,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_topk_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: fused top-20, neighbours of a file filled in where one or two pages are missing, anchors first."""
-    pages = chunks(spark, sf_dir).select("doc_id", "file_id", "page")
+    pages = chunks(spark, sf_dir, n=F.lit(0)).select("doc_id", "file_id", "page")
     best = retrieval.top(retrieval.fuse(_strategies(spark, sf_dir)), 20)
     anchors = best.join(pages, F.col("key") == F.col("doc_id")).select("file_id", "page", F.round("score", 6).alias("score"))
     fill = retrieval.gap_fill(anchors, "file_id", "page")
@@ -168,7 +230,7 @@ def hybrid_topk_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT file_id, u.p AS page FROM g, unnest(range(page + 1, nx)) AS u(p) WHERE nx - page - 1 BETWEEN 1 AND 2""",
 )
 def page_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.gap_fill(chunks(spark, sf_dir).where("n_chars > 2500").select("file_id", "page"), "file_id", "page")
+    return retrieval.gap_fill(chunks(spark, sf_dir, n=F.lit(0)).where("n_chars > 2500").select("file_id", "page"), "file_id", "page")
 
 
 @CATALOG.query(
@@ -211,43 +273,51 @@ def term_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.array_join("m", "|").alias("metrics"), F.array_join("k", "|").alias("keywords"))
 
 
+_CLEAN = "trim(regexp_replace(replace({}, '%', ' percentage '), '[^A-Za-z0-9]+', ' ', 'g'))"
+_QUOTED = "CASE WHEN contains({0}, ' ') THEN '\"' || {0} || '\"' ELSE {0} END"
+
+
 @CATALOG.query(
     "fulltext_query_builder",
-    f"""WITH {TERMS_SQL} SELECT item_id, CASE WHEN len(metrics) + len(keywords) > 0 THEN
-      array_to_string([CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END FOR x IN list_concat(metrics, keywords)][1:10], ' OR ') ELSE text END AS query FROM k""",
+    f"""WITH {TERMS_SQL}, c AS (SELECT item_id, text, [x FOR x IN [{_CLEAN.format('t')} FOR t IN list_concat(metrics, keywords)] IF x <> ''] AS terms FROM k),
+    u AS (SELECT item_id, text, [x FOR x, i IN terms IF list_position([lower(y) FOR y IN terms], lower(x)) = i][1:10] AS terms FROM c)
+    SELECT item_id, CASE WHEN len(terms) > 0 THEN array_to_string([{_QUOTED.format('x')} FOR x IN terms], ' OR ') ELSE {_QUOTED.format(_CLEAN.format('text'))} END AS query FROM u""",
 )
 def fulltext_query_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").withColumn("m", text.metric_terms(F.col("text"))).withColumn("k", text.key_terms(F.col("text"), F.col("m")))
     return rows.select("item_id", text.fulltext_query(F.col("m"), F.col("k"), F.col("text")).alias("query"))
 
 
+def _soft_sql(c: str) -> str:
+    for pattern, kind in text.SOFTENED:
+        c = f"regexp_replace({c}, '{pattern.removeprefix('(?i)')}', '{kind}', '{'gi' if pattern.startswith('(?i)') else 'g'}')"
+    return f"trim({c})"
+
+
 @CATALOG.query(
     "hyde_soften",
-    r"""WITH p AS (SELECT o_orderkey, 'Margin rose ' || (o_orderkey % 90) || '% to 12-' || (13 + o_orderkey % 7) || '%, up ' || (o_orderkey % 50) || ' bps, on C$' || CAST(round(o_totalprice, 1) AS DECIMAL(18,1)) || ' million and ' || o_custkey || ' billion loans' AS t FROM orders)
-    SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
-      '\b\d+(?:\.\d+)?\s*(?:-|to)\s*\d+(?:\.\d+)?\s*%', 'a percentage range', 'g'), '\b\d+(?:\.\d+)?\s*%', 'a percentage', 'g'),
-      '\b\d+(?:\.\d+)?\s*(?:bps|basis points)\b', 'some basis points', 'g'), '\b(?:C|US)?\$\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:million|billion|trillion))?', 'an amount', 'g'),
-      '\b\d[\d,]*(?:\.\d+)?\s*(?:million|billion|trillion)\b', 'an amount', 'g'), ' {2,}', ' ', 'g') AS soft FROM p""",
+    f"""WITH p AS (SELECT o_orderkey, 'Margin rose ' || (o_orderkey % 90) || '% to 12 - ' || (13 + o_orderkey % 7) || '%, up ' || (o_orderkey % 50) || ' bps, on C$' || CAST(round(o_totalprice, 1) AS DECIMAL(18,1)) || ' mm and USD  ' || o_custkey || ' billion loans' AS t FROM orders)
+    SELECT o_orderkey, {_soft_sql("t")} AS soft FROM p""",
 )
 def hyde_soften(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(
-        F.lit("Margin rose "), (F.col("o_orderkey") % 90).cast("string"), F.lit("% to 12-"), (13 + F.col("o_orderkey") % 7).cast("string"), F.lit("%, up "), (F.col("o_orderkey") % 50).cast("string"),
-        F.lit(" bps, on C$"), F.round("o_totalprice", 1).cast("decimal(18,1)").cast("string"), F.lit(" million and "), F.col("o_custkey").cast("string"), F.lit(" billion loans"),
+        F.lit("Margin rose "), (F.col("o_orderkey") % 90).cast("string"), F.lit("% to 12 - "), (13 + F.col("o_orderkey") % 7).cast("string"), F.lit("%, up "), (F.col("o_orderkey") % 50).cast("string"),
+        F.lit(" bps, on C$"), F.round("o_totalprice", 1).cast("decimal(18,1)").cast("string"), F.lit(" mm and USD  "), F.col("o_custkey").cast("string"), F.lit(" billion loans"),
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", text.softened(s).alias("soft"))
 
 
 @CATALOG.query(
     "natural_sort",
-    f"""WITH {CHUNKS_SQL} SELECT doc_id, file_id, 'page_' || page || '.1' AS chunk_id, row_number() OVER (ORDER BY file_id, page, doc_id) AS place FROM chunks WHERE source_type = 'es'""",
+    f"""WITH {CHUNKS_SQL} SELECT doc_id, file_id, 'page_' || page || '.1' AS chunk_id, row_number() OVER (ORDER BY file_id, page, doc_id) AS place FROM chunks""",
 )
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).where("source_type = 'es'").select("doc_id", "file_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".1")).alias("chunk_id"))
+    rows = chunks(spark, sf_dir, n=F.lit(0)).select("doc_id", "file_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".1")).alias("chunk_id"))
     keyed = rows.withColumn("k", text.natural_key(F.col("chunk_id")))
     return ordering.numbered_globally(keyed, ["file_id", "k", "doc_id"], "place").drop("k")
 
 
 @CATALOG.query("prefix_lookup", f"""WITH {CHUNKS_SQL} SELECT doc_id, 'page_' || page || '.1' AS chunk_id FROM chunks WHERE starts_with('page_' || page || '.1', 'page_7.')""")
 def prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).select("doc_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".1")).alias("chunk_id"))
+    rows = chunks(spark, sf_dir, n=F.lit(0)).select("doc_id", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit(".1")).alias("chunk_id"))
     return rows.where(F.col("chunk_id").startswith("page_7."))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.session import table
@@ -14,11 +14,17 @@ CHUNKS_SQL = """chunks AS (
   FROM documents)"""
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, **counted: Column) -> DataFrame:
+    """Chunks with their texts, or, with ``counted``, without them but with those expressions over the text.
+
+    What is counted in a text is counted before pages are numbered, so that texts stay out of the numbering's exchange.
+    """
+    docs = table(spark, sf_dir, "documents")
     page = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).cast("long")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("bank"), F.col("lang").alias("source_type"), F.concat_ws("_", "source", "lang").alias("file_id"), "text", "n_chars", page.alias("page")
-    )
+    names = ["doc_id", F.col("source").alias("bank"), F.col("lang").alias("source_type"), F.concat_ws("_", "source", "lang").alias("file_id"), "n_chars"]
+    if counted:
+        return docs.select("doc_id", "source", "lang", "n_chars", *[c.alias(n) for n, c in counted.items()]).select(*names, *counted, page.alias("page"))
+    return docs.select(*names, "text", page.alias("page"))
 
 
 #: Facts: revenue of orders by nation (bank), order priority (segment), year and quarter.

@@ -31,8 +31,8 @@ def test_natural_order(spark):
 def test_terms(spark):
     q = F.lit("How did the net interest margin and CET1 ratio of loans change versus peers?")
     m = text.metric_terms(q)
-    assert values(spark, m)[0] == ["net interest margin", "cet1 ratio", "loans", "margin"]
-    assert values(spark, text.key_terms(q, m))[0] == ["change", "versus", "peers"]
+    assert values(spark, m)[0] == ["cet1", "net interest margin"]
+    assert values(spark, text.key_terms(q, m))[0] == ["ratio", "loans", "change", "versus", "peers"]
     assert values(spark, text.merged_terms(F.array(F.lit(" A  b"), F.lit("c")), F.array(F.lit("a B"), F.lit(""))))[0] == ["A b", "c"]
 
 
@@ -49,9 +49,9 @@ def fused(spark, rows, **options):
 
 
 def test_fusion_rules(spark):
-    assert fused(spark, [("content", 0, 1.0, True, "a", 0.4)]) == {"a": 0.0}
-    assert fused(spark, [("content", 0, 1.0, True, k, 0.0) for k in "ab"]) == {"a": 0.22, "b": 0.22}
-    rows = [("keyword", 0, 1.0, True, "a", 0.2), ("keyword", 0, 1.0, True, "a", 0.5), ("keyword", 0, 1.0, True, "b", 0.8)]
+    assert fused(spark, [("content_vector", 0, 1.0, True, "a", 0.4)]) == {"a": 0.0}
+    assert fused(spark, [("content_vector", 0, 1.0, True, k, 0.0) for k in "ab"]) == {"a": 0.22, "b": 0.22}
+    rows = [("keyword_vector", 0, 1.0, True, "a", 0.2), ("keyword_vector", 0, 1.0, True, "a", 0.5), ("keyword_vector", 0, 1.0, True, "b", 0.8)]
     assert fused(spark, rows) == {"a": 0.15, "b": 0.0}
     assert fused(spark, rows, dedupe_hits=True)["a"] == 0.075
     assert abs(sum(retrieval.WEIGHTS.values()) - 1) < 1e-12
