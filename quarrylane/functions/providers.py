@@ -59,6 +59,48 @@ def call(provider: Provider, texts: Sequence[str], tries: int = 3, wait: float =
     return call(provider, texts[:half], tries, wait) + call(provider, texts[half:], tries, wait)
 
 
+def call_keyed(provider: Callable[[dict[Any, str]], dict[Any, Any]], texts: dict[Any, str], tries: int = 3, wait: float = 0.5) -> dict[Any, Any]:
+    """Results by id. A batch whose ids don't come back exactly is halved; a call that raises is tried again after growing waits."""
+    for attempt in range(1, tries + 1):
+        try:
+            got = provider(texts)
+            break
+        except Exception:
+            if attempt == tries:
+                raise
+            time.sleep(wait * attempt)
+    if got.keys() == texts.keys():
+        return got
+    if len(texts) == 1:
+        raise ValueError(f"ids mismatch: asked for {sorted(texts)}, got {sorted(got)}")
+    items = list(texts.items())
+    half = len(items) // 2
+    return call_keyed(provider, dict(items[:half]), tries, wait) | call_keyed(provider, dict(items[half:]), tries, wait)
+
+
+def apply_keyed(df: DataFrame, key: str, text: str, provider: Callable[[dict[Any, str]], dict[Any, Any]], result: str, batch: int = 100, name: str = "result") -> DataFrame:
+    """``key``, ``name`` of every row with a text, by a provider that takes and returns ids; keys must be unique within a batch of rows."""
+    def aligned(pairs: Sequence[Any]) -> list[Any]:
+        asked = dict(pairs)
+        got = call_keyed(provider, asked)
+        return [got[k] for k, _ in pairs]
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {name} {result}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            pairs = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+            for at in range(0, len(pairs), batch):
+                part = pairs[at : at + batch]
+                yield pa.RecordBatch.from_pydict({key: rows.column(0).slice(at, len(part)), name: pa.array(aligned(part), kind)})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(result))
+    return df.where(F.trim(F.coalesce(F.col(text).cast("string"), F.lit(""))) != "").select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+
+
 def apply(df: DataFrame, key: str, text: str, provider: Provider, result: str, batch: int = 100, name: str = "result") -> DataFrame:
     """``key``, ``name`` (of SQL type ``result``) for every row; blank texts are skipped and get null."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {name} {result}"

@@ -66,6 +66,27 @@ def section_rollup(units: DataFrame, file: str, item: str, order: str, unit: str
     return rolled.withColumn("section_id", F.row_number().over(Window.partitionBy(file).orderBy(item))).drop(item)
 
 
+def item_records(chunks: DataFrame, pages: DataFrame, sheets: DataFrame, by: str) -> DataFrame:
+    """Each chunk's item with what was extracted for it, by number: pages for page items, sheets for all others.
+
+    ``pages``: ``by``, ``page_number``, ``markdown_chars``; ``sheets``: ``by``,
+    ``sheet_number``, ``row_count``, ``used_range``. Without an extraction,
+    counts are 0 and the range blank; of the other kind of item they are null.
+    """
+    is_page = F.col("item_type") == "page"
+    p = pages.select(F.col(by).alias("__pb"), "page_number", "markdown_chars")
+    s = sheets.select(F.col(by).alias("__sb"), "sheet_number", "row_count", "used_range")
+    joined = chunks.join(p, is_page & (F.col(by) == F.col("__pb")) & (F.col("item_number") == F.col("page_number")), "left")
+    joined = joined.join(s, ~is_page & (F.col(by) == F.col("__sb")) & (F.col("item_number") == F.col("sheet_number")), "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        *[F.col(c) for c in chunks.columns],
+        F.when(is_page, F.coalesce(F.col("markdown_chars").cast("long"), zero)).alias("markdown_chars"),
+        F.when(~is_page, F.coalesce(F.col("row_count").cast("long"), zero)).alias("row_count"),
+        F.when(~is_page, F.coalesce("used_range", F.lit(""))).alias("used_range"),
+    )
+
+
 def unpivot(units: DataFrame, unit: str, content: str, facets: dict[str, str]) -> DataFrame:
     """Long-form rows of each unit: its content and each term of its facets, with ids that name them.
 

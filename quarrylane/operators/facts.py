@@ -28,6 +28,40 @@ def tolerance(value: Column) -> Column:
     return F.greatest(F.lit(TOLERANCE), SHARE * F.abs(value))
 
 
+# The label of a bank and period, after an optional source.
+SOURCE_PREFIX = r"^[A-Za-z][A-Za-z 0-9&-]*:\s+"
+COMBO = r"^(.+?)\s+(Q[1-4])\s+(\d{4})$"
+
+
+def from_findings(findings: DataFrame) -> DataFrame:
+    """Facts of the findings that have a metric with a name and a number, evidence, and a label such as ``Slides: RY Q1 2024``.
+
+    ``findings``: ``finding_id``, ``combo_label``, ``metric_name``,
+    ``metric_value``, ``unit``, ``period``, ``segment``, ``evidence_ids``. A
+    blank period is the label's; blank evidence ids don't count.
+    """
+    blank = F.lit("")
+    trimmed = lambda c: F.trim(F.coalesce(F.col(c), blank))
+    label = F.regexp_replace(trimmed("combo_label"), SOURCE_PREFIX, "")
+    part = lambda i: F.regexp_extract(label, COMBO, i)
+    number = F.regexp_replace(F.regexp_extract(F.replace(trimmed("metric_value"), F.lit("$")), r"-?\d[\d,]*(?:\.\d+)?", 0), ",", "").try_cast("double")
+    negative = trimmed("metric_value").startswith("(") & trimmed("metric_value").endswith(")")
+    evidence = F.filter(F.coalesce("evidence_ids", F.array().cast("array<string>")), lambda e: F.coalesce(e, blank) != "")
+    rows = findings.select(
+        "finding_id",
+        part(1).alias("bank"),
+        F.coalesce(F.nullif(trimmed("period"), blank), F.concat_ws(" ", part(2), part(3))).alias("period"),
+        part(3).try_cast("int").alias("year"),
+        part(2).alias("quarter"),
+        trimmed("metric_name").alias("metric"),
+        F.when(negative, -number).otherwise(number).alias("value"),
+        trimmed("unit").alias("unit"),
+        trimmed("segment").alias("segment"),
+        evidence.alias("evidence_ids"),
+    )
+    return rows.where("bank <> '' and metric <> '' and value is not null and size(evidence_ids) > 0")
+
+
 def dedupe(facts: DataFrame) -> DataFrame:
     """The first fact of each (metric, unit, period, bank, segment), case of unit, bank and segment apart."""
     key = ["metric_key", F.lower("unit"), "year", "quarter", F.lower("bank"), F.lower("segment")]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrylane.functions import text
 from quarrylane.functions.providers import Provider, call, hashing_embedder
 from quarrylane.operators import retrieval
+from quarrylane.session import scratch
 
 
 @dataclass(frozen=True)
@@ -79,6 +83,30 @@ def hybrid_search(
     return retrieval.top(retrieval.fuse(hits), k)
 
 
+def dispatch(sources: dict[str, Callable[[], DataFrame]], parallel: int = 4) -> tuple[DataFrame | None, list[tuple[str, str, str]]]:
+    """(rows of all sources that worked, with their ``source``; (source, status, reason) of each).
+
+    Each source is run and written by itself, a few at a time, so that one that
+    fails, even while it runs, takes none of the others with it. Status is
+    success, no_available_data or error; a reason is one line.
+    """
+
+    def one(name: str) -> tuple[str, DataFrame | None, str, str]:
+        try:
+            rows = sources[name]()
+            path = f"{scratch(rows.sparkSession)}/{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            return name, out, "success" if out.limit(1).count() else "no_available_data", ""
+        except Exception as e:  # whatever a source raises is its own
+            return name, None, "error", " ".join(str(e).split())[:220]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(one, sources))
+    found = [rows.withColumn("source", F.lit(name)) for name, rows, *_ in done if rows is not None]
+    return reduce(DataFrame.unionByName, found) if found else None, [(name, status, reason) for name, _, status, reason in done]
+
+
 def research(first: DataFrame, judge: Callable[[list], tuple[float, list[str]]], search: Callable[[str], DataFrame], rounds: int = 2, confident: float = 0.8) -> list:
     """Rows gathered by at most ``rounds`` follow-ups. ``first`` holds at most the retrieval's top k.
 

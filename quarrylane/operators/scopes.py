@@ -43,6 +43,11 @@ def metric_matches(a: Column, b: Column) -> Column:
     return F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
 
 
+def catalog_filter(catalog: DataFrame, ids: list[str] | None, key: str = "database_id") -> DataFrame:
+    """The entries asked for; all of them where none are. Ids that the catalog doesn't have are left out."""
+    return catalog.where(F.col(key).isin(*ids)) if ids else catalog
+
+
 def all_completed(items: DataFrame, by: str, done: str) -> DataFrame:
     """Groups all of whose items are done, and how many are."""
     return items.groupBy(by).agg(F.count_if(done).alias("completed"), F.count("*").alias("items"), F.bool_and(F.coalesce(done, F.lit(False))).alias("all_done"))

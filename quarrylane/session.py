@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: under ``spark.checkpoint.dir``, or one of our own where that is unset, as in local tests."""
+    """A folder that all executors share, under ``spark.checkpoint.dir``. Only a local session, as in tests, may do without one and gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quarrylane-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quarrylane"

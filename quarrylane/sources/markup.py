@@ -152,6 +152,41 @@ def column_letters(n: Column) -> Column:
     return F.concat(F.when((rest > 0) & (top > 0), letter(top)).otherwise(""), F.when(rest > 0, letter(mid)).otherwise(""), letter(last))
 
 
+def used_range(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Range of the cells that show something, such as ``A1:C5``, and its numbers of rows and columns, per sheet."""
+    shown = cells.where(F.coalesce("text", F.lit("")) != "")
+    ends = shown.groupBy(*by).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    at = lambda c, r: F.concat(column_letters(F.col(c)), F.col(r).cast("string"))
+    return ends.select(*by, F.concat(at("c0", "r0"), F.lit(":"), at("c1", "r1")).alias("used_range"), (F.col("r1") - F.col("r0") + 1).alias("n_rows"), (F.col("c1") - F.col("c0") + 1).alias("n_cols"))
+
+
+def workbook_layout(content: bytes) -> Iterator[dict]:
+    """What a workbook's sheets say of their layout: state, merged ranges, hidden rows and columns (first to last)."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        read = lambda name: ElementTree.fromstring(z.read(name))
+        targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
+        for sheet in read("xl/workbook.xml").iter(f"{_MAIN}sheet"):
+            target = targets[sheet.get(_REL)].lstrip("/")
+            root = read(target if target.startswith("xl/") else f"xl/{target}")
+            yield {
+                "sheet": sheet.get("name"),
+                "state": sheet.get("state", "visible"),
+                "merged": [m.get("ref") for m in root.iter(f"{_MAIN}mergeCell")],
+                "hidden_rows": [int(r.get("r")) for r in root.iter(f"{_MAIN}row") if r.get("hidden") in ("1", "true")],
+                "hidden_cols": [f"{c.get('min')}-{c.get('max')}" for c in root.iter(f"{_MAIN}col") if c.get("hidden") in ("1", "true")],
+            }
+
+
+LAYOUT = pa.schema(
+    [("path", pa.string()), ("sheet", pa.string()), ("state", pa.string()), ("merged", pa.list_(pa.string())), ("hidden_rows", pa.list_(pa.int32())), ("hidden_cols", pa.list_(pa.string()))]
+)
+
+
+def layouts(files: DataFrame) -> DataFrame:
+    """One row per sheet of binary XLSX files, hidden sheets included."""
+    return _parsed(files, lambda path, content: ({"path": path, **s} for s in workbook_layout(content)), LAYOUT)
+
+
 def sheet_markdown(cells: DataFrame, by: list[str]) -> DataFrame:
     """One markdown table per sheet: used columns as letters, row numbers first, pipes escaped.
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Status that a stage sets, and whether it does so whatever the status is.
@@ -104,6 +104,61 @@ class MarkerParser:
         return [("text", rest)] if rest else []
 
 
+# The block that an answer may begin with.
+SHELL_OPEN, SHELL_CLOSE = "<aegis_final_shell>", "</aegis_final_shell>"
+
+
+@dataclass
+class LeadingBlockParser:
+    """Takes an optional block off the start of streamed text; what may still become it is held back."""
+
+    buffer: str = ""
+    done: bool = False
+
+    def feed(self, text: str) -> list[tuple[str, str]]:
+        """(kind, text) pairs that are settled after this piece: a ``shell`` (blank without a block) comes first, then ``text``."""
+        if self.done:
+            return [("text", text)] if text else []
+        self.buffer += text
+        start = self.buffer.lstrip()
+        if not start or SHELL_OPEN.startswith(start):
+            return []
+        if not start.startswith(SHELL_OPEN):
+            return self.finish()
+        head, closed, body = start[len(SHELL_OPEN) :].partition(SHELL_CLOSE)
+        if not closed:
+            return []
+        self.done, self.buffer = True, ""
+        return [("shell", head.strip()), *([("text", body)] if body else [])]
+
+    def finish(self) -> list[tuple[str, str]]:
+        """What is held back, as text after a blank shell."""
+        if self.done or not self.buffer:
+            return []
+        rest, self.buffer, self.done = self.buffer, "", True
+        return [("shell", ""), ("text", rest)]
+
+
+def leading_block(text: Column) -> Column:
+    """(shell, body) of a whole text by the same rule; the shell is null where there is no whole block."""
+    start = F.regexp_replace(text, r"^\s+", "")
+    close = F.locate(SHELL_CLOSE, start)
+    whole = start.startswith(SHELL_OPEN) & (close > 0)
+    n = len(SHELL_OPEN)
+    shell = F.trim(F.substr(start, F.lit(n + 1), close - n - 1))
+    return F.struct(F.when(whole, shell).alias("shell"), F.when(whole, F.substr(start, close + len(SHELL_CLOSE))).otherwise(text).alias("body"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Add events to the log in ``path``; what is there never changes."""
+    events.write.mode("append").parquet(path)
+
+
+def watch(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log as a stream: each trigger brings the events added since the last, which is how a reader learns of a change."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def marker_stream(pieces: DataFrame, key: str, order: str, text: str, final: str, first: int = 0, timeout_s: int | None = None) -> DataFrame:
     """Settled parts of each message of a stream: ``key``, ``kind``, ``part``, whatever order its pieces come in.
 

@@ -95,3 +95,45 @@ def test_stores(spark, tmp_path):
     os.utime(path, (time.time() - 90_000,) * 2)
     with stores.RunLock(path):
         pass
+
+
+def test_keyed_provider_halves_on_an_id_mismatch():
+    calls = []
+
+    def forgetful(texts):
+        calls.append(len(texts))
+        return {k: t.upper() for k, t in texts.items() if len(texts) < 3 or k != max(texts)}
+
+    assert providers.call_keyed(forgetful, {i: c for i, c in enumerate("abcde")}) == {i: c for i, c in enumerate("ABCDE")}
+    assert calls[0] == 5 and max(calls[1:]) < 5
+    with pytest.raises(ValueError):
+        providers.call_keyed(lambda t: {"other": 1}, {1: "x"})
+
+
+def test_a_failing_source_takes_no_other_with_it(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "key long")
+    broken = rows.select(F.raise_error(F.lit("gone  wrong")).cast("long").alias("key"))
+    found, status = research.dispatch({"good": lambda: rows, "bad": lambda: broken, "worse": lambda: 1 / 0})
+    assert [(s, t) for s, t, _ in status] == [("good", "success"), ("bad", "error"), ("worse", "error")]
+    assert "gone wrong" in status[1][2] and "\n" not in status[1][2]
+    assert sorted((r.key, r.source) for r in found.collect()) == [(1, "good"), (2, "good")]
+    none, status = research.dispatch({"worse": lambda: 1 / 0})
+    assert none is None and status[0][1] == "error"
+
+
+def test_nine_strategies_look_at_their_own_targets(spark):
+    chunks = spark.createDataFrame(
+        [(1, "Margin", "net interest margin", ["margin"], ["net interest margin"], "it rose"), (2, "Weather", "", ["rain"], [], "net interest margin of rain"), (3, "Loans", "", [], ["loans"], "nothing")],
+        "key long, name string, summary string, keywords array<string>, metrics array<string>, chunk_content string",
+    )
+    texts = [(1, "content", "net interest margin rose", None), (2, "content", "rain", None), (3, "keyword", "margin", None), (3, "metric", "net interest margin", None), (9, "section_summary", "net interest margin", [1, 3, 7])]
+    rows = spark.createDataFrame([(i, k, kind, t, units) for i, (k, kind, t, units) in enumerate(texts)], "i int, key long, embedding_type string, t string, content_unit_ids array<long>")
+    vectors = rows.join(providers.apply(rows, "i", "t", providers.hashing_embedder(), "array<double>", name="embedding"), "i").drop("i", "t")
+    p = research.Prepared("net interest margin", ("rain today",), ("margin",), ("net interest margin",), "the net interest margin rose")
+    names = [s.strategy for s in research.searches(p)]
+    assert sorted(set(names)) == ["content_vector", "hyde_vector", "keyword_vector", "metric_vector", "section_summary", "subquery_vector"]
+    got = {r.key: r.sources.split(",") for r in research.hybrid_search(chunks, vectors, p).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[3] == ["keyword_vector", "metric_vector", "section_summary"]
+    assert {"bm25", "keyword_array", "metric_array", "section_summary", "content_vector"} <= set(got[1])
+    assert "section_summary" not in got[2] and "bm25" in got[2]

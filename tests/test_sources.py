@@ -100,3 +100,46 @@ def test_page_units(spark):
     html = "<head><title>T &amp; x</title></head><nav>menu</nav><p>One <b>two</b><p>a &lt; b<!-- no --><script>p</script><div> </div><li>last</li>"
     r = spark.createDataFrame([(html,)], "h string").select(markup.page_title(F.col("h")), markup.page_units(F.col("h"))).first()
     assert r[1] == ["One two", "a < b", "last"]
+
+
+def test_master_files_come_both_or_neither(spark, tmp_path):
+    root = str(tmp_path)
+    assert files.master_files(spark, root) is False
+    (tmp_path / files.MASTER_DATA).write_text("id,text\n1,a\n")
+    with pytest.raises(ValueError):
+        files.master_files(spark, root)
+    (tmp_path / files.MASTER_MANIFEST).write_text("[]")
+    assert files.master_files(spark, root) is True
+
+
+def test_a_blank_master_is_empty(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType())])
+    path = tmp_path / "master.csv"
+    assert files.previous_master(spark, str(path), schema).collect() == []
+    path.write_text(" \n \n")
+    assert files.previous_master(spark, str(path), schema).collect() == []
+    path.write_text("id,text\n1,a\n")
+    assert [tuple(r) for r in files.previous_master(spark, str(path), schema).collect()] == [(1, "a")]
+
+
+def test_every_file_has_the_header(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType())])
+    (tmp_path / "a.csv").write_text("id,text\n1,a\n")
+    (tmp_path / "b.csv").write_text("id,text\r\n2,b\r\n")
+    assert files.strict_csv(spark, str(tmp_path), schema)[0].count() == 2
+    (tmp_path / "c.csv").write_text("id,other\n3,c\n")
+    with pytest.raises(ValueError):
+        files.strict_csv(spark, str(tmp_path), schema)
+
+
+def test_layout_of_a_workbook(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="S" sheetId="1" r:id="r1"/><sheet name="H" sheetId="2" state="hidden" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {main}><cols><col min="2" max="3" hidden="1"/></cols><sheetData><row r="1"/><row r="4" hidden="1"/></sheetData><mergeCells><mergeCell ref="A1:B2"/></mergeCells></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f"<worksheet {main}><sheetData/></worksheet>")
+    content = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r.sheet: (r.state, r.merged, r.hidden_rows, r.hidden_cols) for r in markup.layouts(content).collect()}
+    assert got == {"S": ("visible", ["A1:B2"], [4], ["2-3"]), "H": ("hidden", [], [], [])}

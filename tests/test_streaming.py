@@ -130,3 +130,23 @@ def test_marker_stream_gives_up_what_does_not_come():
     state = State(state.value, timed_out=True)
     rest = pd.concat(progress.marker_step((1,), iter([]), state, ("m", "i", "t", "last"), 0, 5000))
     assert "".join(rest.part) == "[[CHART_SLOT:a y" and not state.exists
+
+
+def test_leading_block_does_not_depend_on_the_cuts(spark):
+    o, c = progress.SHELL_OPEN, progress.SHELL_CLOSE
+    texts = [f'  {o} {{"a": 1}} {c}body {o} more', f"{o}never closed", "plain text", f"{o[:5]}not it", "  ", f"{o}x{c}"]
+    rng = random.Random(6)
+
+    def parse(pieces):
+        p = progress.LeadingBlockParser()
+        out = [x for piece in pieces for x in p.feed(piece)] + p.finish()
+        return [t for k, t in out if k == "shell"], "".join(t for k, t in out if k == "text")
+
+    want = [parse([t]) for t in texts]
+    assert want[0] == (['{"a": 1}'], f"body {o} more") and want[1] == ([""], texts[1]) and want[5] == (["x"], "")
+    for text, w in zip(texts, want):
+        for _ in range(50):
+            cuts = sorted(rng.sample(range(len(text)), rng.randint(0, min(6, len(text) - 1))))
+            assert parse([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]) == w
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", progress.leading_block(F.col("t")).alias("b")).orderBy("i").select("b.*").collect()
+    assert [(r.shell or "", r.body) for r in got] == [((s or [""])[0], b) for s, b in want]
