@@ -69,10 +69,11 @@ def previous_master(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of CSV files, each with exactly the schema's header; rows that don't parse are errors with their text.
 
-    Every file's first line is compared, where the files are.
+    Every file's first line is compared, in one pass over the lines of the files' first blocks.
     """
-    first = spark.read.format("binaryFile").load(path).select("path", F.split_part(F.decode("content", "UTF-8"), F.lit("\n"), F.lit(1)).alias("line"))
-    cells = F.transform(F.split(F.rtrim(F.regexp_replace("line", "\r$", "")), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    cells = F.transform(F.split(F.rtrim("line"), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
     if wrong := first.where(cells != F.array(*map(F.lit, schema.names))).select("path", cells.alias("found")).limit(1).collect():
         raise ValueError(f"header of {wrong[0].path} is {wrong[0].found}; expected {schema.names}")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
@@ -84,47 +85,6 @@ def strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     return rows.where(~bad & field).drop("_corrupt"), rows.where(bad & field).select(F.col("_corrupt").alias("record"))
 
 
-MANIFEST = "master-data.csv", "master-manifest.json"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def master_files(spark: SparkSession, root: str) -> bool:
-    """Whether both master files are there; one without the other is an error."""
-    there = {name: _exists(spark, f"{root}/{name}") for name in (MASTER_DATA, MASTER_MANIFEST)}
-    if any(there.values()) != all(there.values()):
-        found, missing = sorted(there, key=there.get, reverse=True)
-        raise ValueError(f"incomplete master: found only {found}, {missing} is missing")
-    return all(there.values())
-
-
-def previous_master(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of the last master table; none where the file is missing or blank."""
-    if not _exists(spark, path) or not spark.read.text(path).where("trim(value) <> ''").limit(1).count():
-        return spark.createDataFrame([], schema)
-    return strict_csv(spark, path, schema)[0]
-
-
-def strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of CSV files, each with exactly the schema's header; rows that don't parse are errors with their text.
-
-    Every file's first line is compared, where the files are.
-    """
-    first = spark.read.format("binaryFile").load(path).select("path", F.split_part(F.decode("content", "UTF-8"), F.lit("\n"), F.lit(1)).alias("line"))
-    cells = F.transform(F.split(F.rtrim(F.regexp_replace("line", "\r$", "")), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    if wrong := first.where(cells != F.array(*map(F.lit, schema.names))).select("path", cells.alias("found")).limit(1).collect():
-        raise ValueError(f"header of {wrong[0].path} is {wrong[0].found}; expected {schema.names}")
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    options = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": "true"}
-    rows = spark.read.options(**options).schema(wide).csv(path)
-    # Spark refuses to read the corrupt column alone, so the errors look at a field too.
-    field = F.coalesce(F.col(f"`{schema.names[0]}`").cast("string"), F.lit("")) >= ""
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & field).select(F.col("_corrupt").alias("record"))
-
-
 MANIFEST = "file_id string, source string, file_hash string, filename string, modified_at string"
 
 
