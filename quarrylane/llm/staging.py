@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quarrylane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from quarrylane.session import scratch
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +17,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     chose (row ids, orders) stays as written however often it is read.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/quarrylane/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ql_path = path
