@@ -88,22 +88,26 @@ def perspectives(
     perspective and no mask. Marks of the format inside a text or a name are broken up
     by a space, and a name is cut at its line ends, so no text can open a turn.
     A null conversation id is a conversation of its own. Repeated turns stay.
+    An empty table gives an empty result; other columns, whatever their names,
+    are not looked at.
     """
     ordered = ordered_turns(turns, conv_col, turn_col, role_col, text_col)
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     clean = ordered.select("conv", "pos", safe(F.translate("speaker", "\r\n", "  ")).alias("speaker"), safe(F.col("text")).alias("text"))
-    people = clean.groupBy("conv", "speaker").agg(F.lit(1).alias("one"))
-    own = people.groupBy("conv").agg(F.max(F.when(F.col("speaker") != SYSTEM, 1)).alias("any"))
-    cast = people.where(F.col("speaker") != SYSTEM).select("conv", F.col("speaker").alias("perspective")).unionByName(
-        own.where("any is null").select("conv", F.lit(None).cast("string").alias("perspective"))
-    )
-    cast = cast.withColumnRenamed("conv", "c")
-    rotated = clean.join(cast, clean.conv.eqNullSafe(cast.c))
+    # A perspective is repeated for each segment, so that turns meet it by conversation and segment: a long conversation is dealt over its segments.
+    people = clean.groupBy("conv", "speaker").agg(F.max("pos").alias("last"))
+    own = people.groupBy("conv").agg(F.max(F.when(F.col("speaker") != SYSTEM, 1)).alias("any"), F.max("last").alias("last"))
+    ends = own.select(F.col("conv").alias("c"), F.col("last").alias("end"))
+    cast = people.where(F.col("speaker") != SYSTEM).join(ends, F.col("conv").eqNullSafe(F.col("c"))).select("c", F.col("speaker").alias("perspective"), "end")
+    cast = cast.unionByName(own.where("any is null").select(F.col("conv").alias("c"), F.lit(None).cast("string").alias("perspective"), F.col("last").alias("end")))
+    cast = cast.select("c", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / segment_turns).cast("long"))).alias("s"))
+    turn = clean.withColumn("segment", F.floor(F.col("pos") / segment_turns).cast("long"))
+    rotated = turn.join(cast, turn.conv.eqNullSafe(cast.c) & (turn.segment == cast.s))
     mine = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     pieces = rotated.select(
         "conv",
         "perspective",
-        F.floor(F.col("pos") / segment_turns).cast("long").alias("segment"),
+        "segment",
         F.struct(
             "pos",
             _piece(F.col("speaker"), F.col("text"), mine).alias("piece"),
