@@ -105,6 +105,7 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces are a public vocabulary's; their scores, which it doesn't have, follow Zipf's law in their order."""
     model = tokencount.Unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
     return tokencount.token_counts(table(spark, sf_dir, "documents"), model)
 
@@ -162,6 +163,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MASKS = ", ".join(f"('{p.version}', {p.mask}, '{r.name}', {1 << r.bit})" for p in quality.POLICIES for r in quality.RULES if r.name in p.rules)
+
+
+@CATALOG.query(
+    "quality_ablations",
+    f"""SELECT policy, rule, count(*) FILTER (failed & mask & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only, count(*) FILTER (failed & mask <> 0) AS n_rejected
+    FROM ({OP4_SQL}) AS ledger, (VALUES {_MASKS}) AS m(policy, mask, rule, bit) GROUP BY policy, rule""",
+)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule adds to each policy."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def queries():
     import corpus_pipeline
 
