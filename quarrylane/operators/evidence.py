@@ -22,6 +22,17 @@ def evidence_ids(findings: DataFrame, order: str, key: list[str] | None = None)
     return ordering.ids_by_first(filled, key, order)
 
 
+def cumulative(rounds: list[DataFrame], key: list[str], order: str) -> DataFrame:
+    """Findings of successive rounds as one list: the first of each key stays, and ids E1.. follow the order of rounds and of their rows."""
+    tagged = [r.withColumn("__round", F.lit(i)) for i, r in enumerate(rounds)]
+    all_ = tagged[0]
+    for r in tagged[1:]:
+        all_ = all_.unionByName(r)
+    kept = ordering.first_wins(all_, [F.col(k) for k in key], ["__round", order])
+    numbered = ordering.numbered_globally(kept, ["__round", order], "__id")
+    return numbered.withColumn("id", F.concat(F.lit("E"), F.col("__id").cast("string"))).drop("__round", "__id")
+
+
 def references(findings: DataFrame, refs: DataFrame, on: str) -> DataFrame:
     """Each finding with one reference of its ``on``: of equal page first, then one whose location holds the finding's
     or is held by it, else the first; null where there is none.

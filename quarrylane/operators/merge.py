@@ -79,6 +79,21 @@ def groupwise_max(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.withColumn("__m", F.max(value).over(Window.partitionBy(*by))).where(F.col(value) == F.col("__m")).drop("__m")
 
 
+def inserted(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """Copy-on-write INSERT: columns that the new rows lack are null."""
+    return target.unionByName(rows, allowMissingColumns=True).select(*target.columns)
+
+
+def finite_vector(c: Column, size: int) -> Column:
+    """Whether a vector has so many components, none null or infinite or not a number."""
+    return (F.size(c) == size) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+
+
+def timestamp_text(c: Column) -> Column:
+    """Whether a text is a timestamp."""
+    return c.try_cast("timestamp").isNotNull()
+
+
 def validation_errors(checks: dict[str, Column]) -> Column:
     """Sorted names of the checks that fail; a null outcome fails."""
     return F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])))

@@ -163,11 +163,12 @@ _VERSION = "CASE l_linenumber % 7 WHEN 0 THEN 'raw' WHEN 1 THEN 'script' WHEN 2
 @CATALOG.query(
     "version_argmax",
     f"""SELECT l_orderkey, l_linenumber, version FROM (SELECT l_orderkey, l_linenumber, {_VERSION} AS version, row_number() OVER (PARTITION BY l_orderkey ORDER BY
-      CASE {_VERSION} WHEN 'corrected' THEN 50 WHEN 'e1' THEN 45 WHEN 'final' THEN 40 WHEN 'script' THEN 30 WHEN 'raw' THEN 20 ELSE 0 END DESC, l_linenumber DESC) AS n FROM lineitem) WHERE n = 1""",
+      CASE {_VERSION} WHEN 'corrected' THEN 50 WHEN 'e1' THEN 45 WHEN 'final' THEN 40 WHEN 'script' THEN 30 WHEN 'raw' THEN 20 ELSE 0 END DESC, l_quantity DESC, l_shipdate DESC, l_linenumber DESC) AS n FROM lineitem) WHERE n = 1""",
 )
 def version_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_VERSION).alias("version"))
-    return ordering.best_version(rows, ["l_orderkey"], "version", merge.VERSION_PRIORITY, "l_linenumber").select("l_orderkey", "l_linenumber", "version")
+    """By the label's priority, then version (quantity), time (ship date) and name (line number)."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", F.expr(_VERSION).alias("version"))
+    return ordering.best_version(rows, ["l_orderkey"], "version", merge.VERSION_PRIORITY, "l_quantity", "l_shipdate", "l_linenumber").select("l_orderkey", "l_linenumber", "version")
 
 
 @CATALOG.query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")

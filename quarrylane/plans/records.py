@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
-from quarrylane.functions import providers
-from quarrylane.operators import chunking, facts, render, research, scopes
+from quarrylane.functions import providers, text
+from quarrylane.operators import chunking, evidence, facts, merge, ordering, render, research, scopes
 from quarrylane.session import scratch, table
 from quarrylane.sources import markup
 from quarrylane.streaming import progress
@@ -35,7 +35,7 @@ g AS (SELECT *, regexp_replace(trim(combo_label), '^[A-Za-z][A-Za-z 0-9&-]*:\s+'
 )
 def finding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c, y = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")
-    text = lambda x: F.lit(x)
+    text = F.lit
     period_label = F.concat(text("BANK "), (F.col("o_custkey") % 9).cast("string"), text(" Q"), (k % 4 + 1).cast("string"), text(" "), y)
     odd = F.when(F.col("o_custkey") % 2 == 0, "n/a").otherwise(F.concat(c, text("%")))
     findings = table(spark, sf_dir, "orders").select(
@@ -206,3 +206,38 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/table"))
     query.start().awaitTermination()
     return spark.read.parquet(f"{path}/table")
+
+
+@CATALOG.query(
+    "cumulative_findings",
+    """WITH r AS (SELECT 0 AS round, o_orderkey AS pos, o_custkey AS finding FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 1),
+    f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY finding ORDER BY round, pos) = 1)
+    SELECT pos, finding, 'E' || row_number() OVER (ORDER BY round, pos) AS id FROM f""",
+)
+def cumulative_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("finding"))
+    return evidence.cumulative([orders.where("pos % 2 = 0"), orders.where("pos % 2 = 1")], ["finding"], "pos")
+
+
+@CATALOG.query("vector_validate", "SELECT vec_id, len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AS is_valid FROM embeddings")
+def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", merge.finite_vector(F.col("embedding"), 64).alias("is_valid"))
+
+
+@CATALOG.query(
+    "period_sort",
+    """WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'undated' ELSE 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) END AS label, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE year(o_orderdate) * 4 + quarter(o_orderdate) END AS k FROM orders WHERE year(o_orderdate) >= 2000
+      UNION ALL SELECT o_orderkey, 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate), -1 FROM orders WHERE year(o_orderdate) < 2000)
+    SELECT o_orderkey, label, row_number() OVER (ORDER BY k, o_orderkey) AS place FROM l""",
+)
+def period_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of periods in order; those that can't be read, as of another century, come first."""
+    d = F.col("o_orderdate")
+    label = F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when((F.col("o_orderkey") % 10 == 0) & (F.year(d) >= 2000), "undated").otherwise(label).alias("label"))
+    return ordering.numbered_globally(rows.withColumn("k", text.period_key(F.col("label"))), ["k", "o_orderkey"], "place").drop("k")
+
+
+@CATALOG.query("insert_rows", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 100 + n_nationkey, NULL FROM nation")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.inserted(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").select((100 + F.col("n_nationkey")).cast("int").alias("r_regionkey")))

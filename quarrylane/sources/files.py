@@ -157,14 +157,61 @@ def manifest_counts(files: DataFrame, rows: DataFrame) -> DataFrame:
     return files.join(rows.groupBy("file_id").agg(F.count("*").alias("row_count")), "file_id", "left").na.fill(0, ["row_count"])
 
 
-def create_tables(spark: SparkSession, schemas: dict[str, T.StructType]) -> list[str]:
-    """Create the tables that don't exist; returns their names."""
+def refresh_snapshots(snapshots: dict[str, DataFrame], allow_empty: bool = False) -> dict[str, int]:
+    """Replace several tables together: all are staged and counted before any is swapped, and a swap that fails puts back those done.
+
+    Each table is away for the moment between its two renames.
+    """
+    spark = next(iter(snapshots.values())).sparkSession
+    mark = uuid.uuid4().hex[:8]
+    staging, old = ({t: f"{t}_{what}_{mark}" for t in snapshots} for what in ("staging", "old"))
+    rename = lambda a, b: spark.sql(f"ALTER TABLE {a} RENAME TO {b}")
+    try:
+        for t, df in snapshots.items():
+            df.write.format("parquet").saveAsTable(staging[t])
+        counts = {t: spark.table(staging[t]).count() for t in snapshots}
+        if not allow_empty and (empty := [t for t, n in counts.items() if not n]):
+            raise ValueError(f"empty snapshots: {empty}")
+        done: list[tuple[str, bool]] = []
+        try:
+            for t in snapshots:
+                there = spark.catalog.tableExists(t)
+                if there:
+                    rename(t, old[t])
+                done.append((t, there))
+                rename(staging[t], t)
+        except Exception:
+            for t, there in reversed(done):
+                spark.sql(f"DROP TABLE IF EXISTS {t}")
+                if there:
+                    rename(old[t], t)
+            raise
+        for t, there in done:
+            if there:
+                spark.sql(f"DROP TABLE {old[t]}")
+        return counts
+    finally:
+        for t in snapshots:
+            spark.sql(f"DROP TABLE IF EXISTS {staging[t]}")
+
+
+def create_tables(spark: SparkSession, schemas: dict[str, T.StructType], storage: str = "parquet") -> list[str]:
+    """Create the tables that don't exist; returns their names. If one can't be made, those made before it go again."""
     made = [name for name in schemas if not spark.catalog.tableExists(name)]
-    for name in made:
-        spark.sql(f"CREATE TABLE `{name}` ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schemas[name])}) USING parquet")
+    for i, name in enumerate(made):
+        try:
+            _create(spark, name, schemas[name], storage)
+        except Exception:
+            for earlier in made[:i]:
+                spark.sql(f"DROP TABLE `{earlier}`")
+            raise
     return made
 
 
+def _create(spark: SparkSession, name: str, schema: T.StructType, storage: str) -> None:
+    spark.sql(f"CREATE TABLE `{name}` ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}) USING {storage}")
+
+
 def latest_by_position(rows: DataFrame, key: str) -> DataFrame:
     """Last row of each key in file order, for logs that append corrections."""
     w = Window.partitionBy(key).orderBy(F.desc("position"))

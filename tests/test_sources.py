@@ -143,3 +143,28 @@ def test_layout_of_a_workbook(spark, tmp_path):
     content = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.sheet: (r.state, r.merged, r.hidden_rows, r.hidden_cols) for r in markup.layouts(content).collect()}
     assert got == {"S": ("visible", ["A1:B2"], [4], ["2-3"]), "H": ("hidden", [], [], [])}
+
+
+def test_snapshots_swap_together_or_not_at_all(spark):
+    a, b = "snap_together_a", "snap_together_b"
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    read = lambda t: sorted(r.id for r in spark.table(t).collect())
+    assert files.refresh_snapshots({a: rows(1, 2), b: rows(3)}) == {a: 2, b: 1}
+    with pytest.raises(ValueError):
+        files.refresh_snapshots({a: rows(9), b: rows(9).where("id < 0")})
+    assert (read(a), read(b)) == ([1, 2], [3])
+    with pytest.raises(Exception):
+        files.refresh_snapshots({a: rows(9), "no_such_database.t": rows(9)})
+    assert read(a) == [1, 2]
+    assert files.refresh_snapshots({a: rows(4), b: rows(5, 6)}) == {a: 1, b: 2}
+    assert (read(a), read(b)) == ([4], [5, 6])
+
+
+def test_tables_are_made_together(spark):
+    schema = T.StructType([T.StructField("id", T.IntegerType())])
+    assert files.create_tables(spark, {"made_one": schema, "made_two": schema}) == ["made_one", "made_two"]
+    with pytest.raises(Exception):
+        files.create_tables(spark, {"made_three": schema, "made_four": schema}, storage="no_such_format")
+    with pytest.raises(Exception):
+        files.create_tables(spark, {"made_three": schema, "made.bad": T.StructType([T.StructField("x", T.VoidType())])}, storage="no_such_format")
+    assert not spark.catalog.tableExists("made_three") and spark.catalog.tableExists("made_one")
