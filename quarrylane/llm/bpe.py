@@ -212,7 +212,8 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
 
     The first hash is of the decimal ids joined by one space, the second of the
     bytes that these ids decode to. A null text counts as empty. Null and
-    repeated ids stay rows of their own.
+    repeated ids stay rows of their own. An empty table gives an empty result;
+    other columns, whatever their names, are not looked at.
     """
 
     def columns(entries):

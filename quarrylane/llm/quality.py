@@ -94,7 +94,10 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     ``n_symbols``, ``n_lines`` (lines with a word), ``n_dup_lines`` (such lines
     equal to an earlier one), ``n_repeat_words`` (words in windows of five that
     occur twice or more). A null text counts as one without words; the id may
-    be null or repeated, and each row is judged alone.
+    be null or repeated, and each row is judged alone, whole and whatever its
+    length. An empty table gives an empty ledger. Columns in ``keep`` come back
+    as ``__ql_keep_0``, ``__ql_keep_1``, ... so that none clashes with the
+    ledger's own.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [F.col(f"`{c}`").alias(f"__ql_{i}") for i, c in enumerate(keep)]

@@ -124,7 +124,10 @@ def token_counts(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_c
     """``doc_id``, ``n_pretokens``, ``n_tokens`` (long) for every row of ``docs``.
 
     Pre-tokens are the words between white space, each with a mark before it.
-    A null or blank text has none. Null and repeated ids stay rows of their own.
+    A null or blank text has none. Null and repeated ids stay rows of their own,
+    equal texts have equal counts, and where segmentations tie in score the
+    first found counts. An empty table gives an empty result; other columns,
+    whatever their names, are not looked at. Texts are counted whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
