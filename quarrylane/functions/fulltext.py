@@ -77,21 +77,27 @@ def query_terms(query: str) -> list[list[str]]:
     return [w for t in re.split(r"\s+OR\s+", query) if (w := re.findall(TOKEN, t.lower()))]
 
 
-def occurrences(words: Column, term: list[str]) -> Column:
-    """Places of an array of words where a term's words stand consecutively."""
-    if len(term) == 1:
-        return F.size(F.filter(words, _equals(term[0])))
-    starts = F.when(F.size(words) >= len(term), F.sequence(F.lit(0), F.size(words) - len(term))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: reduce(lambda x, y: x & y, [F.get(words, i + j) == w for j, w in enumerate(term)])))
+def occurrences(text: Column, terms: list[list[str]]) -> Column:
+    """Places in a text where a single word of the terms stands, or where a phrase's words stand consecutively.
+
+    Counted by expressions over the lower-cased text: one for all single words,
+    one for each phrase, whose places may overlap. No array of words is built.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    begin, end = "(?<![a-z0-9])", "(?![a-z0-9])"
+    single = list(dict.fromkeys(t[0] for t in terms if len(t) == 1))
+    phrases = list(dict.fromkeys(tuple(t) for t in terms if len(t) > 1))
+    patterns = [f"{begin}(?:{'|'.join(single)}){end}"] if single else []
+    patterns += [f"{begin}{t[0]}(?=[^a-z0-9]+{'[^a-z0-9]+'.join(t[1:])}{end})" for t in phrases]
+    return sum((F.regexp_count(low, F.lit(p)) for p in patterns), F.lit(0))
 
 
-def cover_rank(words: dict[str, str], query: str) -> Column:
+def cover_rank(texts: dict[str, str], query: str) -> Column:
     """Cover-density rank of an OR query; 0 where nothing matches.
 
-    ``words`` maps array columns of words to their weight labels. Under OR each
-    place of a word or phrase is a cover of its own without noise, so it adds
-    its weight; all words of a phrase have the weight of their field.
+    ``texts`` maps text columns to their weight labels. Under OR each place of a
+    word or phrase is a cover of its own without noise, so it adds its weight;
+    all words of a phrase have the weight of their field.
     """
     terms = query_terms(query)
-    parts = [F.lit(LABEL_WEIGHTS[label]) * sum((occurrences(F.col(c), t) for t in terms), F.lit(0)) for c, label in words.items()]
-    return sum(parts, F.lit(0.0))
+    return sum((F.lit(LABEL_WEIGHTS[label]) * occurrences(F.col(c), terms) for c, label in texts.items()), F.lit(0.0))

@@ -90,7 +90,7 @@ def held_terms(values: Column, terms: Sequence[str], most: int = 10) -> Column:
 def text_hits(data: DataFrame, query: str, keywords: Sequence[str], metrics: Sequence[str], k: int = 20, contained: int = 50) -> DataFrame:
     """Hits of full text and of containment in keywords and metrics, in one pass over ``key`` and the columns of ``FIELDS``."""
     as_text = {c: F.array_join(c, " ") if c in ("keywords", "metrics") else F.col(c) for c in FIELDS}
-    words = data.select("key", "keywords", "metrics", *[fulltext.tokens(t).alias(f"__{c}") for c, t in as_text.items()])
+    words = data.select("key", "keywords", "metrics", *[t.alias(f"__{c}") for c, t in as_text.items()])
     hit = lambda name, raw: F.struct(F.lit(name).alias("strategy"), raw.cast("double").alias("raw"))
     found = F.array(
         hit("bm25", fulltext.cover_rank({f"__{c}": label for c, label in FIELDS.items()}, query)),

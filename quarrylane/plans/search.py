@@ -85,14 +85,15 @@ DATA_SQL = """data AS (
 
 def data(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, source, text_ = F.col("doc_id"), F.col("source"), F.col("text")
-    words = lambda n: F.regexp_extract_all(F.lower(text_), F.lit(f"[a-z]{{{n},}}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text_), F.lit("[a-z]{9,}"), F.lit(0))
     columns = {
         "key": k, "source_type": F.col("lang"), "fiscal_year": 2020 + k % 4, "quarter": F.concat(F.lit("Q"), (k % 4 + 1).cast("string")), "bank": source,
         "filename": F.concat(source, F.lit(".pdf")), "file_id": F.concat_ws("_", "source", "lang"), "file_type": F.lit("pdf"), "file_path": F.concat(F.lit("/in/"), source, F.lit(".pdf")),
         "page_number": F.when(k % 5 > 0, k % 5), "name": F.concat_ws(" ", "source", "lang"), "summary": F.split_part(text_, F.lit("."), F.lit(1)),
-        "chunk_id": F.concat(F.lit("page_"), k.cast("string"), F.lit(".1")), "chunk_content": text_, "keywords": words(9), "metrics": words(12),
+        "chunk_id": F.concat(F.lit("page_"), k.cast("string"), F.lit(".1")), "chunk_content": text_, "keywords": words,
     }
-    return table(spark, sf_dir, "documents").select(*[c.alias(n) for n, c in columns.items()])
+    rows = table(spark, sf_dir, "documents").select(*[c.alias(n) for n, c in columns.items()])
+    return rows.withColumn("metrics", F.filter("keywords", lambda w: F.length(w) >= 12))
 
 
 #: Vectors by kind: four to a unit, the last of them its section's, which stands for three units.

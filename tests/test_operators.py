@@ -134,3 +134,12 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], HITS)
     assert retrieval.fuse(none).collect() == []
     assert fulltext.bm25(spark.createDataFrame([], "id int, t string"), "id", "t", ["x"]).collect() == []
+
+
+def test_cover_rank_counts_places_of_words_and_phrases(spark):
+    texts = ["Of the with of  THE.", "withal of-the the the the", "", None, "of them with1 with"]
+    rows = spark.createDataFrame([(t, t) for t in texts], "name string, body string")
+    rank = fulltext.cover_rank({"name": "A", "body": "C"}, '"of the" OR with OR "the the"')
+    places = [3, 4, 0, 0, 1]
+    assert [round(r.r, 9) for r in rows.select(rank.alias("r")).collect()] == [round(1.2 * n, 9) for n in places]
+    assert fulltext.query_terms('"net income" OR revenue') == [["net", "income"], ["revenue"]]
