@@ -171,14 +171,14 @@ def capped(rows: DataFrame, limit: int, anchor: str, *order: str) -> DataFrame:
     return ranked.withColumn("slot", F.row_number().over(Window.orderBy(F.desc(anchor), *order)))
 
 
-def rerank(candidates: DataFrame, removed: Column, score: str, key: str, pool: int = 30, keep: int = 20, floor: int = 10) -> DataFrame:
-    """What is left of the best ``pool`` after a reviewer's removals; up to ``keep`` candidates need no review and all stay.
+def rerank(candidates: DataFrame, removed: Column, score: str, key: str, pool: int = 30, keep: int = 20, floor: int = 10, gate: int | None = None) -> DataFrame:
+    """What is left of the best ``pool`` after a reviewer's removals; with a ``gate``, so many candidates or fewer need no review and all stay.
 
     If fewer than ``floor`` were left, the best removed come back up to it.
     ``removed`` is a condition on a candidate. The pool is bounded, so its order is found in one task.
     """
     order = [F.desc(score), F.col(key)]
-    few = F.count("*").over(Window.partitionBy()) <= keep
+    few = F.count("*").over(Window.partitionBy()) <= (gate or 0)
     pooled = candidates.orderBy(*order).limit(pool).withColumn("removed", F.when(few, F.lit(False)).otherwise(F.coalesce(removed, F.lit(False))))
     rank = F.row_number().over(Window.orderBy("removed", *order))
     kept = F.count_if(~F.col("removed")).over(Window.partitionBy())

@@ -68,6 +68,7 @@ def test_cap_and_floor(spark):
     assert [r.page for r in got] == [0, 1, 2, 3, 4]
     pool = spark.createDataFrame([(i, 1.0 - i / 20) for i in range(12)], "key int, score double")
     kept = retrieval.rerank(pool, F.col("key") % 2 == 0, "score", "key").collect()
+    assert retrieval.rerank(pool, F.col("key") % 2 == 0, "score", "key", gate=12).count() == 12
     assert len(kept) == 10 and {0, 2, 4, 6} <= {r.key for r in kept} and 8 not in {r.key for r in kept}
 
 
