@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
-from quarrylane.llm import bpe, chat, embedding_dedup, langid, licenses, lm, mixing, quality, simhash, tokencount
+from quarrylane.llm import bpe, chat, embedding_dedup, hard_negatives, langid, licenses, lm, merkle, mixing, quality, simhash, tokencount, topk
 from quarrylane.session import table
 
 CATALOG = Catalog()
@@ -176,6 +176,92 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+_INTEGERS = """coalesce(embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0, false)"""
+
+OP11_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CAST([floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS DOUBLE[]) AS e FROM embeddings WHERE {_INTEGERS}),
+s AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id, b.rid AS other, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@CATALOG.query("op11_topk_search", OP11_SQL)
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *, coalesce('s' || source, '-') AS src,
+         xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 5 = 0 AS tampered,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents),
+f AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS front FROM d),
+l AS (
+  SELECT rid, doc_id, source, src, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(front || coalesce(strlen(low) || ':' || low, '-')) END AS other FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS size FROM l),
+t AS (
+  SELECT src, 0 AS level, i, size, leaf AS node FROM p
+  UNION ALL
+  SELECT src, level + 1, i // 16, (size + 15) // 16, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE size > 1 GROUP BY src, level, i // 16, size),
+s AS (
+  SELECT t.src, t.node AS subroot, row_number() OVER (ORDER BY o.source NULLS FIRST) - 1 AS k, count(*) OVER () AS n
+  FROM t JOIN (SELECT DISTINCT src, source FROM p) o ON t.src = o.src WHERE t.size = 1),
+u AS (
+  SELECT 0 AS level, k AS i, n AS size, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, i // 16, (size + 15) // 16, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE size > 1 GROUP BY level, i // 16, size),
+h AS (
+  SELECT p.rid, t.level AS level, coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i < p.i // CAST(pow(16, t.level) AS BIGINT)), '') AS a,
+         coalesce(string_agg(t.node, '' ORDER BY t.i) FILTER (t.i > p.i // CAST(pow(16, t.level) AS BIGINT)), '') AS b
+  FROM p JOIN t ON p.src = t.src AND t.size > 1 AND t.i // 16 = p.i // CAST(pow(16, t.level + 1) AS BIGINT) GROUP BY p.rid, t.level
+  UNION ALL
+  SELECT p.rid, 100 + u.level, coalesce(string_agg(u.node, '' ORDER BY u.i) FILTER (u.i < s.k // CAST(pow(16, u.level) AS BIGINT)), ''),
+         coalesce(string_agg(u.node, '' ORDER BY u.i) FILTER (u.i > s.k // CAST(pow(16, u.level) AS BIGINT)), '')
+  FROM p JOIN s ON p.src = s.src JOIN u ON u.size > 1 AND u.i // 16 = s.k // CAST(pow(16, u.level + 1) AS BIGINT) GROUP BY p.rid, u.level),
+w AS (SELECT rid, list(a || '|' || b ORDER BY level) AS path, string_agg(a || b, '' ORDER BY level) AS siblings FROM h GROUP BY rid),
+z AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT node FROM u WHERE size = 1) AS root, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+         list_reduce(list_prepend(coalesce(p.other, p.leaf), coalesce(w.path, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM p JOIN s ON p.src = s.src LEFT JOIN w ON p.rid = w.rid)
+SELECT *, folded_root = root AS verified FROM z
+"""
+
+
+@CATALOG.query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+OP13_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         CAST([floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS DOUBLE[]) AS e
+  FROM embeddings WHERE label IS NOT NULL AND {_INTEGERS}),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other) AS rank
+  FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@CATALOG.query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries():
     import corpus_pipeline
 
