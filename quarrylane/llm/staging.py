@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from quarrylane.session import scratch
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs the tasks it ran, and what a task
-    chose (row ids, orders) stays as written however often it is read.
+    chose (row ids, orders) stays as written however often it is read. With
+    ``by`` there is a folder for each of that column's values.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._ql_path = path
     return out
