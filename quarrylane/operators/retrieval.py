@@ -124,25 +124,26 @@ def tagged(hits: DataFrame, key: str, strategy: str, batch: int = 0, scale: floa
     )
 
 
-def fuse(hits: DataFrame, weights: dict[str, float] | None = None, dedupe_hits: bool = False) -> DataFrame:
+def fuse(hits: DataFrame, weights: dict[str, float] | None = None, dedupe_hits: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """``key``, ``score``, ``n_strategies``, ``sources``: weighted sum of each batch's normalised best score.
 
     Of a batch, a key's best is its least distance or largest score; it is
     normalised by the batch's largest best to max(0, 1 - v / m) or v / m, or to
     1 if m is 0. A key hit several times in one batch counts so many times,
     unless ``dedupe_hits``. ``sources`` lists strategies in order of tie-break.
+    With ``by`` columns each of their values is a search of its own.
     """
     weights = weights or WEIGHTS
     table = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*[F.lit(float(w)) for w in weights.values()]))
     order = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*[F.lit(i) for i in range(len(weights))]))
-    best = hits.groupBy("strategy", "batch", "scale", "invert", "key").agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count("*").alias("hits"))
+    best = hits.groupBy(*by, "strategy", "batch", "scale", "invert", "key").agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count("*").alias("hits"))
     best = best.withColumn("v", F.when(F.col("invert"), F.col("least")).otherwise(F.col("most")))
-    m = F.max("v").over(Window.partitionBy("strategy", "batch"))
+    m = F.max("v").over(Window.partitionBy(*by, "strategy", "batch"))
     ratio = F.col("v") / F.col("m")
     normal = F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.when(F.col("invert"), 1 - ratio).otherwise(ratio)))
     times = F.lit(1) if dedupe_hits else F.col("hits")
-    scored = best.withColumn("m", m).select("key", "strategy", (F.element_at(table, F.col("strategy")) * F.col("scale") * normal * times).alias("part"), F.element_at(order, F.col("strategy")).alias("ord"))
-    return scored.groupBy("key").agg(
+    scored = best.withColumn("m", m).select(*by, "key", "strategy", (F.element_at(table, F.col("strategy")) * F.col("scale") * normal * times).alias("part"), F.element_at(order, F.col("strategy")).alias("ord"))
+    return scored.groupBy(*by, "key").agg(
         F.sum("part").alias("score"),
         F.countDistinct("strategy").alias("n_strategies"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "strategy"))), lambda s: s["strategy"]), ",").alias("sources"),
@@ -153,15 +154,15 @@ def top(fused: DataFrame, k: int) -> DataFrame:
     return fused.orderBy(F.desc(F.round("score", 9)), "key").limit(k)
 
 
-def gap_fill(anchors: DataFrame, file_col: str, page_col: str, most: int = 2) -> DataFrame:
-    """``file_col``, ``page_col`` of pages that lie between neighbouring anchors of a file, where at most ``most`` are missing."""
-    pages = anchors.select(file_col, page_col).distinct()
-    nxt = F.lead(page_col).over(Window.partitionBy(file_col).orderBy(page_col))
+def gap_fill(anchors: DataFrame, file_col: str, page_col: str, most: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``file_col``, ``page_col`` of pages that lie between neighbouring anchors of a file, where at most ``most`` are missing."""
+    pages = anchors.select(*by, file_col, page_col).distinct()
+    nxt = F.lead(page_col).over(Window.partitionBy(*by, file_col).orderBy(page_col))
     missing = F.col("__next") - F.col(page_col) - 1
     return (
         pages.withColumn("__next", nxt)
         .where((missing >= 1) & (missing <= most))
-        .select(file_col, F.explode(F.sequence(F.col(page_col) + 1, F.col("__next") - 1)).alias(page_col))
+        .select(*by, file_col, F.explode(F.sequence(F.col(page_col) + 1, F.col("__next") - 1)).alias(page_col))
     )
 
 
