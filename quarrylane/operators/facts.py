@@ -96,14 +96,14 @@ def intent_boost(chart: Column, question: str) -> Column:
     return F.when(chart.isin(*favoured), INTENT_BOOST).otherwise(0) if favoured else F.lit(0)
 
 
-def scored_shapes(grouped: DataFrame, evidence: Column | None = None, keep: int = 6, question: str = "") -> DataFrame:
-    """Best charts by score over all groups: base, facts up to 12, evidence up to 8, peers, periods, the question's intent, adjustment."""
+def scored_shapes(grouped: DataFrame, evidence: Column | None = None, keep: int | None = 6, question: str = "") -> DataFrame:
+    """Best ``keep`` charts (None: all) by score over all groups: base, facts up to 12, evidence up to 8, peers, periods, the question's intent, adjustment."""
     base = F.map_from_arrays(F.array(*map(F.lit, BASE_SCORES)), F.array(*map(F.lit, BASE_SCORES.values())))
     rows = grouped.withColumn("s", F.explode(shapes(F.col("banks"), F.col("periods")))).select("*", F.col("s.chart").alias("chart"), F.col("s.adjust").alias("adjust")).drop("s")
     score = F.coalesce(F.try_element_at(base, F.col("chart")), F.lit(OTHER_SCORE)) + F.least(F.lit(12), F.col("n")) + F.least(F.lit(8), evidence if evidence is not None else F.col("n"))
     score = score + F.when(F.col("banks") >= 2, 4).otherwise(0) + F.when(F.col("periods") >= 3, 5).otherwise(0) + intent_boost(F.col("chart"), question) + F.col("adjust")
     ranked = rows.withColumn("score", score.cast("long"))
-    return ranked.orderBy(F.desc("score"), "metric_key", "unit", "chart").limit(keep)
+    return ranked if keep is None else ranked.orderBy(F.desc("score"), "metric_key", "unit", "chart").limit(keep)
 
 
 def delta(facts: DataFrame, by: list[str], period: str, value: str) -> DataFrame:

@@ -108,3 +108,33 @@ def availability_lookup(combos: DataFrame, table: DataFrame, on: list[str], sour
     """Combos with ``available``: whether a row of equal key lists the source; false without a row. Repeated rows of a key count as one."""
     listed = table.groupBy(*on).agg(F.array_distinct(F.flatten(F.collect_list(names))).alias(names))
     return combos.join(listed, on, "left").withColumn("available", F.coalesce(F.array_contains(names, F.col(source)), F.lit(False))).drop(names)
+
+
+def names_of(*names: Column, lists: tuple[Column, ...] = ()) -> Column:
+    """Distinct names in lower case out of single values and lists of them; nulls and blank names are left out."""
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array(*[n.cast("string") for n in names]), *[F.coalesce(x.cast("array<string>"), none) for x in lists])
+    return F.array_distinct(F.transform(F.filter(every, lambda n: n.isNotNull() & (F.trim(n) != "")), F.lower))
+
+
+def availability_by_overlap(combos: DataFrame, table: DataFrame, on: list[str], wanted: Column, offered: Column, source: str, position: str, hydrate: list[str], names: str = "database_names") -> DataFrame:
+    """Every combo with ``available``, and with the ``hydrate`` columns of the first row by ``position`` that answers it.
+
+    A row answers if it is equal in ``on``, lists the combo's ``source`` (case
+    and outer blanks apart) and shares a name with it: ``wanted`` and
+    ``offered`` are arrays of names (see ``names_of``). Overlap of sets is an
+    equality join on one name: the table becomes an index with the first row of
+    each (``on``, source, name), and a combo takes the first of its names'
+    rows. A null in the row found leaves the combo's own value, if it has the
+    column; repeated combos stay rows of their own.
+    """
+    first = F.min(F.struct("__pos", *hydrate))
+    rows = table.select(*on, F.col(position).alias("__pos"), *hydrate, F.explode(F.array_distinct(F.transform(names, lambda n: F.lower(F.trim(n))))).alias("__source"), offered.alias("__names"))
+    index = rows.select(*on, "__source", F.explode("__names").alias("__name"), "__pos", *hydrate).groupBy(*on, "__source", "__name").agg(first.alias("__row"))
+    numbered = combos.withColumn("__id", F.monotonically_increasing_id())
+    asked = numbered.select("*", F.lower(F.trim(F.col(source))).alias("__source"), F.explode_outer(wanted).alias("__name"))
+    met = asked.join(index, [*on, "__source", "__name"], "left")
+    found = met.groupBy("__id", *combos.columns).agg(F.min("__row").alias("__row"))
+    kept = [c for c in combos.columns if c not in hydrate]
+    own = {c: F.coalesce(F.col(f"__row.{c}"), F.col(c)) if c in combos.columns else F.col(f"__row.{c}") for c in hydrate}
+    return found.select(*kept, *[c.alias(n) for n, c in own.items()], F.col("__row").isNotNull().alias("available"))

@@ -231,6 +231,45 @@ def availability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.availability_lookup(combos, merge.availability(chunks(spark, sf_dir), ["bank"], "source_type"), ["bank"], "source_type").select("o_orderkey", "available")
 
 
+_OFFERS = """nat AS (SELECT n_nationkey, n_name, r_name, upper(substr(n_name, 1, 3)) AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey),
+off AS (
+  SELECT year(o_orderdate) AS fiscal_year, 'Q' || quarter(o_orderdate) AS quarter, n_nationkey AS bank_id, n_name AS bank_name, symbol AS bank_symbol,
+         [lower(CAST(n_nationkey AS VARCHAR)), lower(n_name), lower(symbol), lower(n_name) || ' bank', lower(r_name)] AS names, list_distinct(list(lower(trim(o_orderpriority)))) AS sources
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat ON c_nationkey = n_nationkey GROUP BY ALL),
+ask AS (
+  SELECT o_orderkey, year(o_orderdate) AS fiscal_year, 'Q' || quarter(o_orderdate) AS quarter, lower(CASE WHEN o_orderkey % 7 = 0 THEN 'elsewhere' ELSE o_orderpriority END) AS source,
+         CASE o_orderkey % 5 WHEN 0 THEN [CAST(n_nationkey AS VARCHAR)] WHEN 1 THEN [lower(symbol)] WHEN 2 THEN [lower(n_name) || ' bank'] WHEN 3 THEN [lower(r_name), lower(n_name)] ELSE [] END AS wanted
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat ON c_nationkey = n_nationkey)"""
+
+
+@CATALOG.query(
+    "availability_by_overlap",
+    f"""WITH {_OFFERS}, hit AS (
+      SELECT o_orderkey, bank_id, bank_name, bank_symbol FROM ask JOIN off ON ask.fiscal_year = off.fiscal_year AND ask.quarter = off.quarter AND list_contains(sources, ask.source) AND list_has_any(names, wanted)
+      QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY bank_id) = 1)
+    SELECT o_orderkey, fiscal_year, quarter, bank_id, bank_name, bank_symbol, bank_id IS NOT NULL AS available FROM ask LEFT JOIN hit USING (o_orderkey)""",
+)
+def availability_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's bank, by id, symbol, alias, tag and name or by nothing, in the rows of banks, periods and what they offer."""
+    orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    banks = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.upper(F.substring("n_name", 1, 3)).alias("symbol"))
+    period = [F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("quarter")]
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(banks, F.col("c_nationkey") == F.col("n_nationkey")).select("*", *period)
+    offered = rows.groupBy("fiscal_year", "quarter", F.col("n_nationkey").alias("bank_id"), F.col("n_name").alias("bank_name"), F.col("symbol").alias("bank_symbol"), "r_name").agg(F.collect_set("o_orderpriority").alias("database_names"))
+    k, none = F.col("o_orderkey") % 5, F.lit(None).cast("string")
+    when = lambda n, c: F.when(k == n, c).otherwise(none)
+    asked = rows.select(
+        "o_orderkey", "fiscal_year", "quarter", F.when(F.col("o_orderkey") % 7 == 0, "elsewhere").otherwise(F.col("o_orderpriority")).alias("source"),
+        when(0, F.col("n_nationkey").cast("string")).alias("id"), F.when(k == 1, F.col("symbol")).when(k == 3, F.col("r_name")).otherwise(none).alias("symbol"),
+        F.when(k == 2, F.concat(F.initcap("n_name"), F.lit(" Bank"))).when(k == 3, F.col("n_name")).otherwise(F.lit(" ")).alias("name"),
+    )
+    aliases = F.array(F.concat(F.col("bank_name"), F.lit(" Bank")))
+    return merge.availability_by_overlap(
+        asked, offered, ["fiscal_year", "quarter"], merge.names_of(F.col("id"), F.col("symbol"), F.col("name")), merge.names_of(F.col("bank_id"), F.col("bank_name"), F.col("bank_symbol"), lists=(aliases, F.array("r_name"))),
+        "source", "bank_id", ["bank_id", "bank_name", "bank_symbol"],
+    ).select("o_orderkey", "fiscal_year", "quarter", "bank_id", "bank_name", "bank_symbol", "available")
+
+
 @CATALOG.query(
     "upsert_union",
     """WITH a AS (SELECT source AS bank, list_sort(list_distinct(list(lang))) AS names, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY source),

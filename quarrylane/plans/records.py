@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarrylane.catalog import Catalog
 from quarrylane.functions import providers, text
 from quarrylane.operators import chunking, evidence, facts, merge, ordering, render, research, scopes
+from quarrylane.plans import views
+from quarrylane.plans.views import FACTS_SQL
 from quarrylane.session import scratch, table
 from quarrylane.sources import markup
 from quarrylane.streaming import progress
@@ -52,16 +54,26 @@ def finding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("finding_id", "bank", "period", "year", "quarter", "metric", "value", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
+_ASKED = "Compare the banks by their share of revenue"
+
+
 @CATALOG.query(
     "intent_scores",
-    "SELECT c AS chart, b + CASE WHEN c IN ('peer_rank_bar', 'slopegraph', 'heatmap', 'composition_stacked_bar', 'composition_100_bar') THEN 10 ELSE 0 END AS score FROM (VALUES "
-    + ", ".join(f"('{k}', {v})" for k, v in facts.BASE_SCORES.items())
-    + ") t(c, b)",
+    f"""WITH {FACTS_SQL}, f AS (SELECT * FROM facts WHERE segment NOT IN ('1-URGENT', '2-HIGH') OR year = 1996 AND (quarter = 1 OR quarter = 2 AND segment = '2-HIGH')),
+    g AS (SELECT segment, bank AS part, 'bank' AS by_what, bank, year, quarter FROM f UNION ALL SELECT segment, '', 'all', bank, year, quarter FROM f),
+    n AS (SELECT segment, part, count(*) AS n, count(DISTINCT bank) AS banks, count(DISTINCT year * 4 + quarter) AS periods FROM g GROUP BY segment, part HAVING count(*) >= 2),
+    s(need, least, most, chart, adjust) AS (VALUES ('peer', 1, 1, 'peer_rank_bar', 0), ('one', 2, 99999, 'trend_line', 0), ('one', 2, 99999, 'trend_bar', -12), ('one', 2, 2, 'delta_bar', 0), ('peer', 2, 2, 'slopegraph', 0), ('peer', 2, 2, 'delta_bar', -6),
+      ('peer', 3, 99999, 'multi_series_line', 0), ('peer', 2, 99999, 'heatmap', NULL)),
+    b(chart, base) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in facts.BASE_SCORES.items())})
+    SELECT segment || part AS metric_key, chart, CAST(base + least(12, n) + least(8, n) + CASE WHEN banks >= 2 THEN 4 ELSE 0 END + CASE WHEN periods >= 3 THEN 5 ELSE 0 END
+      + CASE WHEN chart IN ('peer_rank_bar', 'slopegraph', 'heatmap', 'composition_stacked_bar', 'composition_100_bar') THEN 10 ELSE 0 END + coalesce(adjust, CASE WHEN banks * periods >= 12 THEN 12 ELSE -8 END) AS BIGINT) AS score
+    FROM n JOIN s ON need = CASE WHEN banks >= 2 THEN 'peer' ELSE 'one' END AND periods BETWEEN s.least AND s.most JOIN b USING (chart)""",
 )
 def intent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base scores of the kinds of charts with the boost of a question's intent."""
-    rows = spark.createDataFrame(list(facts.BASE_SCORES.items()), "chart string, base int")
-    return rows.select("chart", (F.col("base") + facts.intent_boost(F.col("chart"), "Compare the banks by their share of revenue")).alias("score"))
+    """Charts of all groups of facts, of banks together and each alone, scored with the boost of a question's intent."""
+    kept = views.facts(spark, sf_dir).where("segment not in ('1-URGENT', '2-HIGH') or year = 1996 and (quarter = 1 or quarter = 2 and segment = '2-HIGH')")
+    either = kept.withColumn("metric_key", F.explode(F.array("segment", F.concat("segment", "bank")))).withColumn("unit", F.lit("USD"))
+    return facts.scored_shapes(facts.groups(either), keep=None, question=_ASKED).select("metric_key", "chart", "score")
 
 
 _SHELLED = f"CASE doc_id % 3 WHEN 0 THEN chr(10) || ' {progress.SHELL_OPEN} {{\"id\": ' || doc_id || '}} {progress.SHELL_CLOSE}' || text WHEN 1 THEN '{progress.SHELL_OPEN}' || text ELSE text END"

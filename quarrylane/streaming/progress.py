@@ -104,8 +104,8 @@ class MarkerParser:
         return [("text", rest)] if rest else []
 
 
-# The block that an answer may begin with.
-SHELL_OPEN, SHELL_CLOSE = "<aegis_final_shell>", "</aegis_final_shell>"
+#: Tags of the block that an answer may begin with; callers name their own.
+SHELL_OPEN, SHELL_CLOSE = "<final_shell>", "</final_shell>"
 
 
 @dataclass
@@ -114,6 +114,8 @@ class LeadingBlockParser:
 
     buffer: str = ""
     done: bool = False
+    opening: str = SHELL_OPEN
+    closing: str = SHELL_CLOSE
 
     def feed(self, text: str) -> list[tuple[str, str]]:
         """(kind, text) pairs that are settled after this piece: a ``shell`` (blank without a block) comes first, then ``text``."""
@@ -121,11 +123,11 @@ class LeadingBlockParser:
             return [("text", text)] if text else []
         self.buffer += text
         start = self.buffer.lstrip()
-        if not start or SHELL_OPEN.startswith(start):
+        if not start or self.opening.startswith(start):
             return []
-        if not start.startswith(SHELL_OPEN):
+        if not start.startswith(self.opening):
             return self.finish()
-        head, closed, body = start[len(SHELL_OPEN) :].partition(SHELL_CLOSE)
+        head, closed, body = start[len(self.opening) :].partition(self.closing)
         if not closed:
             return []
         self.done, self.buffer = True, ""
@@ -139,14 +141,14 @@ class LeadingBlockParser:
         return [("shell", ""), ("text", rest)]
 
 
-def leading_block(text: Column) -> Column:
+def leading_block(text: Column, opening: str = SHELL_OPEN, closing: str = SHELL_CLOSE) -> Column:
     """(shell, body) of a whole text by the same rule; the shell is null where there is no whole block."""
     start = F.regexp_replace(text, r"^\s+", "")
-    close = F.locate(SHELL_CLOSE, start)
-    whole = start.startswith(SHELL_OPEN) & (close > 0)
-    n = len(SHELL_OPEN)
+    close = F.locate(closing, start)
+    whole = start.startswith(opening) & (close > 0)
+    n = len(opening)
     shell = F.trim(F.substr(start, F.lit(n + 1), close - n - 1))
-    return F.struct(F.when(whole, shell).alias("shell"), F.when(whole, F.substr(start, close + len(SHELL_CLOSE))).otherwise(text).alias("body"))
+    return F.struct(F.when(whole, shell).alias("shell"), F.when(whole, F.substr(start, close + len(closing))).otherwise(text).alias("body"))
 
 
 def append_events(events: DataFrame, path: str) -> None:

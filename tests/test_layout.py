@@ -32,3 +32,12 @@ def test_entry_without_the_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr
     n, corpus, sql = out.stdout.split()
     assert int(n) > 80 and corpus == "False" and int(sql) > 80
+
+
+def test_entry_without_a_library_of_the_subpackage():
+    """Where a library that only the subpackage needs is absent, the other queries stay."""
+    hide = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1') for q in e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n, corpus, sql = out.stdout.split()[-3:]
+    assert int(n) > 80 and corpus == "False" and int(sql) > 80
