@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quarrylane"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, however many plans read it."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for those that can't import it."""
     context = spark.sparkContext
