@@ -59,6 +59,17 @@ def embedding_plan(chunks: DataFrame, by: str, size: str, batch: int) -> DataFra
     return chunks.groupBy(by).agg(F.count_if(F.col(size) > 0).alias("n_texts")).withColumn("batches", F.ceil(F.col("n_texts") / batch).cast("long"))
 
 
+def embedding_families(units: DataFrame, by: list[str], families: dict[str, Column], batch: int) -> DataFrame:
+    """``by``, ``family``, ``n_texts``, ``batches``: texts to embed of each family, blank ones skipped, and the batches they take.
+
+    ``families``: arrays of texts, one of a single text for a column. Every family has its row, with 0 where nothing is left.
+    """
+    real = lambda texts: F.size(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.coalesce(F.trim(t), F.lit("")) != ""))
+    counted = units.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("family"), real(c).cast("long").alias("n")) for n, c in families.items()])).alias("f"))
+    totals = counted.groupBy(*by, F.col("f.family").alias("family")).agg(F.sum("f.n").alias("n_texts"))
+    return totals.withColumn("batches", F.ceil(F.col("n_texts") / batch).cast("long"))
+
+
 def section_rollup(units: DataFrame, file: str, item: str, order: str, unit: str, size: str) -> DataFrame:
     """One section per item number of a file, numbered from 1, with its units in order."""
     members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(unit).cast("string").alias("u")))), lambda x: x["u"]), ",")
@@ -112,3 +123,20 @@ def workbook_qa(cells: DataFrame, by: str) -> DataFrame:
     formula = F.col("formula").isNotNull()
     counts = cells.groupBy(by).agg(F.count_if(formula).alias("formulas"), F.count_if(formula & F.col("value").isNull()).alias("uncached"))
     return counts.withColumn("severity", F.when(F.col("uncached") > 0, "medium").otherwise("none"))
+
+
+# Titles of sheets that hold no content, in lower case.
+SYSTEM_SHEETS = ("variables",)
+
+
+def workbook_findings(cells: DataFrame, sheets: DataFrame, on: list[str], title: str, system: tuple[str, ...] = SYSTEM_SHEETS) -> DataFrame:
+    """``on``, ``code``, ``severity``, ``n`` of what is wrong with each sheet.
+
+    A sheet with formulas without a cached value is a finding of medium
+    severity with their number; a system sheet among the content is one of high
+    severity. ``cells``: ``on``, ``formula``, ``value``; ``sheets``: ``on`` and the title.
+    """
+    uncached = cells.groupBy(*on).agg(F.count_if(F.col("formula").isNotNull() & F.col("value").isNull()).alias("n")).where("n > 0")
+    missing = uncached.select(*on, F.lit("formula_cache_missing").alias("code"), F.lit("medium").alias("severity"), "n")
+    named = sheets.where(F.lower(F.trim(title)).isin(*system))
+    return missing.unionByName(named.select(*on, F.lit("system_sheet_emitted").alias("code"), F.lit("high").alias("severity"), F.lit(1).cast("long").alias("n")))

@@ -38,6 +38,12 @@ def orphans(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
     return child.join(parent.select(*on).distinct(), on, "left_anti")
 
 
+def list_orphans(child: DataFrame, key: str, members: str, parent: DataFrame, on: str) -> DataFrame:
+    """``key``, ``member`` for each distinct member of a child's list that no parent has; a null member has none."""
+    each = child.select(key, F.explode(F.array_distinct(members)).alias("member"))
+    return each.join(parent.select(F.col(on).alias("member")).distinct(), "member", "left_anti").select(key, "member")
+
+
 def upsert_union(target: DataFrame, rows: DataFrame, key: list[str], union: str) -> DataFrame:
     """Update or insert by key: the array ``union`` becomes the sorted union of both sides, other columns are the new row's."""
     fields = [c for c in target.columns if c not in key and c != union]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
 from quarrylane.functions import text
-from quarrylane.operators import evidence, ordering
+from quarrylane.operators import evidence, ordering, scopes
 from quarrylane.plans.views import CHUNKS_SQL, chunks
 from quarrylane.session import table
 
@@ -144,8 +144,11 @@ def id_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("scope_completeness", "SELECT event_id, array_to_string([x FOR x IN [CASE WHEN event_id % 2 = 0 THEN 'question' END, CASE WHEN event_id % 3 = 0 THEN 'bank' END, CASE WHEN value < 20 THEN 'year' END, CASE WHEN event_type = 'error' THEN 'quarter' END] IF x IS NOT NULL], ',') AS missing FROM events")
 def scope_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (("question", F.col("event_id") % 2 == 0), ("bank", F.col("event_id") % 3 == 0), ("year", F.col("value") < 20), ("quarter", F.col("event_type") == "error"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in parts])), ",").alias("missing"))
+    """Fields of a request that are null, blank or nothing but blanks."""
+    absent = {"question": F.col("event_id") % 2 == 0, "bank": F.col("event_id") % 3 == 0, "year": F.col("value") < 20, "quarter": F.col("event_type") == "error"}
+    without = {"question": F.lit(None).cast("string"), "bank": F.lit(""), "year": F.lit(None).cast("string"), "quarter": F.lit("  ")}
+    fields = {n: F.when(c, without[n]).otherwise(F.lit("given")) for n, c in absent.items()}
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(scopes.missing_fields(fields), ",").alias("missing"))
 
 
 @CATALOG.query("compact_text", r"SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 57)) || '...' END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")

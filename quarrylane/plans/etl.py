@@ -92,6 +92,44 @@ def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.embedding_plan(accounted(spark, sf_dir), "bank", "n_tokens", 100)
 
 
+@CATALOG.query(
+    "embedding_families",
+    """WITH u AS (SELECT source AS bank, text, regexp_extract_all(lower(text), '[a-z]{9,}') AS words FROM documents),
+    n AS (SELECT bank, unnest(['content', 'keyword', 'metric']) AS family, unnest([CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END, len(words), len([w FOR w IN words IF length(w) >= 12])]) AS n FROM u)
+    SELECT bank, family, CAST(sum(n) AS BIGINT) AS n_texts, CAST(ceil(sum(n) / 100.0) AS BIGINT) AS batches FROM n GROUP BY bank, family""",
+)
+def embedding_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each family that a bank's chunks have to embed."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))
+    families = {"content": F.array("text"), "keyword": words, "metric": F.filter(words, lambda w: F.length(w) >= 12)}
+    return chunking.embedding_families(table(spark, sf_dir, "documents").withColumnRenamed("source", "bank"), ["bank"], families, 100)
+
+
+@CATALOG.query(
+    "section_references",
+    """SELECT vec_id, member FROM (SELECT vec_id, unnest([vec_id // 4, vec_id // 4 + 1, vec_id * 3, vec_id // 4]) AS member FROM embeddings WHERE vec_id % 4 = 3)
+    WHERE member NOT IN (SELECT doc_id FROM documents) GROUP BY vec_id, member""",
+)
+def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of sections that are no chunk."""
+    unit = F.floor(F.col("vec_id") / 4)
+    sections = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 3").select("vec_id", F.array(unit, unit + 1, F.col("vec_id") * 3, unit).alias("content_unit_ids"))
+    return merge.list_orphans(sections, "vec_id", "content_unit_ids", table(spark, sf_dir, "documents"), "doc_id")
+
+
+@CATALOG.query(
+    "workbook_findings",
+    """SELECT book, sheet, 'formula_cache_missing' AS code, 'medium' AS severity, count(*) AS n FROM (SELECT s_suppkey % 5 AS book, s_nationkey AS sheet, s_suppkey AS k FROM supplier) WHERE k % 2 = 0 AND k % 7 = 0 GROUP BY book, sheet
+    UNION ALL SELECT DISTINCT s_suppkey % 5, s_nationkey, 'system_sheet_emitted', 'high', CAST(1 AS BIGINT) FROM supplier WHERE s_nationkey % 6 = 0""",
+)
+def workbook_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the sheets of workbooks: suppliers as cells, nations as sheets, some of them system sheets."""
+    k = F.col("s_suppkey")
+    cells = table(spark, sf_dir, "supplier").select((k % 5).alias("book"), F.col("s_nationkey").alias("sheet"), F.when(k % 2 == 0, "A1+1").alias("formula"), F.when(k % 7 != 0, F.col("s_name")).alias("value"))
+    title = F.when(F.col("sheet") % 6 == 0, " Variables").otherwise(F.concat(F.lit("Sheet "), F.col("sheet").cast("string")))
+    return chunking.workbook_findings(cells, cells.select("book", "sheet").distinct().withColumn("title", title), ["book", "sheet"], "title")
+
+
 @CATALOG.query("fixed_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, file_id, CAST((page - 1) // 7 AS BIGINT) AS chunk FROM chunks")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.chunked(chunks(spark, sf_dir), ["file_id"], ["page"], 7).select("doc_id", "file_id", "chunk")

@@ -144,3 +144,17 @@ def test_cover_rank_counts_places_of_words_and_phrases(spark):
     places = [3, 4, 0, 0, 1]
     assert [round(r.r, 9) for r in rows.select(rank.alias("r")).collect()] == [round(1.2 * n, 9) for n in places]
     assert fulltext.query_terms('"net income" OR revenue') == [["net", "income"], ["revenue"]]
+
+
+def test_families_members_and_sheets(spark):
+    from quarrylane.operators import chunking
+
+    units = spark.createDataFrame([("a", "text", ["x", " ", None]), ("a", " ", None), ("b", None, [])], "bank string, text string, words array<string>")
+    got = {(r.bank, r.family): (r.n_texts, r.batches) for r in chunking.embedding_families(units, ["bank"], {"content": F.array("text"), "keyword": F.col("words")}, 2).collect()}
+    assert got == {("a", "content"): (1, 1), ("a", "keyword"): (1, 1), ("b", "content"): (0, 0), ("b", "keyword"): (0, 0)}
+    sections = spark.createDataFrame([(1, [1, 2, 2, None]), (2, None), (3, [])], "id long, members array<long>")
+    chunks = spark.createDataFrame([(1,), (None,)], "key long")
+    assert sorted(map(tuple, merge.list_orphans(sections, "id", "members", chunks, "key").collect()), key=str) == [(1, 2), (1, None)]
+    cells = spark.createDataFrame([(1, "=A1", None), (1, "=A2", "3"), (2, None, None)], "sheet long, formula string, value string")
+    sheets = spark.createDataFrame([(1, "Capital"), (2, " VARIABLES "), (3, None)], "sheet long, title string")
+    assert sorted(map(tuple, chunking.workbook_findings(cells, sheets, ["sheet"], "title").collect())) == [(1, "formula_cache_missing", "medium", 1), (2, "system_sheet_emitted", "high", 1)]
