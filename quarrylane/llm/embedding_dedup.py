@@ -32,7 +32,8 @@ from quarrylane.llm.staging import components, staged
 from quarrylane.operators.ordering import numbered_globally
 
 THRESHOLD = 0.9
-TILE_ROWS = 8192
+#: Rows of a tile at most, and bytes of its vectors as doubles: a task holds two tiles, each twice, and what Arrow brings.
+TILE_ROWS, TILE_BYTES = 8192, 1 << 24
 #: Rows of a tile multiplied at a time.
 STRIPE = 512
 #: The basis is fitted on at most so many vectors; it orders coordinates and never decides a link.
@@ -167,11 +168,17 @@ def compare_tiles(uid: np.ndarray, copies: np.ndarray, size: np.ndarray, tile: n
     return uid[hit], links[hit], uid[label[hit]]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two that brings their largest component below 1: cosines stay as they are to the bit, and squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def _padded(column, size: np.ndarray, dim: int) -> np.ndarray:
-    """Vectors of a list column as rows, with zeros after the shorter ones."""
+    """Vectors of a list column as scaled rows, with zeros after the shorter ones."""
     out = np.zeros((len(size), dim))
     out[np.arange(dim) < size[:, None]] = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy()
-    return out
+    return scaled(out)
 
 
 def tiled(distinct: DataFrame, curve, dim: int, tile_rows: int) -> DataFrame:
@@ -214,7 +221,7 @@ def tile_pairs(placed: DataFrame, tiles: int, box: int, threshold: float) -> Dat
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int | None = None
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``.
 
@@ -235,9 +242,11 @@ def near_duplicates(
     stats = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if not stats.n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, tiles = stats.dim, -(-stats.n // tile_rows)
+    dim = stats.dim
+    tile_rows = tile_rows or max(1, min(TILE_ROWS, TILE_BYTES // (8 * dim)))
+    tiles = -(-stats.n // tile_rows)
     sample = distinct.select("h", "v").orderBy("h", "v").limit(PCA_ROWS).toArrow()["v"].to_pylist()
-    curve = distinct.sparkSession.sparkContext.broadcast(Curve.fit(np.array([x + [0.0] * (dim - len(x)) for x in sample])))
+    curve = distinct.sparkSession.sparkContext.broadcast(Curve.fit(scaled(np.array([x + [0.0] * (dim - len(x)) for x in sample]))))
     placed = tiled(distinct, curve, dim, tile_rows)
     pairs = tile_pairs(placed, tiles, min(BOX, dim), threshold)
     ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"), (F.col("a") * tiles + F.col("b")).alias("pair"))

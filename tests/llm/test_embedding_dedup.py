@@ -103,3 +103,19 @@ def test_far_tiles_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(E, "BROADCAST_PAIRS", 1)
     assert found(E.near_duplicates(table, tile_rows=60)) == want
     assert kept[0] < 0.9 and kept[1] < 0.7 * kept[0]
+
+
+def test_huge_and_tiny_components(spark):
+    """Components whose squares overflow or vanish link like any other."""
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2.1e200]), (3, [1e-200, 1e-200]), (4, [1e200, -1e200]), (5, [3.0, 3.0]), (6, [5e-324, 0.0])]
+    got = found(E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_wide_vectors(spark):
+    """At 3,072 dimensions a tile holds fewer rows."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 3072))
+    rows = [(i, [float(x) for x in base[i % 6] + (0.1 if i < 12 else 3.0) * rng.normal(size=3072)]) for i in range(18)]
+    assert E.TILE_BYTES // (8 * 3072) < E.TILE_ROWS
+    assert found(E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_rows=5)) == brute([i for i, _ in rows], [v for _, v in rows])
