@@ -9,18 +9,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylane.session import scratch
+from quarrylane.operators import scans
+from quarrylane.session import scratch, written
 
 
 def sessionise(turns: DataFrame, by: list[str], order: list[str], question: Column, name: str = "session") -> DataFrame:
     """A new session opens at each question but the first turn; sessions count from 1."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    opens = (F.coalesce(question, F.lit(False)) & (F.row_number().over(w) > 1)).cast("int")
-    return turns.withColumn("__open", opens).withColumn(name, F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("__open")
+    asks = F.coalesce(question, F.lit(False)).cast("int")
+    found = scans.scan(turns, by, order, {"__asked": scans.running_sum(asks), "__first": scans.first_value(asks)})
+    return found.withColumn(name, F.col("__asked") - F.col("__first.x") + 1).drop("__asked", "__first")
 
 
 def numbered(rows: DataFrame, by: list[str], order: list, name: str = "n") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Numbers from 1 in each group; a group may be of any size."""
+    return scans.scan(rows, by, order, {name: scans.row_count()})
 
 
 def last_messages(messages: DataFrame, by: list[str], order: str, n: int, role: str = "role", allowed: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
@@ -45,10 +47,11 @@ def greedy_batches(sizes: Column, budget: int) -> Column:
 
 
 def batched(rows: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
-    """``by``, ``order``, ``size``, ``batch`` of rows in order, batched greedily by group.
+    """``by``, ``order``, ``size``, ``batch`` of rows in order, batched greedily by group; sizes are not negative, null counts as 0.
 
-    One sorted pass that carries a group's last batch and its sum: linear, and
-    no group is gathered. The rule is sequential, so a group stays in one task.
+    Rows are range-partitioned. Groups that lie in one part take one sequential
+    pass, part by part; those that are cut over parts go through ``_batched_long``,
+    so that no task holds more than a part.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -64,15 +67,57 @@ def batched(rows: DataFrame, by: str, order: str, size: str, budget: int) -> Dat
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[by, order, size, "batch"])
 
-    ordered = rows.select(by, order, F.col(size).cast("long").alias(size)).repartition(by).sortWithinPartitions(by, order)
-    return ordered.mapInArrow(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{size}` long, batch int")
+    placed = scans.spread(rows.select(by, order, F.col(size).cast("long").alias(size)), [by], [order])
+    split = written(scans.spanning(placed, [by]).withColumn("g__", F.monotonically_increasing_id()))
+    short = placed.join(F.broadcast(split), scans.same([by], placed, split), "left_anti")
+    ordered = short.repartition(scans.PART).sortWithinPartitions(scans.PLACE).select(by, order, size)
+    found = ordered.mapInArrow(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{size}` long, batch int")
+    if split.isEmpty():
+        return found
+    long = placed.join(F.broadcast(split), scans.same([by], placed, split)).select("g__", placed[by], order, size)
+    return found.unionByName(_batched_long(long, order, size, budget).select(by, order, size, "batch"))
+
+
+def _batched_long(rows: DataFrame, order: str, size: str, budget: int) -> DataFrame:
+    """``rows`` with ``batch``, for groups ``g__`` of any size.
+
+    A batch that opens at a row ends before the first row at which the sum goes
+    over the budget; with sums up to each row, that row's number is a count of
+    sums, taken for all rows at once by a scan over sums and targets merged in
+    order. That gives each row's next opening. Those that are reached from a
+    group's first row are found by doubling the jumps, in as many rounds as the
+    longest group's number of batches has binary digits.
+    """
+    summed = written(scans.scan(rows, ["g__"], [order], {"i__": scans.row_count(), "s__": scans.running_sum(F.col(size))}))
+    n = F.coalesce(F.col(size), F.lit(0))
+    targets = F.array(
+        F.struct(F.col("s__").alias("v"), F.lit(0).alias("kind")),
+        F.struct((F.col("s__") - n + budget).alias("v"), F.lit(1).alias("kind")),
+        F.when(n == 0, F.struct(F.col("s__").alias("v"), F.lit(2).alias("kind"))),
+    )
+    merged = summed.select("g__", "i__", F.explode(F.array_compact(targets)).alias("t")).select("g__", "i__", "t.v", "t.kind")
+    counted = scans.scan(merged, ["g__"], ["v", "kind", "i__"], {"below__": scans.running_sum((F.col("kind") == 0).cast("long"))})
+    # A sum of 0 opens nothing, so after rows of size 0 the batch takes one row whatever its size.
+    opens = F.greatest(F.max(F.when(F.col("kind") == 1, F.col("below__") + 1)), F.max(F.when(F.col("kind") == 2, F.col("below__") + 2)), F.col("i__") + 1)
+    jumps = written(counted.where("kind > 0").groupBy("g__", "i__").agg(opens.alias("to__")))
+    last = summed.groupBy("g__").agg(F.max("i__").alias("last__"))
+    jumps = written(jumps.join(F.broadcast(last), "g__").where("to__ <= last__").drop("last__"))
+    reached = written(last.select("g__", F.lit(1).cast("long").alias("i__"), F.lit(0).cast("long").alias("b__")))
+    step = 1
+    while not jumps.isEmpty():
+        reached = written(reached.union(reached.join(jumps, ["g__", "i__"]).select("g__", F.col("to__"), F.col("b__") + step)))
+        further = jumps.select("g__", F.col("i__").alias("to__"), F.col("to__").alias("then__"))
+        jumps = written(jumps.join(further, ["g__", "to__"]).select("g__", "i__", F.col("then__").alias("to__")))
+        step *= 2
+    starts = reached.select("g__", "i__", F.lit(1).alias("opens__"))
+    marked = summed.join(starts, ["g__", "i__"], "left")
+    return scans.scan(marked, ["g__"], ["i__"], {"n__": scans.running_sum(F.col("opens__"))}).withColumn("batch", (F.col("n__") - 1).cast("int"))
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list, size: str, budget: int) -> DataFrame:
     """The longest prefix of each group whose sizes sum to the budget; the first row always stays."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__sum", total).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | (F.col("__sum") <= budget)).drop("__sum", "__n")
+    found = scans.scan(rows, by, order, {"__sum": scans.running_sum(F.col(size)), "__n": scans.row_count()})
+    return found.where((F.col("__n") == 1) | (F.col("__sum") <= budget)).drop("__sum", "__n")
 
 
 def first_wins(rows: DataFrame, key: list[Column], order: list) -> DataFrame:
@@ -118,4 +163,5 @@ def best_version(rows: DataFrame, by: list[str], label: str, priority: dict[str,
 
 def chunked(rows: DataFrame, by: list[str], order: list, n: int, name: str = "chunk") -> DataFrame:
     """Fixed-size chunks of each ordered group, numbered from 0."""
-    return rows.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / n).cast("long"))
+    found = scans.scan(rows, by, order, {"__n": scans.row_count()})
+    return found.withColumn(name, F.floor((F.col("__n") - 1) / n).cast("long")).drop("__n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
@@ -26,8 +26,8 @@ def qa_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("turn_numbering", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role = 'user', turn) AS INTEGER) AS unit FROM conversations WHERE role <> 'system' AND length(trim(text)) > 0")
 def turn_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role <> 'system' and length(trim(text)) > 0")
-    return ordering.numbered(turns, ["conv_id"], [F.col("role") == "user", "turn"], "unit").select("conv_id", "turn", "unit")
+    turns = table(spark, sf_dir, "conversations").where("role <> 'system' and length(trim(text)) > 0").select("conv_id", "turn", "role")
+    return ordering.numbered(turns, ["conv_id"], [F.col("role") == "user", "turn"], "unit").select("conv_id", "turn", F.col("unit").cast("int").alias("unit"))
 
 
 @CATALOG.query("last_n_messages", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WHERE n <= 3")
@@ -37,8 +37,8 @@ def last_n_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("speaker_blocks", "SELECT conv_id, count(DISTINCT g) AS blocks, max(c) AS longest FROM (SELECT conv_id, g, count(*) OVER (PARTITION BY conv_id, g) AS c FROM (SELECT conv_id, role, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) || role AS g FROM conversations)) GROUP BY conv_id")
 def speaker_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.concat((F.col("turn") - F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).cast("string"), "role")
-    runs = table(spark, sf_dir, "conversations").select("conv_id", g.alias("g")).groupBy("conv_id", "g").agg(F.count("*").alias("c"))
+    turns = ordering.numbered(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], ["turn"])
+    runs = turns.groupBy("conv_id", "role", F.col("turn") - F.col("n")).agg(F.count("*").alias("c"))
     return runs.groupBy("conv_id").agg(F.count("*").alias("blocks"), F.max("c").alias("longest"))
 
 

@@ -84,7 +84,7 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TOKENS_SQL} SELECT doc_id, file_id, page FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY file_id ORDER BY page) AS s FROM acc) WHERE s <= 2000 OR page = 1""",
 )
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.within_budget(accounted(spark, sf_dir), ["file_id"], ["page"], "n_tokens", 2000).select("doc_id", "file_id", "page")
+    return ordering.within_budget(accounted(spark, sf_dir).select("doc_id", "file_id", "page", "n_tokens"), ["file_id"], ["page"], "n_tokens", 2000).select("doc_id", "file_id", "page")
 
 
 @CATALOG.query("embedding_plan", f"WITH {TOKENS_SQL} SELECT bank, count(*) FILTER (n_tokens > 0) AS n_texts, CAST(ceil(count(*) FILTER (n_tokens > 0) / 100.0) AS BIGINT) AS batches FROM acc GROUP BY bank")
@@ -132,7 +132,7 @@ def workbook_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("fixed_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, file_id, CAST((page - 1) // 7 AS BIGINT) AS chunk FROM chunks")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.chunked(chunks(spark, sf_dir), ["file_id"], ["page"], 7).select("doc_id", "file_id", "chunk")
+    return ordering.chunked(chunks(spark, sf_dir).select("doc_id", "file_id", "page"), ["file_id"], ["page"], 7).select("doc_id", "file_id", "chunk")
 
 
 _INCOMING = "incoming AS (SELECT 'f' || doc_id AS file_id, md5(text || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END) AS hash FROM documents WHERE doc_id % 5 <> 0)"

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylane.operators import scans
+
 # Status that a stage sets, and whether it does so whatever the status is.
 OVERWRITES = {"source_queued": "pending", "availability_checked": "checking", "research_started": "in_progress", "research_strategy": "in_progress"}
 YIELDS = {"partial_availability": "checking", "combo_complete": "in_progress", "combo_incomplete": "incomplete"}
@@ -61,9 +63,9 @@ def snapshot(statuses: DataFrame) -> DataFrame:
 
 def changes(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the one before, the first row of each group included."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    return rows.withColumn("__c", first | ~F.col(value).eqNullSafe(before)).where("__c").drop("__c")
+    found = scans.scan(rows, by, order, {"__before": scans.previous(F.col(value))})
+    changed = F.col("__before").isNull() | ~F.col(value).eqNullSafe(F.col("__before.x"))
+    return found.where(changed).drop("__before")
 
 
 def joined_deltas(deltas: DataFrame, by: list[str], order: str, piece: str) -> DataFrame:
