@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
 from quarrylane.session import scratch, table
-from quarrylane.streaming import progress
+from quarrylane.sources import versions
+from quarrylane.streaming import incremental, progress
 
 CATALOG = Catalog()
 
@@ -64,6 +65,48 @@ def stage_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("stages"), F.count("*").alias("n"))
 
 
+_COMBOS = {"click": "research_started", "view": "combo_complete", "signup": "partial_availability", "purchase": "research_strategy", "error": "combo_incomplete"}
+_SENTENCE = "CASE WHEN len({0}) > 0 THEN '{1} ' || array_to_string({0}, ', ') || '.' END"
+_SENTENCES = ", ".join(_SENTENCE.format(name, start) for name, start in progress.DIGEST.items())
+DIGEST_SQL = f"""e AS (SELECT user_id, 'combo ' || event_id % 13 AS label, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, label, bool_or(t = 'signup') AS u, bool_or(t = 'view') AS c, bool_or(t = 'error') AS i, coalesce(arg_max(t IN ('click', 'purchase'), n) FILTER (t <> 'signup'), false) AS a FROM e GROUP BY user_id, label),
+l AS (SELECT user_id, coalesce(list_sort(list(label) FILTER (u)), []) AS unavailable, coalesce(list_sort(list(label) FILTER (a)), []) AS active,
+  coalesce(list_sort(list(label) FILTER (c)), []) AS completed, coalesce(list_sort(list(label) FILTER (i)), []) AS incomplete FROM s GROUP BY user_id),
+d AS (SELECT user_id, len(unavailable) AS n_unavailable, len(active) AS n_active, len(completed) AS n_completed, len(incomplete) AS n_incomplete, nullif(concat_ws(' ', {_SENTENCES}), '') AS digest FROM l)"""
+
+
+def _combos(events: DataFrame) -> DataFrame:
+    stage = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, _COMBOS)), F.array(*map(F.lit, _COMBOS.values()))), F.col("event_type"))
+    label = F.concat(F.lit("combo "), (F.col("event_id") % 13).cast("string"))
+    return events.select("user_id", label.alias("label"), "ts", "event_id", stage.alias("stage"), F.lit("running").alias("status"), F.col("props").alias("message"))
+
+
+@CATALOG.query(
+    "progress_digest",
+    f"""WITH {DIGEST_SQL}, p AS (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events WHERE event_type = 'purchase' AND trim(props) <> ''),
+    m AS (SELECT user_id, string_agg(props, ' ' ORDER BY b DESC) AS notes FROM p WHERE b <= 2 GROUP BY user_id) SELECT d.*, notes FROM d LEFT JOIN m ON d.user_id IS NOT DISTINCT FROM m.user_id""",
+)
+def progress_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _combos(table(spark, sf_dir, "events"))
+    order = ["ts", "event_id"]
+    told = progress.digest(progress.label_states(events, "user_id", "label", order), "user_id", "label")
+    notes = progress.last_notes(events, "user_id", order, "research_strategy", "message").withColumnRenamed("user_id", "__k")
+    return told.join(notes, F.col("user_id").eqNullSafe(F.col("__k")), "left").drop("__k")
+
+
+@CATALOG.query("stream_progress_digest", f"WITH {DIGEST_SQL} SELECT * FROM d")
+def stream_progress_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digest over a stream of several batches: changed labels go to a versioned table, each batch as one commit."""
+    root, at = (f"{scratch(spark)}/{uuid.uuid4().hex}" for _ in range(2))
+    table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(at)
+    events = _combos(spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 2).parquet(at))
+    states = progress.label_states(events, "user_id", "label", ["ts", "event_id"])
+    keyed = states.withColumn("key", F.to_json(F.struct("user_id", "label")))
+    query = keyed.writeStream.outputMode("update").option("checkpointLocation", f"{at}-state").trigger(availableNow=True)
+    query.foreachBatch(lambda df, i: incremental.upsert_batch(df, i, root, "states", "key", "digest") and None).start().awaitTermination()
+    return progress.digest(versions.rows(spark, root, versions.pin(spark, root), "states"), "user_id", "label")
+
+
 @CATALOG.query("tool_call_deltas", "SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS text, count(*) AS pieces FROM conversations GROUP BY conv_id, role")
 def tool_call_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.col("text").alias("piece"))

@@ -79,6 +79,16 @@ def retire(spark: SparkSession, root: str, keys: DataFrame, tables: tuple[str, .
     return versions.commit(spark, root, plan)
 
 
+def upsert_batch(rows: DataFrame, batch_id: int, root: str, table: str, key: str, stream: str) -> versions.Version:
+    """One batch of a stream in update mode: its rows take the place of those of equal ``key``, in one version, once."""
+
+    def plan(v: versions.Version) -> dict[str, versions.Edit]:
+        fresh = written(rows)
+        return {} if fresh.isEmpty() else {table: versions.replaced_by_key(rows.sparkSession, root, v, table, key, fresh.select(key), fresh)}
+
+    return versions.commit(rows.sparkSession, root, plan, batch=(stream, batch_id))
+
+
 def run_incremental(files: DataFrame, root: str, checkpoint: str, parse: Parser, stream: str = "files") -> StreamingQuery:
     """Apply what has arrived, batch by batch, and stop."""
     return files.writeStream.foreachBatch(lambda df, i: apply_batch(df, i, root, parse, stream) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylane.functions import text
 from quarrylane.operators import scans
 
 # Status that a stage sets, and whether it does so whatever the status is.
@@ -23,6 +24,15 @@ OVERWRITES = {"source_queued": "pending", "availability_checked": "checking", "r
 YIELDS = {"partial_availability": "checking", "combo_complete": "in_progress", "combo_incomplete": "incomplete"}
 COMPLETIONS = {"error": "error", "no_available_data": "unavailable", "partial_success": "partial", "success": "complete"}
 TERMINAL = ("complete", "partial", "unavailable", "error")
+# Stages that say that data is absent or that work on a label ends, statuses that start work, and the digest's sentences.
+ABSENT, ENDS, STARTS = ("partial_availability", "no_available_data"), ("combo_complete", "combo_incomplete"), ("started", "running")
+NOTE_LENGTH = 260
+DIGEST = {
+    "unavailable": "Unavailable data:",
+    "active": "Research in progress for",
+    "completed": "Completed research for",
+    "incomplete": "Incomplete findings for",
+}
 MARKER_START, MARKER_END = "[[CHART_SLOT:", "]]"
 
 
@@ -68,6 +78,44 @@ def changes(rows: DataFrame, by: list[str], order: list[str], value: str) -> Dat
     return found.where(changed).drop("__before")
 
 
+def label_states(events: DataFrame, key: str, label: str, order: list[str], stage: str = "stage", status: str = "status") -> DataFrame:
+    """``key``, ``label`` and what holds of each: ``unavailable``, ``completed``, ``incomplete``, ``active``.
+
+    The first three hold once an event has said so. A label is active if the last
+    of its events that start or end work starts it. Events without a label
+    are left out. One aggregation of a row a label, in batch or on a stream in update mode.
+    """
+    what = F.coalesce(F.col(stage), F.lit(""))
+    absent, ends = what.isin(*ABSENT), what.isin(*ENDS)
+    starts = ~absent & ~ends & F.coalesce(F.col(status).isin(*STARTS), F.lit(False))
+    tagged = events.where(F.col(label).isNotNull()).select(key, label, F.coalesce(absent, F.lit(False)).alias("__u"), what.alias("__w"), F.coalesce(starts, F.lit(False)).alias("__a"), F.struct(*order).alias("__p"))
+    says = F.when(F.col("__a") | F.col("__w").isin(*ENDS), F.col("__p"))
+    once = lambda name: F.coalesce(F.max(F.col("__w") == name), F.lit(False))
+    return tagged.groupBy(key, label).agg(
+        F.max("__u").alias("unavailable"),
+        once(ENDS[0]).alias("completed"),
+        once(ENDS[1]).alias("incomplete"),
+        F.coalesce(F.max_by("__a", says), F.lit(False)).alias("active"),
+    )
+
+
+def digest(states: DataFrame, key: str, label: str) -> DataFrame:
+    """``key``, a count of labels for each of ``DIGEST`` and ``digest``: a sentence for each that has labels, in order; null if none has."""
+    lists = [F.array_sort(F.collect_set(F.when(F.col(name), F.col(label).cast("string")))).alias(name) for name in DIGEST]
+    found = states.groupBy(key).agg(*lists)
+    said = [F.when(F.size(name) > 0, F.concat(F.lit(f"{start} "), F.array_join(name, ", "), F.lit("."))) for name, start in DIGEST.items()]
+    told = F.concat_ws(" ", *said)
+    return found.select(key, *[F.size(name).cast("long").alias(f"n_{name}") for name in DIGEST], F.nullif(told, F.lit("")).alias("digest"))
+
+
+def last_notes(events: DataFrame, key: str, order: list[str], stage: str, message: str, n: int = 2) -> DataFrame:
+    """``key`` and ``notes``: the last ``n`` messages that aren't blank of a stage, in order. Spark keeps ``n`` rows a key and task before the shuffle."""
+    said = events.where((F.col("stage") == stage) & (F.trim(message) != "")).select(key, F.struct(*order).alias("__p"), text.compact(F.col(message), NOTE_LENGTH).alias("__m"))
+    last = said.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__p")))).where(F.col("__n") <= n)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("__p", "__m"))), lambda x: x["__m"])
+    return last.groupBy(key).agg(F.array_join(pieces, " ").alias("notes"))
+
+
 def joined_deltas(deltas: DataFrame, by: list[str], order: str, piece: str) -> DataFrame:
     """Text of each call from its pieces in order; a call is one message, so its pieces fit a row."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(piece).alias("x")))), lambda p: p["x"])

@@ -150,3 +150,20 @@ def test_leading_block_does_not_depend_on_the_cuts(spark):
             assert parse([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]) == w
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", progress.leading_block(F.col("t")).alias("b")).orderBy("i").select("b.*").collect()
     assert [(r.shell or "", r.body) for r in got] == [((s or [""])[0], b) for s, b in want]
+
+
+def test_digest_discards_and_adds(spark):
+    rows = [
+        ("k", "a", 1, "research_started", "running", "first   note"), ("k", "a", 2, "combo_complete", "success", None), ("k", "b", 3, "combo_incomplete", "error", None),
+        ("k", "b", 4, "research_strategy", "running", "second"), ("k", "c", 5, "no_available_data", "running", None), ("k", None, 6, "research_strategy", "started", "third"),
+        (None, "z", 7, "research_strategy", "other", " "), ("k", "a", 8, "unheard", None, None), ("k", "d", 9, None, "started", None),
+    ]
+    events = spark.createDataFrame(rows, "key string, label string, n int, stage string, status string, message string")
+    states = progress.label_states(events, "key", "label", ["n"])
+    told = {r.key: r for r in progress.digest(states, "key", "label").collect()}
+    assert told["k"].digest == "Unavailable data: c. Research in progress for b, d. Completed research for a. Incomplete findings for b."
+    assert (told["k"].n_active, told[None].digest) == (2, None)
+    notes = {r.key: r.notes for r in progress.last_notes(events, "key", ["n"], "research_strategy", "message").collect()}
+    assert notes == {"k": "second third"}
+    assert progress.last_notes(events, "key", ["n"], "research_started", "message").first().notes == "first note"
+    assert progress.digest(progress.label_states(events.limit(0), "key", "label", ["n"]), "key", "label").count() == 0
