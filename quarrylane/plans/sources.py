@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
+from quarrylane.operators import sheet_ranges
 from quarrylane.session import table
 from quarrylane.sources import markup
 
@@ -53,3 +54,25 @@ def cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir).withColumn("text", markup.cell_text(F.col("value"), F.col("numeric"), F.col("percent")))
     return markup.sheet_markdown(cells, ["sheet"])
+
+
+_BALANCE = "CASE WHEN contains(b, '.') THEN rtrim(rtrim(b, '0'), '.') ELSE b END"
+SERIES_SQL = f"""cells AS (SELECT s_suppkey, s_nationkey AS nation, 'sheet' || s_suppkey % 4 AS sheet, CAST(floor(s_suppkey / 4) AS INTEGER) + 1 AS r, s_name AS name,
+  CAST(CAST(round(s_acctbal, 2) AS DECIMAL(12, 2)) AS VARCHAR) AS b FROM supplier),
+series AS (SELECT sheet, nation, min(r) AS lo, max(r) AS hi FROM cells GROUP BY sheet, nation),
+points AS (SELECT s.sheet, s.nation, c.r - s.lo + 1 AS i, c.name || ': ' || {_BALANCE} AS point FROM series s JOIN cells c ON c.sheet = s.sheet AND c.r BETWEEN s.lo AND s.hi)"""
+
+
+@CATALOG.query(
+    "chart_references",
+    f"""WITH {SERIES_SQL} SELECT sheet, nation, count(*) AS n_points, string_agg(point, '; ' ORDER BY i) FILTER (i <= 12) AS preview FROM points GROUP BY sheet, nation""",
+)
+def chart_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series for each sheet and nation, from its first supplier's row to its last one's; names are categories, balances values."""
+    cells = _cells(spark, sf_dir).withColumn("text", markup.cell_text(F.col("value"), F.col("numeric"), F.col("percent"))).withColumn("book", F.lit("book"))
+    supplier = table(spark, sf_dir, "supplier")
+    row = F.floor(F.col("s_suppkey") / 4).cast("int") + 1
+    ends = supplier.groupBy(F.concat(F.lit("sheet"), (F.col("s_suppkey") % 4).cast("string")).alias("sheet"), F.col("s_nationkey").alias("nation")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    ref = lambda c: F.concat(F.lit("'"), "sheet", F.lit(f"'!${c}$"), F.col("lo").cast("string"), F.lit(f":${c}$"), F.col("hi").cast("string"))
+    series = ends.select(F.lit("book").alias("book"), "sheet", "nation", ref("A").alias("categories"), ref("B").alias("values"))
+    return sheet_ranges.previews(sheet_ranges.series_points(series, cells, "book", ["sheet", "nation"]), ["sheet", "nation"])
