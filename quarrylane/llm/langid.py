@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,8 @@ def _lowered(text: str) -> str:
 class Words:
     """Runs of letters and marks with a letter in them, of a list of text pieces; ``first`` indexes the array that has a value per code point.
 
-    ``letters`` counts a word's letters, ``size`` its code points.
+    ``letters`` counts a word's letters, ``size`` its code points; ``goes_on``
+    marks a part that belongs to the word before.
     """
 
     bucket: np.ndarray
@@ -101,28 +103,50 @@ class Words:
     start: np.ndarray
     size: np.ndarray
     letters: np.ndarray
+    goes_on: np.ndarray
 
 
-def words_of(pieces: list[str]) -> Words:
-    joined = "\0" + "\0".join(pieces) + "\0"
+class Piece(NamedTuple):
+    """Part of a text from ``at``. Where a cut goes through a run of letters, ``before`` and ``after`` are the code points across it; ``lead`` is then the script of the run's first."""
+
+    text: str
+    at: int = 0
+    before: str = "\0"
+    after: str = "\0"
+    lead: int = 0
+
+
+def words_of(pieces: list[Piece]) -> Words:
+    """Words of pieces. The parts of a run that is cut are rows of their own, with the trigrams that they have in the whole run."""
+    joined = "".join(p.before + p.text + p.after for p in pieces)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(p.text) + 2 for p in pieces])
+    begins = np.append(0, ends[:-1]) + 1
+    edges = np.concatenate([begins - 1, ends - 1])
+    across = points[edges]
     kind = _classes()[points]
+    kind[edges] = 0
     at = np.flatnonzero(kind)
     marks = kind[at] >= MARK
     if marks.any():
         word = np.cumsum(kind[at - 1] == 0) - 1
         lettered = np.bincount(word, weights=~marks) > 0
+        # A run that is cut has a letter somewhere.
+        inner = np.concatenate([begins, ends - 2])[across > 0]
+        lettered[word[np.searchsorted(at, inner)]] = True
         kind[at[~lettered[word]]] = 0
         at, marks = at[lettered[word]], marks[lettered[word]]
     points = np.where(kind > 0, points, 0).astype(np.uint32)
+    points[edges] = across
     h = points[at - 1] * np.uint32(0x9E3779B1) + points[at] * np.uint32(0x85EBCA77) + points[at + 1] * np.uint32(0xC2B2AE3D)
     bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
     first = np.flatnonzero(kind[at - 1] == 0)
-    begins = np.cumsum([1, *(len(p) + 1 for p in pieces)])
     where = at[first]
     piece = np.searchsorted(begins, where, side="right") - 1
+    goes_on = (where == begins[piece]) & (across[: len(pieces)][piece] > 0)
+    script = np.where(goes_on, np.array([p.lead for p in pieces])[piece], kind[where] & (MARK - 1))
     letters = np.add.reduceat(~marks, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
-    return Words(bucket, first, kind[where] & (MARK - 1), piece, where - begins[piece], np.diff(np.append(first, len(at))), letters)
+    return Words(bucket, first, script, piece, where - begins[piece], np.diff(np.append(first, len(at))), letters, goes_on)
 
 
 @dataclass
@@ -133,10 +157,13 @@ class Model:
     commonest: int  # the language with most training letters, for words without evidence
     penalty: float = SWITCH_PENALTY
 
-    def scores(self, w: Words) -> np.ndarray:
-        """Log score per word and language; a word in a script of no language is no evidence."""
-        out = np.add.reduceat(self.table[w.bucket], w.first, axis=0) if len(w.first) else np.empty((0, len(self.languages)), np.float32)
-        allowed = self.candidates[w.script]
+    def sums(self, w: Words) -> np.ndarray:
+        """Sum of log probabilities per word, or part of one, and language."""
+        return np.add.reduceat(self.table[w.bucket], w.first, axis=0) if len(w.first) else np.empty((0, len(self.languages)), np.float32)
+
+    def scores(self, out: np.ndarray, script: np.ndarray) -> np.ndarray:
+        """Log score per word and language, from sums of whole words; a word in a script of no language is no evidence."""
+        allowed = self.candidates[script]
         out = np.where(allowed, out, np.float32(NOT_CANDIDATE) + out.max(axis=1, keepdims=True, initial=-1e9))
         out[~allowed.any(axis=1)] = 0
         return out - out.max(axis=1, keepdims=True, initial=-1e9)
@@ -193,15 +220,47 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A text in pieces of at most BLOCK code points, cut after white space where there is some."""
-    at = 0
+def _kinds(text: str) -> np.ndarray:
+    return _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
+def _run_letters(text: str, at: int) -> tuple[bool, int]:
+    """Whether the run of letters and marks from ``at`` has a letter; if not, where it ends."""
+    while at < len(text):
+        kinds = _kinds(text[at : at + BLOCK])
+        out = np.flatnonzero(kinds == 0)
+        end = int(out[0]) if len(out) else len(kinds)
+        if (kinds[:end] < MARK).any():
+            return True, at + end
+        at += end
+        if len(out):
+            break
+    return False, at
+
+
+def _pieces(text: str) -> Iterator[Piece]:
+    """A text in pieces of at most BLOCK code points, cut where no word is, or through a run of letters that is longer."""
+    at, before, lead = 0, "\0", 0
     while len(text) - at > BLOCK:
         cut = max(text.rfind(c, at, at + BLOCK) for c in " \n\t") + 1
-        cut = cut if cut > at else at + BLOCK
-        yield text[at:cut]
+        after = "\0"
+        if cut <= at:
+            kinds = _kinds(text[at : at + BLOCK])
+            out = np.flatnonzero(kinds == 0)
+            if len(out):
+                cut = at + int(out[-1]) + 1
+            elif before == "\0" and not (run := _run_letters(text, at))[0]:
+                at = run[1]  # marks alone are no word
+                continue
+            else:
+                cut = at + BLOCK
+                if _kinds(text[cut])[0]:
+                    after = text[cut]
+                    lead = lead if before != "\0" else int(kinds[0] & (MARK - 1))
+        yield Piece(text[at:cut], at, before, after, lead)
+        before, lead = (text[cut - 1], lead) if after != "\0" else ("\0", 0)
         at = cut
-    yield text[at:]
+    yield Piece(text[at:], at, before, "\0", lead)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -222,36 +281,40 @@ def label_words(model: Model, texts: list[str]):
     the same under all.
     """
     for lo, hi in _blocks(texts):
-        pieces, owner, offset = [], [], []
+        pieces, owner = [], []
         for i in range(lo, hi):
-            at = 0
             for p in _pieces(_lowered(texts[i])):
                 pieces.append(p)
                 owner.append(i - lo)
-                offset.append(at)
-                at += len(p)
-        found, starts, sizes, letters, evidence, text = [], [], [], [], [], []
+        sums, starts, sizes, letters, scripts, goes_on, text = [], [], [], [], [], [], []
         group: list[int] = []
 
         def score(group):
             w = words_of([pieces[g] for g in group])
-            found.append(model.scores(w))
-            starts.append(w.start + np.array([offset[g] for g in group])[w.piece])
+            sums.append(model.sums(w))
+            starts.append(w.start + np.array([pieces[g].at for g in group])[w.piece])
             sizes.append(w.size)
             letters.append(w.letters)
-            evidence.append(model.candidates[w.script].any(axis=1))
+            scripts.append(w.script)
+            goes_on.append(w.goes_on)
             text.append(np.array([owner[g] for g in group])[w.piece])
 
         size = 0
         for g, p in enumerate(pieces):
-            if group and size + len(p) > BLOCK:
+            if group and size + len(p.text) > BLOCK:
                 score(group)
                 group, size = [], 0
             group.append(g)
-            size += len(p)
+            size += len(p.text)
         if group:
             score(group)
-        scores, start, n, n_letters, known, text = (np.concatenate(x) for x in (found, starts, sizes, letters, evidence, text))
+        sums, start, n, n_letters, script, more, text = (np.concatenate(x) for x in (sums, starts, sizes, letters, scripts, goes_on, text))
+        if more.any():
+            whole = np.flatnonzero(~more)
+            sums, n, n_letters = (np.add.reduceat(x, whole, axis=0) for x in (sums, n, n_letters))
+            start, script, text = start[whole], script[whole], text[whole]
+        scores = model.scores(sums, script)
+        known = model.candidates[script].any(axis=1)
         at = np.searchsorted(text, np.arange(hi - lo + 1))
         full = np.flatnonzero(np.diff(at))
         labels = np.zeros(len(scores), dtype=np.int16)
@@ -323,11 +386,11 @@ def train(
                     scripts[lang] = np.zeros(N_SCRIPTS, dtype=np.int64)
                 group, size = [], 0
                 for p in (p for t in texts for p in _pieces(_lowered(t))):
-                    if group and size + len(p) > BLOCK:
+                    if group and size + len(p.text) > BLOCK:
                         _add(counts[lang], scripts[lang], group)
                         group, size = [], 0
                     group.append(p)
-                    size += len(p) + 1
+                    size += len(p.text) + 2
                 _add(counts[lang], scripts[lang], group)
         yield from rows()
 
@@ -358,7 +421,7 @@ def train(
     return Model(languages, table, scripts >= np.maximum(1, SCRIPT_SHARE * letters), int(letters.argmax()) if languages else 0, penalty)
 
 
-def _add(counts: np.ndarray, scripts: np.ndarray, pieces: list[str]) -> None:
+def _add(counts: np.ndarray, scripts: np.ndarray, pieces: list[Piece]) -> None:
     w = words_of(pieces)
     counts += np.bincount(w.bucket, minlength=BUCKETS)
     scripts += np.bincount(w.script, weights=w.letters, minlength=N_SCRIPTS).astype(np.int64)

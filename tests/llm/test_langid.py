@@ -1,3 +1,4 @@
+import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -186,3 +187,25 @@ def test_long_text_in_pieces(spark, model, monkeypatch):
     whole = [[x.tolist() for x in words] for words in langid.label_words(model, texts)]
     monkeypatch.setattr(langid, "BLOCK", 500)
     assert [[x.tolist() for x in words] for words in langid.label_words(model, texts)] == whole
+
+
+def test_cut_runs_of_letters_score_as_whole_ones(model, monkeypatch):
+    """Runs longer than a block, of letters, of letters and marks, and of marks alone, give the words and trigrams of the whole text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeéжя́́ -א") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["́" * 40, "́" * 40 + "a", "a" + "́" * 40, "x" * 41 + " " + "́" * 30 + " y", "ж" * 20 + "a" * 20, ""]
+
+    def outcome():
+        labelled = [[x.tolist() for x in words] for words in langid.label_words(model, texts)]
+        counts, scripts = np.zeros(langid.BUCKETS, dtype=np.int64), np.zeros(langid.N_SCRIPTS, dtype=np.int64)
+        for t in texts:
+            langid._add(counts, scripts, list(langid._pieces(langid._lowered(t))))
+        return labelled, counts, scripts
+
+    labelled, counts, scripts = outcome()
+    for block in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        cut, cut_counts, cut_scripts = outcome()
+        assert [x[1:] for x in cut] == [x[1:] for x in labelled]
+        assert np.array_equal(cut_counts, counts) and np.array_equal(cut_scripts, scripts)
+        assert sum(a[0] != b[0] for a, b in zip(cut, labelled, strict=True)) == 0
