@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.catalog import Catalog
 from quarrylane.functions import text
-from quarrylane.operators import chunking, merge, ordering
+from quarrylane.operators import chunking, merge, ordering, scans
 from quarrylane.plans.views import CHUNKS_SQL, chunks
 from quarrylane.session import table
 
@@ -257,7 +257,7 @@ _AVAIL = "avail AS (SELECT source AS bank, list_sort(list_distinct(list(lang)))
 
 @CATALOG.query("availability_rollup", f"WITH {_AVAIL} SELECT bank, array_to_string(names, ',') AS database_names FROM avail")
 def availability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = merge.availability(chunks(spark, sf_dir), ["bank"], "source_type")
+    rows = merge.availability(chunks(spark, sf_dir, pages=False), ["bank"], "source_type")
     return rows.select("bank", F.array_join("database_names", ",").alias("database_names"))
 
 
@@ -266,7 +266,7 @@ def availability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     combos = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.concat(F.lit("src"), (F.col("o_orderkey") % 30).cast("string")).alias("bank"), F.expr("case o_orderkey % 3 when 0 then 'es' when 1 then 'fr' else 'xx' end").alias("source_type")
     )
-    return merge.availability_lookup(combos, merge.availability(chunks(spark, sf_dir), ["bank"], "source_type"), ["bank"], "source_type").select("o_orderkey", "available")
+    return merge.availability_lookup(combos, merge.availability(chunks(spark, sf_dir, pages=False), ["bank"], "source_type"), ["bank"], "source_type").select("o_orderkey", "available")
 
 
 _OFFERS = """nat AS (SELECT n_nationkey, n_name, r_name, upper(substr(n_name, 1, 3)) AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -315,7 +315,7 @@ def availability_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(b.bank, a.bank) AS bank, CASE WHEN b.bank IS NULL THEN a.n ELSE b.n END AS n, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.names, []), coalesce(b.names, [])))), ',') AS names FROM a FULL OUTER JOIN b ON a.bank = b.bank""",
 )
 def upsert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
+    c = chunks(spark, sf_dir, pages=False)
     roll = lambda rows: rows.groupBy("bank").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source_type")).alias("names"))
     out = merge.upsert_union(roll(c.where("doc_id % 2 = 0")), roll(c.where("doc_id % 2 = 1")), ["bank"], "names")
     return out.withColumn("names", F.array_join("names", ","))
@@ -381,7 +381,8 @@ def unit_section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("document_order", f"WITH {CHUNKS_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY bank ORDER BY file_id, page) AS INTEGER) AS place FROM chunks")
 def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("doc_id", F.row_number().over(Window.partitionBy("bank").orderBy("file_id", "page")).alias("place"))
+    rows = chunks(spark, sf_dir, n=F.lit(0)).select("doc_id", "bank", "file_id", "page")
+    return scans.scan(rows, ["bank"], ["file_id", "page"], {"place": scans.row_count()}).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @CATALOG.query("call_period", r"SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(t, '(?i)\bQ([1-4])\s+(20\d{2})\s+Earnings\s+Call\b', 1), '') AS INTEGER) AS quarter, TRY_CAST(nullif(regexp_extract(t, '(?i)\bQ([1-4])\s+(20\d{2})\s+Earnings\s+Call\b', 2), '') AS INTEGER) AS year FROM (SELECT o_orderkey, 'Bank Q' || o_orderkey % 6 || ' 20' || 10 + o_orderkey % 20 || ' earnings call' AS t FROM orders)")

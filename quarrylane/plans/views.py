@@ -14,17 +14,42 @@ CHUNKS_SQL = """chunks AS (
   FROM documents)"""
 
 
-def chunks(spark: SparkSession, sf_dir: str, **counted: Column) -> DataFrame:
+#: Width of the id ranges in which pages are numbered first.
+ID_RANGE = 4096
+
+
+def _ranks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``page``: a row's rank by id among its source and language, however many rows share them.
+
+    A window numbers each source's and language's rows of one range of ids; the
+    rows of the ranges before come from a table of counts, one row for each
+    range. A source and language is thus never sorted in one task.
+    """
+    span = F.floor(F.col("doc_id") / ID_RANGE)
+    counts = docs.groupBy("source", "lang", span.alias("__span")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("source", "lang").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("__span").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("source", "lang", "__span").orderBy("doc_id"))
+    placed = docs.withColumn("__span", span).withColumn("__place", place)
+    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("__span").eqNullSafe(F.col("__of"))
+    joined = placed.join(offsets, same).withColumn("page", (F.col("__place") + F.col("__before")).cast("long"))
+    return joined.drop("__span", "__place", "__source", "__lang", "__of", "__before")
+
+
+def chunks(spark: SparkSession, sf_dir: str, pages: bool = True, **counted: Column) -> DataFrame:
     """Chunks with their texts, or, with ``counted``, without them but with those expressions over the text.
 
     What is counted in a text is counted before pages are numbered, so that texts stay out of the numbering's exchange.
+    Plans that need neither pages nor texts say ``pages=False`` and have no exchange.
     """
     docs = table(spark, sf_dir, "documents")
-    page = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).cast("long")
     names = ["doc_id", F.col("source").alias("bank"), F.col("lang").alias("source_type"), F.concat_ws("_", "source", "lang").alias("file_id"), "n_chars"]
+    if not pages:
+        return docs.select(*names)
     if counted:
-        return docs.select("doc_id", "source", "lang", "n_chars", *[c.alias(n) for n, c in counted.items()]).select(*names, *counted, page.alias("page"))
-    return docs.select(*names, "text", page.alias("page"))
+        rows = docs.select("doc_id", "source", "lang", "n_chars", *[c.alias(n) for n, c in counted.items()])
+        return _ranks(rows).select(*names, *counted, "page")
+    return _ranks(docs.select("doc_id", "source", "lang", "n_chars", "text")).select(*names, "text", "page")
 
 
 #: Facts: revenue of orders by nation (bank), order priority (segment), year and quarter.
