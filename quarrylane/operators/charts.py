@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.operators.facts import tolerance
 
+#: Charts of a plan, series of a panel and points of a series that are kept.
+PLANNED, SERIES, POINTS = 4, 6, 40
 NUMBERS = ("value", "x", "y", "start", "end")
 # Least points and series of each kind of chart.
 LEAST_POINTS = {"trend_line": 2, "trend_bar": 2, "peer_rank_bar": 2, "delta_bar": 1, "composition_stacked_bar": 2, "composition_100_bar": 2, "waterfall": 3, "scatter_plot": 4, "heatmap": 4}
+TERM = "[a-z][a-z0-9]+"
+# Words of a question that name no subject, and the words that also stand for one.
+STOP_WORDS = """a about across all also and any are bmo bns bank banks between by can cibc cm chart compare comparison create data for from graph how in is me
+metric metrics na nbc of on performance period q1 q2 q3 q4 ratio rbc result results royal ry scotia scotiabank show summarize td tell the to trend us value values
+versus vs what with year""".split()
+ALIASES = {
+    "capital": "capital cet1 rwa leverage tier basel", "cet1": "capital cet1 tier", "rwa": "capital rwa risk weighted assets",
+    "credit": "credit pcl provision provisions allowance impaired delinquency", "quality": "quality credit pcl impaired delinquency",
+    "pcl": "pcl provision provisions credit loss losses quality", "revenue": "revenue sales income",
+    "earnings": "earnings income profit profitability roe eps", "roe": "roe return equity profitability", "roa": "roa return assets profitability",
+    "eps": "eps earnings share", "profitability": "profitability roe roa margin income", "expense": "expense expenses cost efficiency",
+    "expenses": "expense expenses cost efficiency", "efficiency": "efficiency expense expenses cost", "margin": "margin nim spread",
+    "nim": "nim net interest margin spread", "deposit": "deposit deposits funding", "deposits": "deposit deposits funding",
+    "loan": "loan loans lending growth", "loans": "loan loans lending growth",
+}
 SERIES_CHARTS = ("multi_series_line", "slopegraph", "small_multiple_panel")
 
 
@@ -52,3 +71,94 @@ def slot_artifacts(slots: DataFrame, candidates: DataFrame) -> DataFrame:
     joined = slots.join(candidates, "slot_id").where(F.size(F.array_except("used_ids", "evidence_ids")) == 0)
     order = Window.partitionBy("slot_id").orderBy((F.col("chart") != F.col("chart_type")).cast("int"), F.desc("score"), "candidate_id")
     return joined.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("slot_id", "candidate_id", "chart")
+
+
+def subjects(question: str) -> list[str]:
+    """Words of a question that name a subject, with those that also stand for it; years and stop words are none."""
+    words = {w for w in re.findall(TERM, question.lower()) if w not in STOP_WORDS and not re.fullmatch(r"20\d{2}", w)}
+    return sorted(words.union(*(ALIASES[w].split() for w in words if w in ALIASES)))
+
+
+def relevant(shown: Column, question: str) -> Column:
+    """Whether a chart's title and labels name a subject of the question; a question without any fits every chart."""
+    wanted = subjects(question)
+    if not wanted:
+        return F.lit(True)
+    return F.arrays_overlap(F.regexp_extract_all(F.lower(F.coalesce(shown, F.lit(""))), F.lit(TERM), F.lit(0)), F.array(*map(F.lit, wanted)))
+
+
+def planned(charts: DataFrame, question: str, by: list[str], order: str, most: int = PLANNED) -> DataFrame:
+    """The first ``most`` charts of each plan that have the data they need and fit the question, with ``slot`` from 1.
+
+    ``charts``: ``by``, ``order`` (tells a plan's charts apart), ``chart``, ``shown``, ``n_points``, ``n_series``, ``xy``.
+    """
+    fit = charts.where(enough(F.col("chart"), F.col("n_points"), F.col("n_series"), F.col("xy")) & relevant(F.col("shown"), question))
+    return fit.withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("slot") <= most)
+
+
+def facts_of_slots(slots: DataFrame, facts: DataFrame) -> DataFrame:
+    """``slot_id``, ``chart_type`` and the facts that each slot asks for.
+
+    ``slots``: ``slot_id``, ``chart_type``, ``banks``, ``periods``, ``metrics``;
+    ``facts``: ``pos``, ``bank``, ``period``, ``metric_key``, ``unit``, ``value``. An empty
+    or null list of periods or metrics asks for all. A slot has banks, or it has
+    no facts. Banks are equal but for case; of metrics, one holds the other.
+    """
+    s = slots.select("slot_id", "chart_type", "periods", "metrics", F.explode(F.array_distinct(F.transform("banks", F.lower))).alias("__bank"))
+    anyway = F.size(F.coalesce("periods", F.array().cast(slots.schema["periods"].dataType))) == 0
+    dated = s.where(~anyway).withColumn("__period", F.explode(F.array_distinct("periods")))
+    f = facts.select("pos", "bank", "period", "metric_key", "unit", "value", F.lower("bank").alias("__of"))
+    same_bank = F.col("__bank") == F.col("__of")
+    near = lambda m: F.contains(F.col("metric_key"), F.lower(m)) | F.contains(F.lower(m), F.col("metric_key"))
+    no_metrics = F.size(F.coalesce("metrics", F.array().cast("array<string>"))) == 0
+    met = dated.join(f, same_bank & (F.col("__period") == F.col("period"))).drop("__period").unionByName(s.where(anyway).join(f, same_bank))
+    return met.where(no_metrics | F.exists("metrics", near)).select("slot_id", "chart_type", "pos", "bank", "period", "metric_key", "unit", "value")
+
+
+def panels(facts: DataFrame, series: int = SERIES, points: int = POINTS) -> DataFrame:
+    """``slot_id``, ``series`` of each slot with small multiples: its first metrics and units by name, each with two points or more.
+
+    Fewer than two such series make no panel. ``facts`` are those of
+    ``facts_of_slots``. A point's label is its period, or its bank if a series has one
+    period. Points are cut before they are brought together.
+    """
+    group = ["slot_id", "metric_key", "unit"]
+    counts = facts.groupBy(*group).agg(F.count("*").alias("n"), F.countDistinct("period").alias("periods"))
+    place = F.row_number().over(Window.partitionBy("slot_id").orderBy("metric_key", "unit"))
+    shown = counts.withColumn("__n", place).where((F.col("__n") <= series) & (F.col("n") >= 2)).drop("__n", "n")
+    order = F.row_number().over(Window.partitionBy(*group).orderBy("period", "bank", "pos"))
+    first = facts.withColumn("__i", order).where(F.col("__i") <= points).join(shown, group)
+    label = F.when(F.col("periods") > 1, F.col("period").cast("string")).otherwise(F.col("bank"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__i", label.alias("label"), "period", "bank", "value"))), lambda p: p.dropFields("__i"))
+    of_group = first.groupBy(*group).agg(listed.alias("points"))
+    return of_group.groupBy("slot_id").agg(F.array_sort(F.collect_list(F.struct("metric_key", "unit", "points"))).alias("series")).where("size(series) >= 2")
+
+
+def slot_charts(slots: DataFrame, facts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each slot's chart: ``slot_id``, ``tier``, ``candidate_id``, ``metric_key``, ``unit``, ``series``.
+
+    A slot for small multiples takes its panel; else the best candidate of its
+    type whose evidence, not none, the slot's covers (``tier`` ``candidate``); else the
+    first metric and unit among its facts that suits the type: for a ranking
+    one period and several banks, for a trend one bank and several periods, for
+    several series both. A slot without any has no row. ``slots`` also have
+    ``evidence_ids``; ``candidates`` are those of ``slot_artifacts``.
+    """
+    met = facts_of_slots(slots, facts)
+    no_id, no_text = F.lit(None).cast(candidates.schema["candidate_id"].dataType), F.lit(None).cast("string")
+    panel = panels(met.where("chart_type = 'small_multiple_panel'"))
+    none = F.lit(None).cast(panel.schema["series"].dataType)
+    found = panel.select("slot_id", F.lit(0).alias("__t"), no_id.alias("candidate_id"), no_text.alias("metric_key"), no_text.alias("unit"), "series")
+    wanted = slots.select("slot_id", "chart_type", "evidence_ids").join(candidates, "slot_id").where("chart = chart_type and size(used_ids) > 0 and size(array_except(used_ids, evidence_ids)) = 0")
+    best = wanted.groupBy("slot_id").agg(F.min_by("candidate_id", F.struct((-F.col("score")).alias("s"), "candidate_id")).alias("candidate_id"))
+    found = found.unionByName(best.select("slot_id", F.lit(1).alias("__t"), "candidate_id", no_text.alias("metric_key"), no_text.alias("unit"), none.alias("series")))
+    groups = met.groupBy("slot_id", "chart_type", "metric_key", "unit").agg(
+        F.count("*").alias("n"), F.countDistinct("bank").alias("banks"), F.countDistinct("period").alias("periods"), F.min("pos").alias("first")
+    )
+    suits = F.when(F.col("chart_type") == "peer_rank_bar", (F.col("periods") == 1) & (F.col("banks") >= 2))
+    suits = suits.when(F.col("chart_type").isin("trend_line", "trend_bar"), (F.col("banks") == 1) & (F.col("periods") >= 2))
+    suits = suits.when(F.col("chart_type") == "multi_series_line", (F.col("banks") >= 2) & (F.col("periods") >= 2)).otherwise(False)
+    own = groups.where(suits).groupBy("slot_id").agg(F.min(F.struct("first", "metric_key", "unit")).alias("g"))
+    found = found.unionByName(own.select("slot_id", F.lit(2).alias("__t"), no_id.alias("candidate_id"), "g.metric_key", "g.unit", none.alias("series")))
+    first = found.groupBy("slot_id").agg(F.min_by(F.struct("__t", "candidate_id", "metric_key", "unit", "series"), "__t").alias("r")).select("slot_id", "r.*")
+    return first.withColumn("tier", F.element_at(F.array(F.lit("panel"), F.lit("candidate"), F.lit("facts")), F.col("__t") + 1)).drop("__t")

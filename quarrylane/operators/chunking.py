@@ -98,20 +98,21 @@ def item_records(chunks: DataFrame, pages: DataFrame, sheets: DataFrame, by: str
     )
 
 
-def unpivot(units: DataFrame, unit: str, content: str, facets: dict[str, str]) -> DataFrame:
-    """Long-form rows of each unit: its content and each term of its facets, with ids that name them.
+def unpivot(units: DataFrame, unit: str, content: str, facets: dict[str, str], keep: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """Long-form rows of each unit: its content and each term of its facets, with ids that name them, beside the columns ``keep``.
 
-    ``facets`` maps a kind to an array column. One pass over the units.
+    ``facets`` maps a kind to an array column. Terms are numbered from ``first``. One pass over the units.
     """
     uid = F.col(unit).cast("string")
     rows = F.array(F.struct(F.concat(uid, F.lit("::content")).alias("embedding_id"), F.lit("content").alias("embedding_type"), F.col(content).alias("term")))
     for kind, column in facets.items():
-        rows = F.concat(rows, F.transform(F.coalesce(column, F.array().cast("array<string>")), _facet(uid, kind)))
-    return units.select(unit, F.explode(rows).alias("r")).select("r.embedding_id", unit, "r.embedding_type", "r.term")
+        rows = F.concat(rows, F.transform(F.coalesce(column, F.array().cast("array<string>")), _facet(uid, kind, first)))
+    return units.select(unit, *keep, F.explode(rows).alias("r")).select("r.embedding_id", unit, "r.embedding_type", "r.term", *keep)
 
 
-def _facet(uid: Column, kind: str):
+def _facet(uid: Column, kind: str, first: int):
     def row(term, i):
+        i = i + first
         ident = F.concat(uid, F.lit(f"::{kind}::"), F.lpad(i.cast("string"), F.greatest(F.lit(3), F.length(i.cast("string"))), F.lit("0")), F.lit("::"), F.substring(F.sha2(term, 256), 1, 12))
         return F.struct(ident.alias("embedding_id"), F.lit(kind).alias("embedding_type"), term.alias("term"))
 
@@ -140,3 +141,33 @@ def workbook_findings(cells: DataFrame, sheets: DataFrame, on: list[str], title:
     missing = uncached.select(*on, F.lit("formula_cache_missing").alias("code"), F.lit("medium").alias("severity"), "n")
     named = sheets.where(F.lower(F.trim(title)).isin(*system))
     return missing.unionByName(named.select(*on, F.lit("system_sheet_emitted").alias("code"), F.lit("high").alias("severity"), F.lit(1).cast("long").alias("n")))
+
+
+def index_rows(units: DataFrame, sections: DataFrame, documents: DataFrame, facets: dict[str, str]) -> DataFrame:
+    """Long-form rows of all that is embedded: units by content and facet, sections and documents by their summaries.
+
+    ``units``: ``document_id``, ``section_id``, ``unit_id``, ``content`` and the
+    facets' arrays; ``sections``: ``document_id``, ``section_id``, ``summary``;
+    ``documents``: ``document_id``, ``summary``. Returns ``embedding_id``,
+    ``embedding_type``, ``embedding_scope``, ``document_id``, ``section_id``,
+    ``unit_ids``, ``text``, ``text_hash``. A section or document lists its units in
+    order; one with a blank summary has no row, nor has a unit's blank content.
+    A document is a file, whose units are as few as its pages.
+    """
+    key = F.concat(F.col("document_id").cast("string"), F.lit("::"))
+    none = F.lit(None).cast("string")
+    named = units.withColumns({"__id": F.concat(key, F.col("unit_id").cast("string")), "section_id": F.col("section_id").cast("string"), "unit_ids": F.array("unit_id")})
+    own = unpivot(named, "__id", "content", facets, ("document_id", "section_id", "unit_ids"), first=1)
+    small = own.select("embedding_id", "embedding_type", F.lit("content_unit").alias("embedding_scope"), "document_id", "section_id", "unit_ids", F.col("term").alias("text"))
+    listed = lambda by: units.groupBy(*by).agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
+    empty = F.array().cast(units.select(F.array("unit_id").alias("a")).schema["a"].dataType)
+    s = sections.join(listed(["document_id", "section_id"]), ["document_id", "section_id"], "left")
+    of_section = s.select(
+        F.concat(key, F.lit("section::"), F.col("section_id").cast("string"), F.lit("::summary")).alias("embedding_id"), F.lit("section_summary").alias("embedding_type"), F.lit("section").alias("embedding_scope"),
+        "document_id", F.col("section_id").cast("string").alias("section_id"), F.coalesce("unit_ids", empty).alias("unit_ids"), F.col("summary").alias("text"),
+    )
+    of_document = documents.join(listed(["document_id"]), "document_id", "left").select(
+        F.concat(key, F.lit("document_summary")).alias("embedding_id"), F.lit("document_summary").alias("embedding_type"), F.lit("document").alias("embedding_scope"),
+        "document_id", none.alias("section_id"), F.coalesce("unit_ids", empty).alias("unit_ids"), F.col("summary").alias("text"),
+    )
+    return small.unionByName(of_section).unionByName(of_document).where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text_hash", F.sha2("text", 256))

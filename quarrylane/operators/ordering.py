@@ -165,3 +165,14 @@ def chunked(rows: DataFrame, by: list[str], order: list, n: int, name: str = "ch
     """Fixed-size chunks of each ordered group, numbered from 0."""
     found = scans.scan(rows, by, order, {"__n": scans.row_count()})
     return found.withColumn(name, F.floor((F.col("__n") - 1) / n).cast("long")).drop("__n")
+
+
+def grouped_by_first(rows: DataFrame, by: list[str], key: list[str], order: str) -> DataFrame:
+    """``rows`` with ``group_no`` and ``place``: keys of each ``by`` numbered from 1 in the order of their first row, and rows of each key likewise.
+
+    ``order`` should tell a group's rows apart. Groups and keys may have any number of rows: both numbers come from scans.
+    """
+    head = {"first__": scans.first_value(F.col(order)), "place": scans.row_count()}
+    placed = scans.scan(rows, [*by, *key], [order], head).withColumn("first__", F.col("first__.x"))
+    opens = scans.running_sum((F.col("place") == 1).cast("long"))
+    return scans.scan(placed, by, ["first__", order], {"group_no": opens}).drop("first__")

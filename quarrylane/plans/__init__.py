@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylane.catalog import Query
 
-MODULES = ("search", "etl", "dialogue", "analytics", "progress", "sources", "scoping", "records", "scoped", "fulltext", "tables", "model_records", "versioned")
+MODULES = ("search", "etl", "dialogue", "analytics", "progress", "sources", "scoping", "records", "scoped", "fulltext", "tables", "model_records", "versioned", "planned")
 
 
 def _catalogs():
