@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.staging import components, staged
+from quarrylane.llm.staging import components, hot_bound, met, staged
 from quarrylane.operators.ordering import numbered_globally
 
 THRESHOLD = 0.9
@@ -44,6 +44,8 @@ ORDER_BY, CELL_BITS, BOX = 12, 2, 32
 PAGE_TILES = 512
 #: Up to so many ends of tile pairs are broadcast.
 BROADCAST_PAIRS = 100_000
+#: Bytes of vectors with many copies that are broadcast at most.
+HOT_BYTES = 1 << 25
 #: Shares of the coordinates after which a pair's bound is taken.
 CUTS = (0.25, 0.5, 0.75)
 #: Rounding allowed for before a pair is verified as given.
@@ -239,7 +241,7 @@ def near_duplicates(
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h", F.when(F.col("ok"), F.xxhash64("v")))
     grouped = rows.where("ok").groupBy("h", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     distinct = staged(grouped.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    stats = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    stats = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.sum("copies").alias("rows")).first()
     if not stats.n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = stats.dim
@@ -263,11 +265,15 @@ def near_duplicates(
     edges = staged(dealt.groupBy("pair").applyInArrow(run, "uid long, links long, root long"), "links")
     roots = components(edges.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     degrees = edges.groupBy("uid").agg(F.sum("links").alias("links"))
-    joined = distinct.select("uid", "h", "v", "copies", "first_id").join(degrees, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-    found = joined.select("h", "v", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"), "first_id", F.coalesce("root", "uid").alias("root"))
-    smallest = found.groupBy("root").agg(F.min("first_id").alias("component"))
-    found = found.join(smallest, "root").select("h", F.col("v").alias("fv"), "n_links", "component")
-    out = rows.join(found, (rows.h == found.h) & (rows.v == found.fv), "left")
+    narrow = distinct.select("uid", "copies", "first_id").join(degrees, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+    narrow = narrow.select("uid", "copies", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"), "first_id", F.coalesce("root", "uid").alias("root"))
+    smallest = narrow.groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("members"))
+    rooted = met(narrow, smallest, ["root"], "members", hot_bound(stats.n))
+    found = distinct.select("uid", "h", "v").join(staged(rooted.select("uid", "copies", "n_links", "component"), "found"), "uid")
+    # Vectors with many copies come to them; how many these can be is bounded by their bytes.
+    of_copy = met(rows.where("ok"), found, ["h", "v"], "copies", hot_bound(stats.rows, HOT_BYTES // (8 * dim)))
+    none = F.lit(None).cast("long")
+    out = of_copy.select("vec_id", "ok", "n_links", "component").unionByName(rows.where(~F.col("ok")).select("vec_id", "ok", none.alias("n_links"), none.alias("component")))
     component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select(
         "vec_id",

@@ -34,6 +34,26 @@ def discard(df: DataFrame | None) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Rows of a key from which it is common, and common keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
+
+
+def hot_bound(rows: int, keys: int = HOT_KEYS) -> int:
+    """Rows of a key beyond which it is common, so that of ``rows`` at most ``keys`` keys are."""
+    return max(HOT_ROWS, -(-rows // max(1, keys)))
+
+
+def met(rows: DataFrame, table: DataFrame, on: list[str], n: str, hot: int) -> DataFrame:
+    """``rows`` with what ``table`` holds for their keys; keys it lacks go. ``table`` has a row a key, and ``n``, the number of rows with it.
+
+    A key of more than ``hot`` rows is broadcast, so its rows stay where they
+    are; their number is bounded by ``hot_bound``. Others meet in a shuffle.
+    """
+    common = F.broadcast(table.where(F.col(n) > hot))
+    others = table.where(F.col(n) <= hot)
+    return rows.join(common, on).unionByName(rows.join(common.select(*on), on, "left_anti").join(others, on))
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

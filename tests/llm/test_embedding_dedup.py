@@ -119,3 +119,19 @@ def test_wide_vectors(spark):
     rows = [(i, [float(x) for x in base[i % 6] + (0.1 if i < 12 else 3.0) * rng.normal(size=3072)]) for i in range(18)]
     assert E.TILE_BYTES // (8 * 3072) < E.TILE_ROWS
     assert found(E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_rows=5)) == brute([i for i, _ in rows], [v for _, v in rows])
+
+
+def test_common_vectors_come_to_their_copies(spark, monkeypatch):
+    """Copies and components beyond the bound take the broadcast path, and give what the shuffle gives."""
+    from quarrylane.llm import staging
+
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(12, 6))
+    near = [vectors[0] + rng.normal(size=6) * 0.01 for _ in range(30)]
+    rows = [(i, (near[i % 30] if i % 3 else vectors[i % 4]).tolist()) for i in range(240)] + [(900 + i, None) for i in range(40)] + [(500 + i, [0.0] * 6) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute([i for i, _ in rows], [v for _, v in rows])
+    assert found(E.near_duplicates(table)) == want
+    monkeypatch.setattr(staging, "HOT_ROWS", 9)
+    assert found(E.near_duplicates(table)) == want
+    assert staging.hot_bound(10**12, 100) == 10**10 and staging.hot_bound(5, 100) == 9
