@@ -18,11 +18,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions.fulltext import LABEL_WEIGHTS, TOKEN, tokens
-from quarrylane.functions.stems import STOP_WORDS, stem, stems
+from quarrylane.functions.stems import STOP_WORDS, inflections, stem, stems
 
 #: Forms of a query's stems up to so many are broadcast with their stems.
 BROADCAST_FORMS = 100_000
@@ -76,6 +76,16 @@ def dictionary(docs: DataFrame, fields: dict[str, str], first_letters: str | Non
     return distinct.where(~F.col("word").isin(*STOP_WORDS)).withColumn("stem", stems(F.col("word")))
 
 
+def inflected(spark: SparkSession, query: str) -> DataFrame:
+    """``word``, ``stem`` of all inflections of a query's stems, also those with two endings: forms for ``ranked`` that need no pass over the rows.
+
+    A word that is an inflection of several stems counts for the longest.
+    """
+    wanted = sorted({s for a in parsed(query) for t in (*a.needed, *a.excluded) for s, _ in t}, key=lambda s: (len(s), s))
+    forms = {w: s for s in wanted for w in inflections(s) if w not in STOP_WORDS}
+    return spark.createDataFrame(list(forms.items()), "word string, stem string")
+
+
 def _weighed(weight: float):
     return lambda t: F.struct(t.alias("word"), F.lit(weight).alias("weight"))
 
@@ -135,7 +145,7 @@ def ranked(docs: DataFrame, key: str, fields: dict[str, str], query: str, forms:
 
     A cover adds the harmonic mean of its words' weights, divided by one more
     than the other words that stand in it. ``fields`` maps text columns to
-    weight labels. ``forms`` is a stored ``dictionary``; without one the forms
+    weight labels. ``forms`` is a stored ``dictionary``, or ``inflected``; without one the forms
     are looked for in the rows. A query of stop words or of exclusions alone
     matches nothing; a null text is empty, and a null key is a key of its own.
     """

@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from quarrylane.functions.fulltext import LABEL_WEIGHTS
-from quarrylane.functions.stems import STOP_WORDS, stem
+from quarrylane.functions.stems import STOP_WORDS, inflections, stem
 from quarrylane.operators import boolean_text as B
+from quarrylane.plans import fulltext as F
 
 FIELDS = {"name": "A", "body": "C"}
 
@@ -85,3 +87,19 @@ def test_stems():
     known = "consign consign consigned consign consistency consist consolation consol knightly knight kneeling kneel hopping hop hoping hope happily happili generously generous communication communic relational relat sensibly sensibl replacement replac adoption adopt controlling control agreed agre running run dying die skies sky news news revenues revenu earnings earn"
     words = known.split()
     assert {w: stem(w) for w in words[::2]} == dict(zip(words[::2], words[1::2], strict=True))
+
+
+@pytest.mark.parametrize("name", ["fulltext_and", "fulltext_not", "fulltext_phrase_or"])
+def test_queries_know_words_with_two_endings(spark, tmp_path, name):
+    texts = ["tionlyly of ment", "tionesing x mente", "Tioninging de rewhinging", "tioneded, ments eauinged", "tionesly de tion de", "tion ment eau", "rewhesly tionedsed ment", "tioness ment tionlyingly ment", "tionings de", "tion des tioned ded", ""]
+    spark.createDataFrame([*enumerate(texts), (90, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, F.CATALOG.queries[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(F.CATALOG.sql[name]).fetchall()) and got
+
+
+def test_inflections_count_for_the_longest_stem(spark):
+    forms = {r.word: r.stem for r in B.inflected(spark, "loan -loaned OR the").collect()}
+    assert forms["loaninged"] == forms["loan"] == "loan" and len(forms) == len(inflections("loan"))
+    assert B.inflected(spark, "the").count() == 0
