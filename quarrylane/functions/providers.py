@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -18,18 +19,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Provider = Callable[[Sequence[str]], list[Any]]
+#: Words whose hashes an embedder keeps.
+CACHED_WORDS = 100_000
 
 
 def hashing_embedder(dim: int = 64) -> Provider:
-    """Unit vectors of signed word hashes."""
+    """Unit vectors of signed word hashes; some words' hashes are kept."""
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        h = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+        found = h % dim, 1.0 if h >> 63 else -1.0
+        if len(known) < CACHED_WORDS:
+            known[word] = found
+        return found
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * dim
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
+            for w, n in Counter(re.findall(r"\w+", t.lower())).items():
+                at, sign = known.get(w) or place(w)
+                v[at] += sign * n
             n = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / n for x in v])
         return out

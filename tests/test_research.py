@@ -32,6 +32,13 @@ def test_provider_halves_and_retries():
         providers.call(lambda t: [], ["x"])
 
 
+def test_embedder_hashes_a_word_once(monkeypatch):
+    words, sha256 = [], providers.hashlib.sha256
+    monkeypatch.setattr(providers.hashlib, "sha256", lambda b: words.append(b) or sha256(b))
+    first, *more = providers.hashing_embedder(8)(["loan bank Loan", "bank loan loan", "bank"])
+    assert sorted(words) == [b"bank", b"loan"] and more[0] == first and sum(map(abs, more[1])) == 1.0
+
+
 def test_provider_over_rows(spark):
     rows = spark.createDataFrame([(1, "One. Two."), (2, " "), (3, None)], "id int, t string")
     got = {r.id: r.result for r in providers.apply(rows, "id", "t", providers.first_sentence, "string").collect()}
