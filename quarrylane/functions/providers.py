@@ -89,6 +89,11 @@ def call_keyed(provider: Callable[[dict[Any, str]], dict[Any, Any]], texts: dict
     return call_keyed(provider, dict(items[:half]), tries, wait) | call_keyed(provider, dict(items[half:]), tries, wait)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows: only a piece's texts are Python objects at a time."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def apply_keyed(df: DataFrame, key: str, text: str, provider: Callable[[dict[Any, str]], dict[Any, Any]], result: str, batch: int = 100, name: str = "result") -> DataFrame:
     """``key``, ``name`` of every row with a text, by a provider that takes and returns ids; keys must be unique within a batch of rows."""
     def aligned(pairs: Sequence[Any]) -> list[Any]:
@@ -99,11 +104,9 @@ def apply_keyed(df: DataFrame, key: str, text: str, provider: Callable[[dict[Any
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {name} {result}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches, batch):
             pairs = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-            for at in range(0, len(pairs), batch):
-                part = pairs[at : at + batch]
-                yield pa.RecordBatch.from_pydict({key: rows.column(0).slice(at, len(part)), name: pa.array(aligned(part), kind)})
+            yield pa.RecordBatch.from_pydict({key: rows.column(0), name: pa.array(aligned(pairs), kind)})
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -117,13 +120,12 @@ def apply(df: DataFrame, key: str, text: str, provider: Provider, result: str, b
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {name} {result}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches, batch):
             texts = rows.column(1).to_pylist()
-            out: list[Any] = [None] * len(texts)
             real = [i for i, t in enumerate(texts) if t and t.strip()]
-            for at in range(0, len(real), batch):
-                part = real[at : at + batch]
-                for i, r in zip(part, call(provider, [texts[i] for i in part]), strict=True):
+            out: list[Any] = [None] * len(texts)
+            if real:
+                for i, r in zip(real, call(provider, [texts[i] for i in real]), strict=True):
                     out[i] = r
             yield pa.RecordBatch.from_pydict({key: rows.column(0), name: pa.array(out, kind)})
 

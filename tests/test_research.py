@@ -2,6 +2,7 @@ import os
 import time
 from collections import namedtuple
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ def test_embedder_hashes_a_word_once(monkeypatch):
     assert sorted(words) == [b"bank", b"loan"] and more[0] == first and sum(map(abs, more[1])) == 1.0
 
 
+def test_providers_see_few_texts_at_a_time(spark):
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(n))}) for n in (7, 0, 3)]
+    assert [b.num_rows for b in providers.sliced(iter(batches), 3)] == [3, 3, 1, 3]
+    rows = spark.range(250).selectExpr("id", "IF(id % 7 = 0, ' ', concat(id, '. x')) AS t").coalesce(1)
+    sizes = {r.id: r.n for r in providers.apply(rows, "id", "t", lambda texts: [len(texts)] * len(texts), "int", batch=100, name="n").collect()}
+    assert all(sizes[i] is None for i in range(0, 250, 7)) and max(n or 0 for n in sizes.values()) < 100 and len(sizes) == 250
+
+
 def test_provider_over_rows(spark):
     rows = spark.createDataFrame([(1, "One. Two."), (2, " "), (3, None)], "id int, t string")
     got = {r.id: r.result for r in providers.apply(rows, "id", "t", providers.first_sentence, "string").collect()}
