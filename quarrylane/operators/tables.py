@@ -89,9 +89,11 @@ def candidates(tables: DataFrame, question: str = "") -> DataFrame:
     blank = F.lit("")
     shown = F.coalesce(F.nullif(F.col("title"), blank), F.nullif(F.col("summary"), blank), F.lit("Source table"))
     combo = F.trim(F.regexp_replace(F.coalesce("combo", blank), r"^[A-Za-z][A-Za-z 0-9&-]*:\s+", ""))
+    # What a table is made of, by scans and groupings of the caller, is computed once for all that follows.
+    tables = written(tables.select("table_id", shown.alias("title"), combo.alias("combo"), "columns", "rows"))
     placed = written(cells(tables))
     columns, heads = map(written, profiled(tables, placed))
-    heads = written(heads.join(tables.select("table_id", shown.alias("title"), combo.alias("combo")), "table_id"))
+    heads = written(heads.join(tables.select("table_id", "title", "combo"), "table_id"))
     kinds = columns.join(heads.select("table_id", "label_col"), "table_id")
     labels = placed.join(heads.select("table_id", "label_col"), "table_id").where("col = label_col").select("table_id", "row", F.trim(F.coalesce("raw", blank)).alias("label"))
     known = placed.join(kinds.where("numeric or period").select("table_id", "col", "numeric", "period", "bank"), ["table_id", "col"]).where("value is not null")

@@ -68,3 +68,11 @@ def test_first_overlapping_row_answers(spark):
     out = merge.availability_by_overlap(combos, table, ["year", "quarter"], merge.names_of(F.col("symbol"), F.col("name")), offered, "source", "pos", ["bank_id", "symbol", "name"])
     got = sorted((r.id, r.bank_id, r.symbol, r.name, r.available) for r in out.collect())
     assert sorted(got, key=str) == sorted([(1, "1", "RY", "Royal", True)] * 2 + [(2, "2", "TD", "CANADA", True), (3, None, "RY", None, False), (4, None, None, None, False)], key=str)
+
+
+def test_tables_are_computed_once(spark, monkeypatch):
+    plans, write = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    source = spark.range(1).selectExpr("id AS table_id", "'T' AS title", "'' AS summary", "'' AS combo", "array('M', 'Q1 2024', 'Q2 2024') AS columns", "array(map('M', 'a', 'Q1 2024', '1', 'Q2 2024', '2')) AS rows", "array('E1') AS evidence_ids")
+    assert [r.chart for r in tables.candidates(source).collect()] == ["trend_line"]
+    assert sum("Range" in p for p in plans) == 1
