@@ -65,7 +65,8 @@ def parse_number(c: Column) -> Column:
     """The first number of a text such as ``$1,234.5``; one in parentheses is negative; null without a number."""
     clean = F.regexp_replace(F.trim(c), "[$,]", "")
     number = F.regexp_extract(clean, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
-    return F.when(clean.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number)
+    # Only texts with a digit are cast, as a cast that fails is slow.
+    return F.when(clean.rlike(r"\d"), F.when(clean.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number))
 
 
 def all_numbers(c: Column) -> Column:

@@ -76,3 +76,12 @@ def test_tables_are_computed_once(spark, monkeypatch):
     source = spark.range(1).selectExpr("id AS table_id", "'T' AS title", "'' AS summary", "'' AS combo", "array('M', 'Q1 2024', 'Q2 2024') AS columns", "array(map('M', 'a', 'Q1 2024', '1', 'Q2 2024', '2')) AS rows", "array('E1') AS evidence_ids")
     assert [r.chart for r in tables.candidates(source).collect()] == ["trend_line"]
     assert sum("Range" in p for p in plans) == 1
+
+
+def test_candidates_join_and_shuffle_nothing(spark):
+    """No table of heads, columns or labels is broadcast or dealt anew, so the driver's memory doesn't follow the input; tables with one id stay apart."""
+    rows = [(1, t, "", "Slides: RY Q1 2024", ["Metric", "Q1 2024", "Q2 2024"], [{"Metric": t, "Q1 2024": "1", "Q2 2024": "2"}], ["E"]) for t in "AB"]
+    found = tables.candidates(spark.createDataFrame(rows, SCHEMA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted((r.chart, r.title) for r in found.collect()) == [("trend_line", "RY A trend"), ("trend_line", "RY B trend")]
